@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from veil.functions.spans import NO_SPANS, find_spans, keep, let, lit, var
+from veil.schema import NUMBERED
 
 # The words that announce a secret, and words near them that do not.
 CUES = ("password", "passcode", "passphrase")
@@ -125,3 +126,27 @@ def describe_secret(v: str) -> str:
                 f"{shape}, if(length({x}) < 8, ', shorter than 8 characters', ''), ']')")
 
     return let(v, text)
+
+
+def finish_items(items: str) -> str:
+    """Fill in the placeholders that depend on the value or on the other items.
+
+    Secrets get their description; `[PERSON]` becomes `[PERSON_1]`, `[PERSON_2]` … by first
+    appearance in this text.
+    """
+    word = "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in NUMBERED.items()) + ")"
+    norm = lambda v: f"lower(trim(regexp_replace({v}, '\\\\s+', ' ')))"
+
+    def numbered(own: str) -> str:
+        i, o = var("i"), var("o")
+        place = (f"array_position(array_distinct(transform(filter({own}, {o} -> {o}.cat = {i}.cat), "
+                 f"{o} -> {norm(o + '.value')})), {norm(i + '.value')})")
+        plain = f"if(rlike({i}.value, '^[A-Za-z0-9]( [A-Za-z0-9])+$'), replace({i}.value, ' ', ''), {i}.value)"
+        ph = (f"CASE WHEN {i}.ph = '[SECRET]' THEN {describe_secret(plain)} "
+              f"WHEN map_contains_key({word}, {i}.cat) "
+              f"THEN concat('[', try_element_at({word}, {i}.cat), '_', {place}, ']') ELSE {i}.ph END")
+        fields = ", ".join(f"'{f}', {i}.`{f}`" for f in
+                           ("start", "end", "match", "value", "cat", "kind", "level", "layer", "ev"))
+        return f"transform({own}, {i} -> named_struct({fields}, 'ph', {ph}))"
+
+    return let(items, numbered)

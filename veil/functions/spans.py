@@ -73,13 +73,13 @@ def find_groups(text: str, pattern: str, gate: str = "true") -> str:
 
 
 def to_items(spans: str, *, cat: str, kind: str, level: str, layer: str, ev: str,
-             ph: str | Callable[[str], str]) -> str:
-    """Spans as items of one category."""
+             ph: str) -> str:
+    """Spans as items of one category. ``[SECRET]`` and numbered placeholders are filled in by
+    :func:`finish_items` once the overlaps are resolved."""
     s = var("s")
-    tag = lit(ph) if isinstance(ph, str) else ph(f"{s}.v")
     return (f"transform({spans}, {s} -> named_struct('start', {s}.s, 'end', {s}.e, "
             f"'match', {s}.v, 'value', {s}.v, 'cat', {lit(cat)}, 'kind', {lit(kind)}, "
-            f"'level', {lit(level)}, 'layer', {lit(layer)}, 'ev', {lit(ev)}, 'ph', {tag}))")
+            f"'level', {lit(level)}, 'layer', {lit(layer)}, 'ev', {lit(ev)}, 'ph', {lit(ph)}))")
 
 
 def level_rank(level: str) -> str:
@@ -137,19 +137,31 @@ def apply_items(text: str, items: str, masked: Callable[[str], str] = masks_by_d
             f"{z} -> concat({z}.o, substring({text}, {z}.c + 1)))")
 
 
-def number_within(items: str) -> str:
-    """`[PERSON]` to `[PERSON_1]`, `[PERSON_2]` … by first appearance in this text."""
-    word = "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in NUMBERED.items()) + ")"
-    norm = lambda v: f"lower(trim(regexp_replace({v}, '\\\\s+', ' ')))"
+def find_tokens(text: str, pattern: str, block: int = 64) -> str:
+    """:func:`find_spans` for patterns with very many matches.
 
-    def numbered(own: str) -> str:
-        i, o = var("i"), var("o")
-        place = (f"array_position(array_distinct(transform(filter({own}, {o} -> {o}.cat = {i}.cat), "
-                 f"{o} -> {norm(o + '.value')})), {norm(i + '.value')})")
-        ph = f"concat('[', try_element_at({word}, {i}.cat), '_', {place}, ']')"
-        fields = ", ".join(f"'{f}', {i}.`{f}`" for f in
-                           ("start", "end", "match", "value", "cat", "kind", "level", "layer", "ev"))
-        return (f"transform({own}, {i} -> if(map_contains_key({word}, {i}.cat), "
-                f"named_struct({fields}, 'ph', {ph}), {i}))")
+    Appending to an array copies it, so the running lengths are worked out block by block.
+    """
+    p, g, m, b, k, n, z, x = (lit(pattern), *(var(v) for v in "gmbknzx"))
+    pairs = (f"filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), "
+             f"({g}, {m}) -> named_struct('g', length({g}), 'm', {m})), {g} -> {g}.m IS NOT NULL)")
+
+    def blocks(a: str) -> str:
+        return (f"if(size({a}) = 0, array(), transform(sequence(0, (size({a}) - 1) div {block}), "
+                f"{b} -> slice({a}, {b} * {block} + 1, {block})))")
+
+    def placed(bs: str) -> str:
+        total = f"aggregate({k}, 0, ({z}, {x}) -> {z} + {x}.g + length({x}.m))"
+
+        def all_(totals: str) -> str:
+            start = f"aggregate(slice({totals}, 1, {n}), 0, ({z}, {x}) -> {z} + {x})"
+            hit = (f"named_struct('s', {z}.pos + {x}.g, 'e', {z}.pos + {x}.g + length({x}.m), "
+                   f"'v', {x}.m)")
+            return (f"flatten(transform({bs}, ({k}, {n}) -> aggregate({k}, named_struct('pos', "
+                    f"{start}, 'out', {NO_SPANS}), ({z}, {x}) -> named_struct("
+                    f"'pos', {z}.pos + {x}.g + length({x}.m), 'out', concat({z}.out, array({hit}))), "
+                    f"{z} -> {z}.out)))")
+
+        return let(f"transform({bs}, {k} -> {total})", all_)
 
-    return let(items, numbered)
+    return let(let(pairs, blocks), placed)

@@ -14,8 +14,8 @@ from veil.functions import secrets as sec
 from veil.functions.checksum import digits_only, luhn_ok, verhoeff_ok
 from veil.functions.decode import from_base64, from_hex, from_url
 from veil.functions.normalize import spelled_digits
-from veil.functions.spans import (NO_ITEMS, NO_SPANS, find_groups, find_spans, keep, let, lit,
-                                  to_items, var)
+from veil.functions.spans import (NO_SPANS, find_groups, find_spans, keep, let, lit, to_items,
+                                  var)
 from veil.functions.urls import SECRET_PARAM, USERINFO
 from veil.schema import WARNINGS
 
@@ -237,12 +237,12 @@ def detect_entropy(t: str, low: str | None = None) -> str:
     """Long random-looking strings, whatever the sentence says."""
     found = _values(find_spans(t, LONG, _rlike(t, "[A-Za-z0-9_+/=-]{20}")), is_random)
     return to_items(found, cat="SECRET", kind="High-entropy string", level="high", layer="shape",
-                    ev="long and random", ph=sec.describe_secret)
+                    ev="long and random", ph="[SECRET]")
 
 
 def detect_structure(t: str, low: str | None = None) -> str:
     """`key: value`, `KEY=VALUE`, JSON, `user:pass@host`, `?token=`."""
-    secret = dict(cat="SECRET", level="high", layer="structure", ph=sec.describe_secret)
+    secret = dict(cat="SECRET", level="high", layer="structure", ph="[SECRET]")
     words = has_any(_low(t, low), "pass", "pwd", "secret", "token", "api", "key", "cred", "auth")
     named = f"{words} AND {has_any(t, '=', ':')}"
     url = has_any(t, "://")
@@ -257,46 +257,56 @@ def detect_structure(t: str, low: str | None = None) -> str:
 
 
 def _cue_values(t: str, c: str) -> str:
-    """The values one trigger word points to: the slot after it, or "X is my …" before it."""
+    """The values one trigger word points to: the slot after it, or "X is my …" before it.
+
+    Up to three candidates; each needs its own strength, unless the words around it leave no doubt.
+    """
     tail = f"substring({t}, {c}.e + 1, 120)"
     head = f"substring({t}, greatest({c}.s - 80, 0) + 1, least({c}.s, 80))"
     group = lambda of, pattern, n: f"regexp_extract({of}, {lit(pattern)}, {n})"
-    facts = {
-        "exact": f"{c}.v IN ({', '.join(lit(w) for w in sec.CUES)})",
-        "mine": _rlike(head, r"(?i)(?:my|our|the)(?: [a-z0-9]+)? $"),
-        "told": _rlike(tail, r"^[^.?!\n]*?(?: (?:is|was) |[ ]?[:=])"),
-        "lead": group(tail, AFTER_LINK, 1), "linked": group(tail, AFTER_LINK, 2),
-        "gap": group(tail, AFTER_NEXT, 1), "after": group(tail, AFTER_NEXT, 2),
-        "before": group(head, BEFORE, 1), "back": f"length({group(head, BEFORE_TAIL, 0)})",
-    }
-
-    def decide(f: str) -> str:
-        fit = lambda v: f"length({v}) >= 4 AND NOT ({sec.is_ordinary(v)})"
-        strong = lambda v: f"({sec.strength(v)} >= 3 OR {_rlike(v, '[0-9]')})"
-        span = lambda s, v: f"named_struct('s', {s}, 'e', {s} + length({v}), 'v', {v})"
-        linked, after, before = f"{f}.linked", f"{f}.after", f"{f}.before"
-        is_linked = (f"{fit(linked)} AND ({strong(linked)} "
-                     f"OR ({f}.exact AND {f}.mine AND {f}.told))")
-        is_after = f"{fit(after)} AND {sec.strength(after)} >= 4 AND {_rlike(after, '[^A-Za-z]')}"
-        is_before = f"{fit(before)} AND ({strong(before)} OR {f}.exact)"
-        return (f"array_compact(array("
-                f"CASE WHEN {is_linked} THEN {span(f'{c}.e + length({f}.lead)', linked)} "
-                f"WHEN {is_after} THEN {span(f'{c}.e + length({f}.gap)', after)} END, "
-                f"CASE WHEN {is_before} THEN {span(f'{c}.s - {f}.back', before)} END))")
-
-    packed = ", ".join(f"'{k}', {v}" for k, v in facts.items())
-    return let(f"named_struct({packed})", decide)
+    exact = f"{c}.v IN ({', '.join(lit(w) for w in sec.CUES)})"
+    mine = _rlike(head, r"(?i)(?:my|our|the)(?: [a-z0-9]+)? $")
+    told = _rlike(tail, r"^[^.?!\n]*?(?: (?:is|was) |[ ]?[:=])")
+    linked, after, before = group(tail, AFTER_LINK, 2), group(tail, AFTER_NEXT, 2), group(head, BEFORE, 1)
+    one = lambda at, v, need, sure: (
+        f"named_struct('s', {at}, 'v', {v}, 'need', {need}, 'sure', {sure})")
+    candidates = ", ".join([
+        one(f"{c}.e + length({group(tail, AFTER_LINK, 1)})", linked, 3, f"{exact} AND {mine} AND {told}"),
+        one(f"{c}.e + length({group(tail, AFTER_NEXT, 1)})", after, 4, "false"),
+        one(f"{c}.s - length({group(head, BEFORE_TAIL, 0)})", before, 3, exact)])
+    x = var("x")
+    fit = f"length({x}.v) >= 4 AND NOT ({sec.is_ordinary(x + '.v')})"
+    strong = (f"({x}.sure OR ({x}.need = 3 AND {_rlike(x + '.v', '[0-9]')}) OR "
+              f"({sec.strength(x + '.v')} >= {x}.need AND ({x}.need = 3 OR {_rlike(x + '.v', '[^A-Za-z]')})))")
+    return (f"transform(filter(array({candidates}), {x} -> {fit} AND {strong}), {x} -> "
+            f"named_struct('s', {x}.s, 'e', {x}.s + length({x}.v), 'v', {x}.v))")
+
+
+def _secret_spans(t: str, gate: str) -> str:
+    c = var("c")
+    slots = f"flatten(transform({sec.find_cues(t)}, {c} -> {_cue_values(t, c)}))"
+    moved = _concat(find_groups(t, FROM_TO, gate), find_groups(t, TO_AFTER_FROM, gate))
+    strong = _values(moved, lambda v: f"length({v}) >= 4 AND {sec.strength(v)} >= 4")
+    return _concat(slots, strong)
 
 
 def detect_secret(t: str, low: str | None = None) -> str:
-    """Passwords: an approximate trigger word beside a value that looks like a secret."""
-    low, c = _low(t, low), var("c")
-    slots = f"flatten(transform({sec.find_cues(t)}, {c} -> {_cue_values(t, c)}))"
+    """Passwords: an approximate trigger word beside a value that looks like a secret.
+
+    A text with a trigger word written backwards is read in both directions by the same
+    expression; spans of the reversed reading are turned round.
+    """
+    low, d, s = _low(t, low), var("d"), var("s")
     gate = f"{has_any(low, ' from ')} AND {has_any(low, 'chang', 'updat', 'reset', 'switch')}"
-    moved = _concat(find_groups(t, FROM_TO, gate), find_groups(t, TO_AFTER_FROM, gate))
-    strong = _values(moved, lambda v: f"length({v}) >= 4 AND {sec.strength(v)} >= 4")
-    return to_items(_concat(slots, strong), cat="SECRET", kind="Password or secret", level="high",
-                    layer="cue", ev="trigger word and strong value", ph=sec.describe_secret)
+    back = has_any(low, "drowssap", "edocssap")
+    readings = (f"if({back}, array(named_struct('t', {t}, 'r', false), "
+                f"named_struct('t', reverse({t}), 'r', true)), array(named_struct('t', {t}, 'r', false)))")
+    turned = (f"if({d}.r, named_struct('s', length({t}) - {s}.e, 'e', length({t}) - {s}.s, "
+              f"'v', {s}.v), {s})")
+    found = (f"flatten(transform({readings}, {d} -> transform({_secret_spans(d + '.t', gate)}, "
+             f"{s} -> {turned})))")
+    return to_items(found, cat="SECRET", kind="Password or secret", level="high", layer="cue",
+                    ev="trigger word and strong value", ph="[SECRET]")
 
 
 def detect_people(t: str, low: str | None = None) -> str:
@@ -397,8 +407,7 @@ def detect_spelled(t: str, low: str | None = None) -> str:
         to_items(words, cat="ID", kind="Spelled-out number", level="high", layer="normalise",
                  ev="digit words", ph="[ID_NUMBER]"),
         to_items(spaced, cat="SECRET", kind="Spaced-out value", level="high", layer="normalise",
-                 ev="single characters",
-                 ph=lambda v: sec.describe_secret(f"regexp_replace({v}, '[ .-]', '')")))
+                 ev="single characters", ph="[SECRET]"))
 
 
 def is_private(t: str) -> str:
@@ -410,34 +419,26 @@ def is_private(t: str) -> str:
 
 def detect_encoded(t: str, low: str | None = None) -> str:
     """Base64, hex and URL-encoded pieces that decode to something private."""
-    def private(decoded: str) -> str:
-        return let(decoded, lambda d: f"if({d} IS NULL, false, {is_private(d)})")
-
     # A word of plain lower-case letters is no payload; saves decoding every long word.
     mixed = "^.+[A-Z0-9+/=_-]"
-    b64 = _values(find_spans(t, BASE64, _rlike(t, "[A-Za-z0-9+/_-]{16}")),
-                  lambda v: f"if({_rlike(v, mixed)}, {private(from_base64(v))}, false)")
-    hexa = _values(find_spans(t, HEX, _rlike(t, "[0-9a-fA-F]{16}")), lambda v: private(from_hex(v)))
-    url = _values(find_spans(t, PERCENT, has_any(t, "%")), lambda v: private(from_url(v)))
-    return to_items(_concat(b64, hexa, url), cat="ENCODED", kind="Encoded private data",
-                    level="high", layer="shape", ev="decodes to a private value", ph="[ENCODED]")
+    b64 = _values(find_spans(t, BASE64, _rlike(t, "[A-Za-z0-9+/_-]{16}")), lambda v: _rlike(v, mixed))
+    hexa = find_spans(t, HEX, _rlike(t, "[0-9a-fA-F]{16}"))
+    url = find_spans(t, PERCENT, has_any(t, "%"))
+    s, x = var("s"), var("x")
+    with_text = lambda spans, decode: (
+        f"transform({spans}, {s} -> named_struct('s', {s}.s, 'e', {s}.e, 'v', {s}.v, "
+        f"'d', {decode(s + '.v')}))")
+    pieces = _concat(with_text(b64, from_base64), with_text(hexa, from_hex), with_text(url, from_url))
+    private = f"filter({pieces}, {x} -> if({x}.d IS NULL, false, {is_private(x + '.d')}))"
+    return to_items(private, cat="ENCODED", kind="Encoded private data", level="high",
+                    layer="shape", ev="decodes to a private value", ph="[ENCODED]")
 
 
 def detect_backwards(t: str, low: str | None = None) -> str:
-    """Cues and e-mail addresses written backwards, found in the reversed text."""
-    gate = has_any(_low(t, low), "drowssap", "edocssap", "moc.", "gro.", "ten.", "vvc ym",
-                   "nip ym")
-    i = var("i")
-
-    def turn(r: str) -> str:
-        found = _concat(detect_secret(r), detect_codes(r), detect_email(r))
-        same = ", ".join(f"'{f}', {i}.{f}" for f in ("cat", "kind", "level"))
-        return (f"transform({found}, {i} -> named_struct('start', length({r}) - {i}.`end`, "
-                f"'end', length({r}) - {i}.start, 'match', reverse({i}.match), "
-                f"'value', {i}.value, {same}, 'layer', 'normalise', "
-                f"'ev', 'written backwards', 'ph', {i}.ph))")
-
-    return f"if({gate}, {let(f'reverse({t})', turn)}, {NO_ITEMS})"
+    """E-mail addresses written backwards (secrets: see :func:`detect_secret`)."""
+    pattern = r"(?<![A-Za-z])(?:moc|gro|ten|ude|ni)\.[A-Za-z0-9.-]+@[A-Za-z0-9._%+-]+"
+    return to_items(find_spans(t, pattern, has_any(t, "@")), cat="EMAIL", kind="E-mail address",
+                    level="high", layer="normalise", ev="written backwards", ph="[EMAIL]")
 
 
 def topic_warnings(t: str, low: str | None = None) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import spans as sp
+from veil.functions.secrets import finish_items
 from veil.operators.detect import CORE, all_items
 
 SENSITIVE_AUTOCOMPLETE = "^(cc-|new-password|current-password|one-time-code)"
@@ -53,7 +54,7 @@ def scan_fields(classified: DataFrame) -> DataFrame:
     ``shown`` is what the page summary prints, ``masked`` whether that is a placeholder.
     """
     out = (classified.withColumn("__v", F.coalesce(F.trim("value"), F.lit("")))
-           .withColumn("__hit", F.expr(f"try_element_at({sp.order_items(all_items('__v', CORE))}, 1)")))
+           .withColumn("__hit", F.expr(f"try_element_at({finish_items(sp.order_items(all_items('__v', CORE)))}, 1)")))
     open_ = F.col("tier").isNull()
     hit = open_ & F.col("__hit").isNotNull()
     return (out.withColumn("tier", F.when(hit, 1).otherwise(F.col("tier")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import spans as sp
 from veil.functions.normalize import normalize
+from veil.functions.secrets import finish_items
 from veil.operators.detect import CORE, all_items, topic_warnings
 from veil.schema import ITEMS, WARNINGS
 
@@ -25,7 +26,7 @@ def analyze(df: DataFrame, text: str = "text", *, layers: tuple[str, ...] | None
     clear = sp.outside("__raw", sp.protected_spans("__t"))
     out = (df.withColumn("__t", F.expr(normalize(f"coalesce({text}, '')")))
            .withColumn("__raw", F.expr(found))
-           .withColumn("items", F.expr(sp.number_within(sp.resolve_overlaps(clear))).cast(ITEMS)))
+           .withColumn("items", F.expr(finish_items(sp.resolve_overlaps(clear))).cast(ITEMS)))
     if warnings:
         out = out.withColumn("warnings", F.expr(topic_warnings("__t")).cast(WARNINGS))
     return out.withColumn(text, F.col("__t")).drop("__t", "__raw")
@@ -51,8 +52,8 @@ def sanitize(df: DataFrame, text: str = "text", *, source: str | Column = "text"
 
 def redact_text(text: str, layers: tuple[str, ...] | None = CORE) -> Column:
     """Detectors only, no memory and no warnings: one text in, one clean text out."""
-    clear = sp.let(f"coalesce({text}, '')", lambda t: sp.apply_items(t, sp.resolve_overlaps(
-        sp.outside(all_items(t, layers), sp.protected_spans(t)))))
+    clear = sp.let(f"coalesce({text}, '')", lambda t: sp.apply_items(t, finish_items(
+        sp.resolve_overlaps(sp.outside(all_items(t, layers), sp.protected_spans(t))))))
     return F.expr(clear)
 
 

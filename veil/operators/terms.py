@@ -11,44 +11,47 @@ TOKEN = "[a-z0-9]+"
 
 
 def word_spans(text: str, most_words: int, joiner: str = " ") -> str:
-    """Runs of 1..most_words adjacent tokens: ``array<struct<s,e,v,n>>`` (expression text)."""
+    """Runs of 1..most_words adjacent tokens: ``array<struct<s,e,v>>`` (expression text)."""
     def grams(tok: str) -> str:
         i, n, w = sp.var("i"), sp.var("n"), sp.var("w")
-        part = f"slice({tok}, {i} + 1, {n})"
         run = (f"named_struct('s', {tok}[{i}].s, 'e', {tok}[{i} + {n} - 1].e, 'v', array_join("
-               f"transform({part}, {w} -> {w}.v), {sp.lit(joiner)}), 'n', {n})")
-        if most_words == 1:
-            return f"transform({tok}, {w} -> named_struct('s', {w}.s, 'e', {w}.e, 'v', {w}.v, 'n', 1))"
-        return (f"flatten(transform(sequence(1, {most_words}), {n} -> if(size({tok}) < {n}, array(), "
-                f"transform(sequence(0, size({tok}) - {n}), {i} -> {run}))))")
+               f"transform(slice({tok}, {i} + 1, {n}), {w} -> {w}.v), {sp.lit(joiner)}))")
+        longer = (f"flatten(transform(sequence(2, {most_words}), {n} -> if(size({tok}) < {n}, array(), "
+                  f"transform(sequence(0, size({tok}) - {n}), {i} -> {run}))))")
+        return f"concat({tok}, {longer})" if most_words > 1 else tok
 
-    return sp.let(sp.find_spans(f"lower({text})", TOKEN), grams)
+    return sp.let(sp.find_tokens(f"lower({text})", TOKEN), grams)
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
                 term: str = "term", most_words: int = 3) -> DataFrame:
-    """Whole-word, case-insensitive hits of each term: one row per hit.
+    """Whole-word, case-insensitive hits of each term: one row per hit (key, term, start, end).
 
     Texts become token runs, terms become the same key, and the join is a hash join on it, however
-    large the term list. The hit is then compared with the term's exact characters. Terms shorter
-    than two characters, or without a letter or digit, cannot be whole words and are dropped.
+    large the term list; the exploded rows carry offsets, never the text. Terms of several words
+    or with symbols are then compared with the exact characters, by a second join on the text key
+    of their hits alone. Terms shorter than two characters, or without a letter or digit, cannot
+    be whole words and are dropped.
     """
-    keys = F.regexp_extract_all(F.lower(term), F.lit(TOKEN), F.lit(0))
-    wanted = (terms.select(F.lower(term).alias("term")).filter(F.length("term") >= 2).distinct()
-              .withColumn("__k", F.array_join(keys, " ")).filter(F.col("__k") != "")
-              .withColumn("__lead", F.length(F.regexp_extract("term", "^[^a-z0-9]*", 0))))
-    runs = texts.select(key, F.col(text).alias("__text"),
-                        F.explode(F.expr(word_spans(text, most_words))).alias("w"))
-    start = F.col("w.s") - F.col("__lead")
-    end = start + F.length("term")
-    at = lambda pos: F.lower(F.substring("__text", pos, F.lit(1)))
+    low = F.lower(term)
+    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    wanted = (terms.select(low.alias("term"), F.array_join(words, " ").alias("form"),
+                           F.length(F.regexp_extract(low, "^[^a-z0-9]*", 0)).alias("lead"))
+              .filter((F.length("term") >= 2) & (F.col("form") != "")).distinct())
+    runs = texts.select(key, F.inline(F.expr(word_spans(text, most_words))))
+    hits = runs.withColumnRenamed("v", "form").join(wanted, "form").select(
+        key, "term", (F.col("s") - F.col("lead")).alias("start"),
+        (F.col("s") - F.col("lead") + F.length("term")).alias("end"),
+        (F.col("term").rlike(f"^{TOKEN}$")).alias("plain"))
+    easy = hits.filter("plain").select(key, "term", "start", "end")
+    at = lambda pos, n: F.lower(F.substring("__text", pos, n))
     free = lambda c: ~c.rlike("[a-z0-9]")
-    found = F.lower(F.substring("__text", start + 1, F.length("term")))
-    return (runs.join(wanted, F.col("w.v") == F.col("__k"))
-            .filter((start >= 0) & (found == F.col("term")))
-            .filter(((start == 0) | free(at(start))) & free(at(end + 1)))
-            .select(key, "term", start.alias("start"), end.alias("end"),
-                    F.substring("__text", start + 1, F.length("term")).alias("match")))
+    odd = (hits.filter(~F.col("plain") & (F.col("start") >= 0))
+           .join(texts.select(key, F.col(text).alias("__text")), key)
+           .filter(at(F.col("start") + 1, F.length("term")) == F.col("term"))
+           .filter((F.col("start") == 0) | free(at(F.col("start"), F.lit(1))))
+           .filter(free(at(F.col("end") + 1, F.lit(1)))))
+    return easy.unionByName(odd.select(key, "term", "start", "end"))
 
 
 def memory_variants(memory: DataFrame, session: str = "conv_id") -> DataFrame:
@@ -70,18 +73,19 @@ def match_memory(turns: DataFrame, memory: DataFrame, session: str = "conv_id",
 
     Tokens, short runs of tokens, and spaced-out characters (``4 7 8 5``) are the join keys.
     """
-    spaced, s = sp.find_spans(f"lower({text})", "[a-z0-9](?:[ .-][a-z0-9]){3,}(?![a-z0-9])"), sp.var("s")
+    s = sp.var("s")
+    spaced = sp.find_spans(f"lower({text})", "[a-z0-9](?:[ .-][a-z0-9]){3,}(?![a-z0-9])")
     joined = (f"transform({spaced}, {s} -> named_struct('s', {s}.s, 'e', {s}.e, 'v', "
-              f"regexp_replace({s}.v, '[ .-]', ''), 'n', 1))")
+              f"regexp_replace({s}.v, '[ .-]', '')))")
     forms = f"concat({word_spans(text, most_words, '')}, {joined})"
-    runs = turns.select(session, turn, F.col(text).alias("__text"),
-                        F.explode(F.expr(forms)).alias("w")).filter(F.length("w.v") >= 4)
-    hits = runs.withColumn("form", F.col("w.v")).join(memory_variants(memory, session),
-                                                      [session, "form"])
-    return (hits.filter(F.col("first_turn") < F.col(turn))
-            .select(session, turn, F.col("w.s").alias("start"), F.col("w.e").alias("end"),
-                    F.expr("substring(__text, w.s + 1, w.e - w.s)").alias("match"), "value", "cat",
-                    "first_turn"))
+    i = sp.var("i")
+    with_text = (f"transform(filter({forms}, {i} -> length({i}.v) >= 4), {i} -> named_struct("
+                 f"'start', {i}.s, 'end', {i}.e, 'form', {i}.v, "
+                 f"'match', substring({text}, {i}.s + 1, {i}.e - {i}.s)))")
+    runs = turns.select(session, turn, F.inline(F.expr(with_text)))
+    return (runs.join(memory_variants(memory, session), [session, "form"])
+            .filter(F.col("first_turn") < F.col(turn))
+            .select(session, turn, "start", "end", "match", "value", "cat", "first_turn"))
 
 
 def forms_hidden(turns: DataFrame, hits: DataFrame, session: str = "conv_id", turn: str = "turn",

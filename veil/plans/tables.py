@@ -70,8 +70,55 @@ SELECT c_custkey AS page_id, i AS el_id, CASE i WHEN 1 THEN 'password' ELSE 'tex
 FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS f(i)
 """
 
+# One sentence per order from a set of templates, with the value that has to be found in it.
+SENTENCES = """
+SELECT k AS doc_id, t, CASE t
+  WHEN 0 THEN 'my aadhaar is ' || v WHEN 1 THEN 'pan ' || v || ' attached' WHEN 2 THEN 'ifsc ' || v
+  WHEN 3 THEN 'pay to ' || v || ' today' WHEN 4 THEN 'meet at ' || v WHEN 5 THEN 'cvv ' || v
+  WHEN 6 THEN 'one time password ' || v WHEN 7 THEN 'door code for my building is ' || v
+  WHEN 8 THEN 'pin code ' || v WHEN 9 THEN 'my password for gmail is ' || v
+  WHEN 10 THEN v || ' is my password' WHEN 11 THEN 'use ' || v || ' for the api'
+  WHEN 12 THEN 'my wife ' || v || ' said so' WHEN 13 THEN 'Dr. ' || v || ' called'
+  WHEN 14 THEN 'i work at ' || v WHEN 15 THEN 'date of birth: ' || v
+  WHEN 16 THEN 'my salary is ' || v WHEN 17 THEN v WHEN 18 THEN 'account number ' || v
+  WHEN 19 THEN 'my username is ' || v WHEN 20 THEN 'payload ' || v
+  WHEN 21 THEN 'I was diagnosed with diabetes' WHEN 22 THEN 'password manager recommended'
+  ELSE 'Forgot Password?' END AS text, v AS planted
+FROM (SELECT k, t, CASE t
+  WHEN 0 THEN '2' || lpad(CAST(k AS STRING), 11, '0')
+  WHEN 1 THEN 'ABCDE' || lpad(CAST(k % 10000 AS STRING), 4, '0') || 'F'
+  WHEN 2 THEN 'HDFC0' || lpad(CAST(k AS STRING), 6, '0')
+  WHEN 3 THEN 'user' || CAST(k AS STRING) || '@okaxis'
+  WHEN 4 THEN CAST(10 + k % 80 AS STRING) || '.5204, 73.' || lpad(CAST(k % 10000 AS STRING), 4, '0')
+  WHEN 5 THEN lpad(CAST(k % 1000 AS STRING), 3, '0') WHEN 6 THEN lpad(CAST(k AS STRING), 6, '0')
+  WHEN 7 THEN lpad(CAST(k % 10000 AS STRING), 4, '0') WHEN 8 THEN lpad(CAST(k AS STRING), 6, '4')
+  WHEN 9 THEN 'hunter' || CAST(k AS STRING) WHEN 10 THEN 'kite#' || CAST(k AS STRING)
+  WHEN 11 THEN 'ghp_' || md5(CAST(k AS STRING)) WHEN 12 THEN 'Meera' WHEN 13 THEN 'Arjun'
+  WHEN 14 THEN 'Acme' WHEN 15 THEN '12/03/' || CAST(1950 + k % 50 AS STRING)
+  WHEN 16 THEN 'Rs. ' || CAST(10000 + k AS STRING)
+  WHEN 17 THEN 'H.No ' || CAST(k AS STRING) || ', Sector 5, Nehru Nagar'
+  WHEN 18 THEN lpad(CAST(k AS STRING), 9, '7') WHEN 19 THEN 'bob_' || CAST(k AS STRING)
+  WHEN 20 THEN hex('password=' || CAST(k AS STRING) || 'x9') END AS v
+  FROM (SELECT o_orderkey AS k, o_orderkey % 24 AS t FROM {orders}) o) x
+"""
+
+# Sheets of a workbook per order status: one sheet per priority, a cell missing here and there.
+SHEETS = """
+SELECT o_orderstatus AS file_id, o_orderpriority AS sheet, o_orderkey AS row_idx,
+  CAST(o_orderkey AS STRING) AS c0, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS STRING) END AS c1,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS c2 FROM {orders}
+"""
+
+# Pages of a document per conversation; short turns make nearly empty pages.
+PDF = """
+SELECT conv_id AS file_id, turn + 1 AS page_no, CASE WHEN conv_id % 4 = 0 THEN substr(text, 1, 12)
+  ELSE text END AS words FROM {conversations}
+"""
+
 DERIVED = {"messages": (MESSAGES, ("orders",)), "grid": (GRID, ("customer",)),
-           "boxes": (BOXES, ("lineitem",)), "elements": (ELEMENTS, ("customer",))}
+           "boxes": (BOXES, ("lineitem",)), "elements": (ELEMENTS, ("customer",)),
+           "sentences": (SENTENCES, ("orders",)), "sheets": (SHEETS, ("orders",)),
+           "pdf": (PDF, ("conversations",))}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
