@@ -13,6 +13,11 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Both ends trimmed of any white space, line ends included."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def alnum_lower(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 

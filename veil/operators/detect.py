@@ -40,7 +40,7 @@ SECRET_NAMES = (r"(?:[A-Za-z0-9_.-]*(?:password|passwd|pwd|secret|token|api_?key
                 r"|access_?key|private_?key|credential|auth)[A-Za-z0-9_.-]*)")
 ASSIGN = (rf"(?i)(?<![A-Za-z0-9_])({SECRET_NAMES}[\"']?[ \t]?[=:][ \t]?[\"'])"
           r"([^\"'\n\[\]]+)[\"']")
-ASSIGN_BARE = (rf"(?i)(?<![A-Za-z0-9_])({SECRET_NAMES}[\"']?(?:=|:[ \t]))"
+ASSIGN_BARE = (rf"(?i)(?<![A-Za-z0-9_?&;])({SECRET_NAMES}[\"']?(?:=|:[ \t]))"
                r"([^\s\"'\[\],;]{4,})")
 
 LINK = r"(?: (?:is|was|to|as)|[ ]?[:=])?[ ]?#?[ ]?"

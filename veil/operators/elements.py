@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import spans as sp
 from veil.functions.secrets import finish_items
+from veil.functions.text import strip
 from veil.operators.detect import CORE, all_items
 
 SENSITIVE_AUTOCOMPLETE = "^(cc-|new-password|current-password|one-time-code)"
@@ -30,8 +31,8 @@ def field_label(*, aria: Column, label_for: Column, wrapping: Column, placeholde
                 name: Column, type_: Column) -> Column:
     """The first of the usual places that names a field."""
     said = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(said(aria), said(F.trim(label_for)),
-                      said(F.substring(F.trim(wrapping), 1, 60)), said(placeholder), said(name),
+    return F.coalesce(said(aria), said(strip(label_for)),
+                      said(F.substring(strip(wrapping), 1, 60)), said(placeholder), said(name),
                       said(type_), F.lit("field"))
 
 
@@ -53,16 +54,17 @@ def scan_fields(classified: DataFrame) -> DataFrame:
 
     ``shown`` is what the page summary prints, ``masked`` whether that is a placeholder.
     """
-    out = (classified.withColumn("__v", F.coalesce(F.trim("value"), F.lit("")))
+    out = (classified.withColumn("__v", F.coalesce(strip(F.col("value")), F.lit("")))
            .withColumn("__hit", F.expr(f"try_element_at({finish_items(sp.order_items(all_items('__v', CORE)))}, 1)")))
-    open_ = F.col("tier").isNull()
-    hit = open_ & F.col("__hit").isNotNull()
-    return (out.withColumn("tier", F.when(hit, 1).otherwise(F.col("tier")))
-            .withColumn("ph", F.when(hit, F.col("__hit.ph")).otherwise(F.col("ph")))
-            .withColumn("kind", F.when(hit, F.col("__hit.kind")).otherwise(F.col("kind")))
-            .withColumn("match", F.when(hit, F.col("__hit.match")).otherwise(F.col("match")))
+    # The flag is a column of its own: the columns it is made of are overwritten below.
+    out = out.withColumn("__tier1", F.col("tier").isNull() & F.col("__hit").isNotNull())
+    pick = lambda new, old: F.when(F.col("__tier1"), new).otherwise(F.col(old))
+    return (out.withColumn("tier", pick(F.lit(1), "tier"))
+            .withColumn("ph", pick(F.col("__hit.ph"), "ph"))
+            .withColumn("kind", pick(F.col("__hit.kind"), "kind"))
+            .withColumn("match", pick(F.col("__hit.match"), "match"))
             .withColumn("masked", F.col("tier").isNotNull())
             .withColumn("shown", F.when(F.col("tier").isNotNull(), F.col("ph"))
                         .when(F.col("__v") == "", "(empty)")
                         .otherwise(F.substring("__v", 1, 80)))
-            .drop("__v", "__hit", "value"))
+            .drop("__v", "__hit", "__tier1", "value"))

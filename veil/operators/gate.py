@@ -99,16 +99,14 @@ def commit_decisions(decided: DataFrame, session: str = "conv_id") -> DataFrame:
             .select(session, F.lower("value").alias("value")).distinct())
 
 
-def drop_allowed(items: DataFrame, allow: DataFrame, session: str = "conv_id",
+def drop_allowed(items: DataFrame, allow: DataFrame | None = None, session: str = "conv_id",
                  everywhere: DataFrame | None = None) -> DataFrame:
     """Items whose value is allowed in the session, or by a global rule, are no longer flagged."""
-    key = F.lower("value")
-    out = items.withColumn("__v", key).join(
-        allow.select(F.col(session), F.lower("value").alias("__v")).distinct(),
-        [session, "__v"], "left_anti")
-    if everywhere is not None:
-        out = out.join(everywhere.select(F.lower("value").alias("__v")).distinct(), "__v",
-                       "left_anti")
+    out = items.withColumn("__v", F.lower("value"))
+    for rules, keys in ((allow, [session]), (everywhere, [])):
+        if rules is not None:
+            known = rules.select(*keys, F.lower("value").alias("__v")).distinct()
+            out = out.join(known, [*keys, "__v"], "left_anti")
     return out.drop("__v")
 
 

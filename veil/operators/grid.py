@@ -15,7 +15,7 @@ from veil.schema import HIDDEN
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Null cells become empty, rows without any text are dropped."""
     cells = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
-    return rows.withColumn("cells", cells).filter(F.exists("cells", lambda c: F.trim(c) != ""))
+    return rows.withColumn("cells", cells).filter(F.exists("cells", lambda c: c.rlike(r"\S")))
 
 
 def cap_sheet(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "sheet"),
@@ -46,9 +46,12 @@ def is_column(header: Column, words: list[str]) -> Column:
     parts = F.regexp_extract_all(F.lower(header), F.lit("[a-z0-9]+"), F.lit(0))
     forms = F.concat(F.array(whole), parts)
     hit = F.lit(False)
+    def near(word: str):
+        cap = 0 if len(word) < 4 else 1 if len(word) <= 5 else 2
+        return lambda form: F.levenshtein(form, F.lit(word), cap) >= 0
+
     for w in words:
-        cap = 0 if len(w) < 4 else 1 if len(w) <= 5 else 2
-        hit = hit | F.exists(forms, lambda f, w=w, cap=cap: F.levenshtein(f, F.lit(w), cap) >= 0)
+        hit = hit | F.exists(forms, near(w))
     return hit
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.functions.text import placeholder_tokens
+from veil.functions.text import placeholder_tokens, strip
 
 ACTION = r"(?im)ACTION:\s*(\w+)\s*\|\s*(.+)\s*$"
 
@@ -37,9 +37,9 @@ def build_payload(screens: DataFrame, files: DataFrame, questions: DataFrame,
 def split_action(text: Column) -> tuple[Column, Column, Column]:
     """An answer's visible text, its action and its target (``-`` means none)."""
     found = text.rlike(ACTION)
-    target = F.trim(F.regexp_extract(text, ACTION, 2))
-    visible = F.when(found, F.trim(F.substring(text, F.lit(1), F.regexp_instr(
-        text, F.lit(ACTION)) - 1))).otherwise(F.trim(text))
+    target = strip(F.regexp_extract(text, ACTION, 2))
+    visible = F.when(found, strip(F.substring(text, F.lit(1), F.regexp_instr(
+        text, F.lit(ACTION)) - 1))).otherwise(strip(text))
     return (visible, F.when(found, F.lower(F.regexp_extract(text, ACTION, 1))),
             F.when(found, F.nullif(target, F.lit("-"))))
 

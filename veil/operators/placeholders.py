@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import normal_value
 from veil.operators.blocks import row_numbers, running
+from veil.session import cut
 
 
 def number_placeholders(items: DataFrame, session: str = "conv_id", turn: str = "turn",
@@ -16,7 +17,8 @@ def number_placeholders(items: DataFrame, session: str = "conv_id", turn: str =
     Equal values collapse in a pre-aggregated group first, so the ranking sees each value once.
     Adds ``number``.
     """
-    keyed = items.withColumn("__n", normal_value(F.col("value")))
+    # Findings are small beside the texts they come from: written once, the texts are read once.
+    keyed = cut(items.withColumn("__n", normal_value(F.col("value"))))
     first = keyed.groupBy(session, "cat", "__n").agg(
         F.min(F.struct(F.col(turn).alias("t"), F.col(start).alias("s"))).alias("f")
     ).select(session, "cat", "__n", F.col("f.t").alias("__t"), F.col("f.s").alias("__s"))

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.boxes import cover_anchor, usable
-from veil.functions.text import alnum_lower
+from veil.functions.text import alnum_lower, strip
 from veil.operators.blocks import ordered_text, running
+from veil.session import cut
 
 
 def clean_regions(regions: DataFrame) -> DataFrame:
     """Strip sequence marks, trim, drop empty regions."""
-    text = F.trim(F.regexp_replace("text", "</?s>", ""))
+    text = strip(F.regexp_replace("text", "</?s>", ""))
     return regions.withColumn("text", text).filter(F.col("text") != "")
 
 
@@ -48,11 +49,11 @@ def dedupe_points(rows: DataFrame, keys: list[str], order: str, edges: list[str]
     """
     bare = rows.filter(F.col(edges[0]).isNull())
     placed = rows.filter(F.col(edges[0]).isNotNull())
-    first = placed.groupBy(*keys, *edges).agg(F.min(order).alias("__o"))
-    cut = _strips(first, keys, edges[1], tol, "__y")
-    cut = _strips(cut, [*keys, "__y"], edges[0], tol, "__x")
+    first = cut(placed.groupBy(*keys, *edges).agg(F.min(order).alias("__o")))
+    split = _strips(first, keys, edges[1], tol, "__y")
+    split = _strips(split, [*keys, "__y"], edges[0], tol, "__x")
     point = F.struct("__o", *edges)
-    groups = cut.groupBy(*keys, "__y", "__x").agg(F.array_sort(F.collect_list(point)).alias("__p"))
+    groups = split.groupBy(*keys, "__y", "__x").agg(F.array_sort(F.collect_list(point)).alias("__p"))
     kind = "array<struct<__o:bigint," + ",".join(f"{e}:double" for e in edges) + ">>"
 
     def step(kept: Column, p: Column) -> Column:
@@ -107,15 +108,15 @@ def spans_to_regions(spans: DataFrame, regions: DataFrame, image: str = "image_i
     Both sides are cut into offset buckets, so the join key is (picture, bucket) and a picture
     with many regions is spread over many tasks; a pair is emitted in its first common bucket only.
     """
-    def cut(df: DataFrame) -> DataFrame:
+    def bucketed(df: DataFrame) -> DataFrame:
         lo, hi = F.floor(F.col("start") / bucket), F.floor(F.greatest(
             F.col("end") - 1, F.col("start")) / bucket)
         return df.withColumn("__lo", lo).withColumn("__b", F.explode(F.sequence(lo, hi)))
 
-    s = cut(spans).select(image, "__b", F.col("__lo").alias("__slo"), F.col("start").alias("span_start"),
+    s = bucketed(spans).select(image, "__b", F.col("__lo").alias("__slo"), F.col("start").alias("span_start"),
                           F.col("end").alias("span_end"),
                           *[c for c in spans.columns if c not in (image, "start", "end")])
-    r = cut(regions)
+    r = bucketed(regions)
     touch = (F.col("span_start") < F.col("end")) & (F.col("span_end") > F.col("start"))
     return (s.join(r, [image, "__b"]).filter(touch & (
         F.col("__b") == F.greatest("__slo", "__lo"))).drop("__b", "__slo", "__lo"))

@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from veil.operators.blocks import running
 from veil.operators.grid import apply_grid_rules
 from veil.operators.rules import Rule
+from veil.session import cut
 
 
 def bands(regions: DataFrame, image: str, lo: str, hi: str, name: str,
           width: float = 100_000.0) -> DataFrame:
     """Number the bands of one axis: a new band starts beyond everything that came before.
 
-    Regions with the same lower edge collapse to one interval before anything is ordered.
+    Regions with the same lower edge collapse to one interval before anything is ordered. Gives
+    one row per (image, lower edge).
     """
-    edges = regions.groupBy(image, lo).agg(F.max(hi).alias("__hi"))
+    edges = cut(regions.groupBy(image, lo).agg(F.max(hi).alias("__hi")))
     seen = running(edges, [image], lo, F.col("__hi"), "__seen", fold="max", width=width)
     flag = F.when(F.col("__seen").isNull() | (F.col(lo) > F.col("__seen")), 1).otherwise(0)
-    marked = seen.withColumn("__new", flag.cast("long"))
+    marked = cut(seen.select(image, lo, flag.cast("long").alias("__new")))
     count = running(marked, [image], lo, F.col("__new"), "__n", width=width)
-    numbered = count.select(image, lo, (F.coalesce("__n", F.lit(0)) + F.col("__new") - 1)
-                            .cast("int").alias(name))
-    return regions.join(numbered, [image, lo])
+    return count.select(image, lo, (F.coalesce("__n", F.lit(0)) + F.col("__new") - 1)
+                        .cast("int").alias(name))
 
 
 def place_cells(regions: DataFrame, image: str = "image_id") -> DataFrame:
-    """Add ``row`` and ``col`` to each region."""
-    return bands(bands(regions, image, "y0", "y1", "row"), image, "x0", "x1", "col")
+    """Add ``row`` and ``col`` to each region. Written once, because a table is read from it
+    several times (its shape, its cells, the boxes of hidden cells)."""
+    rows = bands(regions, image, "y0", "y1", "row")
+    cols = bands(regions, image, "x0", "x1", "col")
+    return cut(regions.join(rows, [image, "y0"]).join(cols, [image, "x0"]))
 
 
 def table_shape(placed: DataFrame, image: str = "image_id") -> DataFrame:

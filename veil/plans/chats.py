@@ -16,6 +16,7 @@ from veil.operators.terms import match_memory
 from veil.plans import duck
 from veil.plans.registry import query
 from veil.plans.tables import derive, derived, table, with_derived
+from veil.session import cut
 
 M = with_derived("messages")
 S = with_derived("sentences")
@@ -66,10 +67,10 @@ def _(spark, sf):
     return gated(spark, sf).select("conv_id", "turn", "clean")
 
 
-@query("f1_order_items", f"{ITEMS} SELECT conv_id, turn, CAST(start AS VARCHAR) AS starts FROM items")
+@query("f1_order_items", f"{ITEMS} SELECT m.conv_id, m.turn, coalesce(CAST(start AS VARCHAR), '') AS starts FROM messages m LEFT JOIN items USING (conv_id, turn)")
 def _(spark, sf):
     ordered = F.expr(sp.order_items("items"))
-    return gated(spark, sf).filter(F.size("items") > 0).select("conv_id", "turn", F.array_join(
+    return gated(spark, sf).select("conv_id", "turn", F.array_join(
         F.transform(ordered, lambda i: i["start"].cast("string")), ",").alias("starts"))
 
 
@@ -126,7 +127,7 @@ DECISION = "turn % 3 <> 0"
 
 
 def decided(spark, sf):
-    found = items(spark, sf)
+    found = cut(items(spark, sf))
     choices = found.select("conv_id", "turn", "start", F.expr(DECISION).alias("hide"))
     return gate.apply_decisions(found, choices)
 
@@ -144,16 +145,15 @@ def _(spark, sf):
 @query("c6_drop_allowed", f"""{ITEMS} SELECT conv_id, turn, start, value FROM items i WHERE NOT EXISTS (
   SELECT 1 FROM items a WHERE a.level = 'medium' AND NOT (a.turn % 3 <> 0) AND a.conv_id = i.conv_id AND lower(a.value) = lower(i.value))""")
 def _(spark, sf):
-    allow = gate.commit_decisions(decided(spark, sf))
-    return gate.drop_allowed(items(spark, sf), allow).select("conv_id", "turn", "start", "value")
+    found = decided(spark, sf)
+    return gate.drop_allowed(found, gate.commit_decisions(found)).select("conv_id", "turn", "start", "value")
 
 
 @query("r8_allow_rule", f"{ITEMS} SELECT conv_id, turn, value FROM items WHERE lower(value) NOT IN ('meera', 'ravi')")
 def _(spark, sf):
     found = items(spark, sf)
     rules = spark.createDataFrame([("Meera",), ("RAVI",)], "value string")
-    none = found.select("conv_id", "value").filter(F.lit(False))
-    return gate.drop_allowed(found, none, everywhere=rules).select("conv_id", "turn", "value")
+    return gate.drop_allowed(found, everywhere=rules).select("conv_id", "turn", "value")
 
 
 @query("b12_needs_review", f"""{ITEMS}, r AS (SELECT m.conv_id, m.turn, i.level FROM messages m LEFT JOIN items i USING (conv_id, turn))
@@ -232,13 +232,12 @@ def sentence_items(spark, sf, detector, cats=None):
     return (rows.filter(F.col("cat").isin(*cats)) if cats else rows).select("doc_id", "start", "match")
 
 
-VERHOEFF = """list_reduce(list_prepend('00', list_transform(range(1, 13), lambda i: substr(reverse(planted), i, 1) || CAST((i - 1) % 8 AS VARCHAR))),
+VERHOEFF = """list_reduce(list_prepend('00', list_transform(range(1, 13), lambda i: substr(reverse(v), i, 1) || CAST((i - 1) % 8 AS VARCHAR))),
   lambda c, x: substr('0123456789123406789523401789563401289567401239567859876043216598710432765982104387659321049876543210',
    CAST(substr(c, 1, 1) AS INT) * 10 + CAST(substr('01234567891576283094580379614289160435279453126870428657390127938064157046913258',
    CAST(substr(x, 2, 1) AS INT) * 10 + CAST(substr(x, 1, 1) AS INT) + 1, 1) AS INT) + 1, 1) || '0') = '00'"""
 
 for name, detector, cats, where in (
-        ("h2_aadhaar", d.detect_aadhaar, None, f"t = 0 AND {VERHOEFF}"),
         ("h4_pan", d.detect_pan, None, "t = 1"),
         ("h5_ifsc", d.detect_ifsc, None, "t = 2"),
         ("h6_upi", d.detect_upi, None, "t = 3"),
@@ -249,13 +248,25 @@ for name, detector, cats, where in (
         ("h18_people", d.detect_people, None, "t IN (12, 13)"),
         ("h19_personal", d.detect_personal, None, "t IN (14, 15, 16)"),
         ("h20_address", d.detect_address, None, "t = 17"),
-        ("h22_accounts", d.detect_accounts, ("ACCOUNT", "USERNAME"),
-         "t IN (18, 19) OR (t = 0 AND length(planted) BETWEEN 11 AND 18)"),
         ("h23_encoded", d.detect_encoded, None, "t = 20")):
     query(name, planted(where))(
         lambda spark, sf, detector=detector, cats=cats: sentence_items(spark, sf, detector, cats))
 
 
+def digit_runs(where: str) -> str:
+    return f"SELECT doc_id, s AS start, v AS match FROM ({duck.spans('sentences', 'doc_id', 'text', '[0-9]+')}) WHERE {where}"
+
+
+@query("h2_aadhaar", f"{S} {digit_runs(f'length(v) = 12 AND v >= {duck.q(chr(50))} AND {VERHOEFF}')}")
+def _(spark, sf):
+    return sentence_items(spark, sf, d.detect_aadhaar)
+
+
+@query("h22_accounts", f"{planted('t IN (18, 19)')} UNION ALL {digit_runs('length(v) BETWEEN 11 AND 18')}")
+def _(spark, sf):
+    return sentence_items(spark, sf, d.detect_accounts)
+
+
 @query("h3_ocr_groups", f"{M} SELECT conv_id, turn, substr(planted, 1, 4) || ' ' || substr(planted, 5, 3) || ' ' || substr(planted, 9, 4) AS match "
        "FROM messages WHERE turn % 8 IN (2, 6)")
 def _(spark, sf):
@@ -328,7 +339,8 @@ FILES = "SELECT c_custkey AS conv_id, c_name AS name, 'text' AS kind, c_mktsegme
     || 'FILE: ' || c_name || ' (text)' || chr(10) || c_mktsegment || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || text AS payload
   FROM clean JOIN customer ON conv_id = c_custkey""")
 def _(spark, sf):
-    first = placeholders.attach_once(gated(spark, sf).select("conv_id", "turn", F.col("clean").alias("text")))
+    clean = cut(gated(spark, sf).select("conv_id", "turn", F.col("clean").alias("text")))
+    first = placeholders.attach_once(clean)
     customers = derive(spark, sf, FILES, "customer")
     first = first.join(customers.select("conv_id"), "conv_id", "left_semi")
     opening = first.filter("with_screen").select("conv_id", "turn")
@@ -377,10 +389,10 @@ def _(spark, sf):
     return items(spark, sf).groupBy(placeholder_class(F.col("ph")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g17_placeholder_tokens", f"{ITEMS} SELECT conv_id, turn, ph AS tokens FROM items")
+@query("g17_placeholder_tokens", f"{ITEMS} SELECT m.conv_id, m.turn, coalesce(ph, '') AS tokens FROM messages m LEFT JOIN items USING (conv_id, turn)")
 def _(spark, sf):
     tokens = F.array_join(placeholder_tokens(F.col("clean")), " ").alias("tokens")
-    return gated(spark, sf).select("conv_id", "turn", tokens).filter(F.col("tokens") != "")
+    return gated(spark, sf).select("conv_id", "turn", tokens)
 
 
 @query("g12_phrase_placeholder", "SELECT o_orderkey, '[' || replace(upper(lower(o_orderpriority) || ' code'), ' ', '_') || ']' AS ph FROM orders")
@@ -415,3 +427,21 @@ def _(spark, sf):
     from veil.operators.blocks import first_rows
 
     return first_rows(messages(spark, sf).select("conv_id", "turn"), ["conv_id"], ["turn"], 3)
+
+
+def name_model():
+    """Stand-in for a text model: capitalised words are people."""
+    import re
+
+    word = re.compile(r"[A-Z][a-z]{2,}")
+    return lambda texts: [[(m.start(), m.end(), "PERSON", 0.9) for m in word.finditer(t)] for t in texts]
+
+
+@query("h21_model_spans", f"{M} SELECT turn, CAST(strpos(text, nm) - 1 AS INT) AS start, nm AS match, 'medium' AS level FROM (SELECT *, "
+       "regexp_extract(text, '[A-Z][a-z]{2,}') AS nm FROM messages) WHERE nm <> ''")
+def _(spark, sf):
+    from veil.operators.model import model_items, run_model
+
+    texts = messages(spark, sf).select("turn", "text")
+    found = model_items(texts, run_model(texts, name_model, "turn"), ("turn",), "text")
+    return found.select("turn", F.col("i.start").alias("start"), F.col("i.match").alias("match"), F.col("i.level").alias("level"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     return f"{base.rstrip('/')}/veil-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    For small results of expensive input that the plan needs more than once: the input is then
+    read once, and a lost executor costs a re-read of the written table, not of its whole history.
+    """
+    path = work_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

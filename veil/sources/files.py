@@ -48,12 +48,12 @@ def parse_delimited(text: Column, sep: str) -> Column:
     returns outside quotes vanish, wholly blank rows are dropped. Every cell is a string.
     """
     d = r"\t" if sep == "\t" else "\\Q" + sep + "\\E"
-    field = rf'((?:"(?:[^"]++|"")*+"|[^"{d if sep == chr(9) else sep}\n])*+)({d}|\n|\z)'
+    field = rf'((?:"(?:[^"]++|"")*+(?:"|\z)|[^"{d if sep == chr(9) else sep}\n])*+)({d}|\n|\z)'
     bodies = F.regexp_extract_all(text, F.lit(field), F.lit(1))
     ends = F.regexp_extract_all(text, F.lit(field), F.lit(2))
     # Outside quotes \r goes; the quotes themselves go last, doubled ones become one.
     plain = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        s, r'\r(?=(?:[^"]*"[^"]*")*[^"]*$)', ""), r'"((?:[^"]++|"")*+)"', "$1"), '""', '"')
+        s, r'\r(?=(?:[^"]*"[^"]*")*[^"]*$)', ""), r'"((?:[^"]++|"")*+)(?:"|\z)', "$1"), '""', '"')
     pairs = F.zip_with(bodies, ends, lambda b, e: F.struct(plain(b).alias("c"), e.alias("e")))
     rows_type, row_type = "array<array<string>>", "array<string>"
     zero = F.struct(F.array().cast(rows_type).alias("rows"), F.array().cast(row_type).alias("row"))
@@ -65,7 +65,7 @@ def parse_delimited(text: Column, sep: str) -> Column:
                      F.array().cast(row_type).alias("row")))
 
     rows = F.aggregate(pairs, zero, step, lambda z: z["rows"])
-    return F.filter(rows, lambda r: F.exists(r, lambda c: F.trim(c) != ""))
+    return F.filter(rows, lambda r: F.exists(r, lambda c: c.rlike(r"\S")))
 
 
 def read_grid(spark: SparkSession, path: str, sep: str = ",",

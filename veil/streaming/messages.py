@@ -82,6 +82,7 @@ class SessionGate(StatefulProcessor):
         pass
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GATE_OUTPUT = ("conv_id long, turn long, start int, cat string, value string, number long, "
                "late boolean")
 
@@ -92,6 +93,8 @@ def session_gate(items: DataFrame) -> DataFrame:
     State is kept per conversation; one conversation is handled in order by one task, which is
     what its numbering means.
     """
+    # Map state needs the RocksDB store; the default store of a plain session cannot hold it.
+    items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = items if "control" in items.columns else items.withColumn("control", F.lit(""))
     return (rows.select("conv_id", "turn", "start", "cat", "value", "control")
             .groupBy("conv_id")
