@@ -18,8 +18,12 @@ NOT_CUES = ("passport", "passports", "passed", "password's")
 # others damaged uses up the edits, so it must end the word. Anything else cannot match.
 CANDIDATE = (r"(?<![a-z])(?:[a-z]{0,9}(?:pas|swo|sco|sph|ras)[a-z]{0,9}|[a-z]{4,8}(?:rd|de))"
              r"(?![a-z])")
-TWO_TOKENS = r"(?<![a-z])[a-z]{3,6}[ _.-](?:w[a-z]{2,4}|c[a-z]{2,4}|phrase)(?![a-z])"
-THREE_TOKENS = r"(?<![a-z])[a-z]{2,4}[ _.-][a-z]{1,4}[ _.-][a-z]{1,3}[de](?![a-z])"
+# Two neighbours joined, at most one edit: one half is whole, the other nearly so.
+TWO_TOKENS = (r"(?<![a-z])(?:(?:p?ass?|pa?ss|[a-z]ass|p[a-z]ss|pa[a-z]s|pas[a-z]|[a-z]?pass[a-z]?)"
+              r"[ _.-](?:w[a-z]{2,4}|c[a-z]{2,4}|phrase)|[a-z]{3,5}[ _.-](?:word|code|phrase))(?![a-z])")
+# The exact letters with separators among them.
+SPLIT = (r"(?<![a-z])p[ _.-]?a[ _.-]?s[ _.-]?s[ _.-]?"
+         r"(?:w[ _.-]?o[ _.-]?r[ _.-]?d|c[ _.-]?o[ _.-]?d[ _.-]?e)(?![a-z])")
 
 # Words that follow "is" or "to" in ordinary sentences about passwords.
 ORDINARY = ("something", "anything", "nothing", "empty", "wrong", "weak", "strong", "stronger",
@@ -70,12 +74,16 @@ def find_cues(text: str) -> str:
             spans = keep(find_spans(folded, pattern), lambda s: test(f"{s}.v"))
             return f"if(({gate}) AND exists({words}, {w} -> {test(w)}), {spans}, {NO_SPANS})"
 
-        near = " OR ".join(f"contains({folded}, '{half}')"
-                           for half in ("pas", "ass", "word", "code", "phra"))
-        return (f"concat({of(CANDIDATE, is_cue, 'true')}, {of(TWO_TOKENS, joined, near)}, "
-                f"{of(THREE_TOKENS, joined, near)})")
+        halves = " OR ".join(f"contains({folded}, '{half}')" for half in (
+            "pas", "ass", "pss", " word", " code", " phra", "-word", "-code", "_word", "_code"))
+        separated = f"rlike({folded}, 'p[ _.-]?a[ _.-]?s[ _.-]?s[ _.-]?[wc]')"
+        parted = lambda w: f"({joined(w)} AND rlike({w}, '[ _.-]'))"
+        return (f"concat({of(CANDIDATE, is_cue, 'true')}, {of(TWO_TOKENS, parted, halves)}, "
+                f"{of(SPLIT, parted, separated)})")
 
-    return let(fold_leet(lower_ascii(text)), search)
+    # One-to-one folding keeps offsets; both translations only where there is something to fold.
+    lowered = f"if(contains({text}, 'İ'), {lower_ascii(text)}, lower({text}))"
+    return let(lowered, lambda x: let(f"if(rlike({x}, '[@0135$7]'), {fold_leet(x)}, {x})", search))
 
 
 def entropy(v: str) -> str:

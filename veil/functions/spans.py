@@ -137,7 +137,7 @@ def apply_items(text: str, items: str, masked: Callable[[str], str] = masks_by_d
             f"{z} -> concat({z}.o, substring({text}, {z}.c + 1)))")
 
 
-def find_tokens(text: str, pattern: str, block: int = 64) -> str:
+def find_tokens(text: str, pattern: str, block: int = 16) -> str:
     """:func:`find_spans` for patterns with very many matches.
 
     Appending to an array copies it, so the running lengths are worked out block by block.

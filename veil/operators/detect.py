@@ -34,7 +34,7 @@ COORD = r"(?<![0-9.])-?[0-9]{1,3}\.[0-9]{3,}, ?-?[0-9]{1,3}\.[0-9]{3,}(?![0-9])"
 KEY = (r"(?<![A-Za-z0-9_-])(?:sk-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{20,}"
        r"|xox[abprs]-[A-Za-z0-9-]{10,}|AKIA[A-Z0-9]{12,}"
        r"|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})")
-LONG = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}"
+LONG = r"[A-Za-z0-9_+/=-]{20,}"
 
 SECRET_NAMES = (r"(?:[A-Za-z0-9_.-]*(?:password|passwd|pwd|secret|token|api_?key|apikey"
                 r"|access_?key|private_?key|credential|auth)[A-Za-z0-9_.-]*)")
@@ -118,7 +118,7 @@ TO_AFTER_FROM = (r"(?i)(?<![a-z])((?:change|changed|changing|update|updated|rese
 BEFORE_TAIL = rf"{VALUE}[\"']? (?:is|was) (?:my|the|our)(?: [a-z0-9]+)? $"
 
 LONG_NUMBER = r"(?<![0-9])[0-9]{11,18}(?![0-9])"
-BASE64 = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}"
+BASE64 = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])"
 PERCENT = r"[A-Za-z0-9._~+-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+-]*)+"
 
@@ -140,6 +140,12 @@ def _values(spans: str, test: Callable[[str], str]) -> str:
     return keep(spans, lambda s: test(f"{s}.v"))
 
 
+def _any_match(t: str, pattern: str, test: str) -> str:
+    """Does any match of ``pattern`` hold ``test``? Cheaper than the offsets of all of them."""
+    w = var("w")
+    return f"exists(regexp_extract_all({t}, {lit(pattern)}, 0), {w} -> {_rlike(w, test)})"
+
+
 def _concat(*arrays: str) -> str:
     return f"concat({', '.join(arrays)})"
 
@@ -235,7 +241,7 @@ def is_random(v: str) -> str:
 
 def detect_entropy(t: str, low: str | None = None) -> str:
     """Long random-looking strings, whatever the sentence says."""
-    found = _values(find_spans(t, LONG, _rlike(t, "[A-Za-z0-9_+/=-]{20}")), is_random)
+    found = _values(find_spans(t, LONG, _any_match(t, LONG, "[0-9]")), is_random)
     return to_items(found, cat="SECRET", kind="High-entropy string", level="high", layer="shape",
                     ev="long and random", ph="[SECRET]")
 
@@ -421,7 +427,7 @@ def detect_encoded(t: str, low: str | None = None) -> str:
     """Base64, hex and URL-encoded pieces that decode to something private."""
     # A word of plain lower-case letters is no payload; saves decoding every long word.
     mixed = "^.+[A-Z0-9+/=_-]"
-    b64 = _values(find_spans(t, BASE64, _rlike(t, "[A-Za-z0-9+/_-]{16}")), lambda v: _rlike(v, mixed))
+    b64 = _values(find_spans(t, BASE64, _any_match(t, BASE64, mixed)), lambda v: _rlike(v, mixed))
     hexa = find_spans(t, HEX, _rlike(t, "[0-9a-fA-F]{16}"))
     url = find_spans(t, PERCENT, has_any(t, "%"))
     s, x = var("s"), var("x")

@@ -43,6 +43,7 @@ def message_stream(spark, sf):
 
     orders = table(spark, sf, "orders")
     source = (spark.readStream.schema(orders.schema).load(f"{sf}/orders*.parquet", format="parquet"))
+    source = source.select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(MESSAGES, orders=source).select("conv_id", "turn", "text")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veil.sources.files import read_spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -121,8 +123,13 @@ DERIVED = {"messages": (MESSAGES, ("orders",)), "grid": (GRID, ("customer",)),
            "pdf": (PDF, ("conversations",))}
 
 
+# Tables whose rows cost much work each: texts, and what texts are derived from.
+HEAVY = ("documents", "pages", "conversations", "orders")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path) if name in HEAVY else spark.read.parquet(path)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

@@ -99,3 +99,14 @@ def pages_to_read(pages: DataFrame, flags: DataFrame, max_pages: int = 6) -> Dat
     """Pages of scanned documents that go to image reading: the first few."""
     scanned = flags.filter("scanned").select("file_id")
     return pages.filter(F.col("page_no") <= max_pages).join(scanned, "file_id", "left_semi")
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet with enough partitions to keep every core busy.
+
+    A large table has more splits than cores and is left alone, so nothing is shuffled at scale.
+    Only a file of few row groups, which would run on one core, is dealt out.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)

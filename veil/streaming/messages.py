@@ -42,38 +42,49 @@ class SessionGate(StatefulProcessor):
         self.allow = handle.getMapState("allow", "value string", "yes boolean")
         self.seen = handle.getValueState("seen", "turn long")
 
-    def _number(self, cat: str, value: str) -> int:
-        known = self.numbers.getValue((cat, value)) if self.numbers.containsKey((cat, value)) else None
-        if known:
-            return known[0]
-        last = self.counters.getValue((cat,))[0] if self.counters.containsKey((cat,)) else 0
-        self.counters.updateValue((cat,), (last + 1,))
-        self.numbers.updateValue((cat, value), (last + 1,))
-        return last + 1
-
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
         import pandas as pd
 
         # The batches of one key hold one trigger's rows of one session; maxFilesPerTrigger bounds
-        # them. Turns have to be replayed in order, hence the sort.
+        # them. Turns have to be replayed in order, hence the sort. Every state call is a round
+        # trip to the JVM, so what one trigger reads is kept here and counters are written once.
         batch = pd.concat(list(rows)).sort_values(["turn", "start"], kind="stable")
+        known: dict = {}
+        last: dict = {}
+        allowed: dict = {}
+        seen = (self.seen.get() or (-1,))[0] if self.seen.exists() else -1
         out = []
         for r in batch.itertuples(index=False):
             if r.control == "reset":
                 for state in (self.numbers, self.counters, self.allow, self.seen):
                     state.clear()
+                known, last, allowed, seen = {}, {}, {}, -1
                 continue
             value = " ".join(r.value.split()).lower()
             if r.control == "allow":
                 self.allow.updateValue((value,), (True,))
+                allowed[value] = True
                 continue
-            last = self.seen.get()[0] if self.seen.exists() else -1
-            if r.turn > last:
-                self.seen.update((int(r.turn),))
-            if self.allow.containsKey((value,)):
+            late, seen = r.turn < seen, max(seen, int(r.turn))
+            if value not in allowed:
+                allowed[value] = self.allow.containsKey((value,))
+            if allowed[value]:
                 continue
-            out.append((key[0], r.turn, r.start, r.cat, r.value, self._number(r.cat, value),
-                        bool(r.turn < last)))
+            slot = (r.cat, value)
+            if slot not in known:
+                known[slot] = self.numbers.getValue(slot)[0] if self.numbers.containsKey(slot) else 0
+            if not known[slot]:
+                if r.cat not in last:
+                    held = self.counters.containsKey((r.cat,))
+                    last[r.cat] = self.counters.getValue((r.cat,))[0] if held else 0
+                last[r.cat] += 1
+                known[slot] = last[r.cat]
+                self.numbers.updateValue(slot, (last[r.cat],))
+            out.append((key[0], r.turn, r.start, r.cat, r.value, known[slot], bool(late)))
+        for cat, n in last.items():
+            self.counters.updateValue((cat,), (n,))
+        if seen >= 0:
+            self.seen.update((seen,))
         if out:
             yield pd.DataFrame(out, columns=["conv_id", "turn", "start", "cat", "value", "number",
                                              "late"])
