@@ -120,6 +120,13 @@ def outside(items: str, spans: str) -> str:
     return let(spans, clear)
 
 
+def each(array: str) -> str:
+    """The array as generator input. A bare column would make Catalyst infer a size filter and push
+    it below the projection that computes the array, which would then be computed twice."""
+    x = var("x")
+    return f"transform({array}, {x} -> {x})"
+
+
 def masks_by_default(item: str) -> str:
     """Everything except ``low`` is hidden."""
     return f"{item}.level <> 'low'"

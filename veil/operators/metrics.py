@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from veil.functions.spans import each
 from veil.functions.text import placeholder_class
 
 
@@ -27,7 +28,7 @@ def payload_bytes(text: Column) -> Column:
 
 def leak_report(checked: DataFrame) -> DataFrame:
     """Residual values by kind, over all payloads."""
-    return checked.select(F.explode("residual").alias("kind")).groupBy("kind").agg(
+    return checked.select(F.explode(F.expr(each("residual"))).alias("kind")).groupBy("kind").agg(
         F.count(F.lit(1)).alias("leaks"))
 
 

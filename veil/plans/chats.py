@@ -52,7 +52,7 @@ def items(spark, sf):
 
 @query("b7_masks_by_default", f"{ITEMS} SELECT level, true AS masked, count(*) AS n FROM items GROUP BY level")
 def _(spark, sf):
-    rows = gated(spark, sf).select(F.explode("items").alias("i"))
+    rows = gated(spark, sf).select(F.explode(F.expr(sp.each("items"))).alias("i"))
     return rows.groupBy(F.col("i.level").alias("level"), F.expr(sp.masks_by_default("i")).alias("masked")
                         ).agg(F.count(F.lit(1)).alias("n"))
 

@@ -94,7 +94,7 @@ def _(spark, sf):
   i.kind AS kind, i.level AS level, i.ph AS ph FROM (SELECT doc_id, unnest(k) AS i FROM kept)""")
 def _(spark, sf):
     out = gate.analyze(table(spark, sf, "documents").select("doc_id", "text"), warnings=False)
-    return out.select("doc_id", F.inline("items")).select(
+    return out.select("doc_id", F.inline(F.expr(sp.each("items")))).select(
         "doc_id", "start", "end", "match", "cat", "kind", "level", "ph")
 
 
