@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -30,13 +32,18 @@ def build_session(app: str = "veil", master: str | None = None, **extra: str) ->
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only when that is unset (single-node
-    tests) a local temporary folder is used.
+    The folder is the one named by ``spark.checkpoint.dir``. Only a single-process session (tests)
+    may leave it unset and then gets a local temporary folder; on a cluster that is an error, since
+    every executor would write to its own disk.
     """
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/veil-{name}-{uuid.uuid4().hex}"
 
 
