@@ -91,7 +91,8 @@ def _segments(total: np.ndarray, step: int) -> pa.RecordBatch:
 
 def signatures(docs: DataFrame, counts: np.ndarray, bits: int, k: int, num: int, den: int,
                id_col: str, text_col: str) -> DataFrame:
-    """uid, doc, n, sid (digest of the set; null if empty), prefix (rarest first) per row."""
+    """uid, doc, n, sid (digest of the set; null if empty), prefix (rarest first), parts (the set's
+    sizes by hash range) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,37 +100,59 @@ def signatures(docs: DataFrame, counts: np.ndarray, bits: int, k: int, num: int,
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                n, sid, prefix = [], [], []
+                n, sid, prefix, parts = [], [], [], []
                 for _, s in shingle_sets(b.column(1), k):
                     n.append(len(s))
                     sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     order = np.argsort(often[_slot(s, bits)], kind="stable")
                     most = len(s) - -(-num * len(s) // den) + 1
                     prefix.append(s[order[:most]].view(np.int64))
+                    parts.append(np.bincount(_slot(s, 4), minlength=PARTS).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(uid, uid + len(n)), pa.int64()), b.column(0), pa.array(n, pa.int64()),
-                     pa.array(sid, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["uid", "doc", "n", "sid", "prefix"])
+                     pa.array(sid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
+                     pa.array(parts, pa.list_(pa.int32()))],
+                    names=["uid", "doc", "n", "sid", "prefix", "parts"])
                 uid += len(n)
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(
-        run, "uid long, doc long, n long, sid binary, prefix array<long>")
+        run, "uid long, doc long, n long, sid binary, prefix array<long>, parts array<int>")
 
 
-def whole_sets(docs: DataFrame, k: int, text_col: str) -> DataFrame:
-    """sid, grams, parts (sizes by hash range) of the texts of ``docs``."""
+def whole_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, id_col: str, text_col: str,
+               bits: int = 24) -> str:
+    """Path of a table (node, grams) of the sets of ``nodes``, read from the texts again.
+
+    Texts are not shuffled for that. The wanted ids mark a bit map of fixed size (2**bits bits), which
+    the tasks that read the texts hold; sets of unmarked rows are not sent. What is sent meets its node
+    by the set's digest, so a bit shared by two ids costs a row, not a wrong result.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    wanted = rows.join(nodes, F.col("uid") == F.col("node")).select("node", "doc", "sid")
+    # The bitmap functions count from 1: number b + 1 is bit b mod 32768 of bucket b div 32768 + 1.
+    maps = wanted.select((bit(F.col("doc")) + 1).alias("bit")).select(
+        F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at")).groupBy(
+        "bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    marked = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in maps:
+        marked[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value, bitorder="little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                sets = [s for _, s in shingle_sets(b.column(0), k) if len(s)]
+            at = held[whole.column(0).to_numpy(zero_copy_only=False)].astype(bool)
+            whole = whole.filter(pa.array(at))
+            for i in range(0, whole.num_rows, 512):
+                sets = [s for _, s in shingle_sets(whole.slice(i, 512).column(1), k) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                     pa.array([np.bincount(_slot(s, 4), minlength=PARTS) for s in sets],
-                              pa.list_(pa.int64()))], names=["sid", "grams", "parts"])
+                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    names=["sid", "grams"])
 
-    return docs.select(text_col).mapInArrow(run, "sid binary, grams array<long>, parts array<long>")
+    sent = docs.select(bit(F.col(id_col).cast("long")).alias("bit"), text_col).mapInArrow(
+        run, "sid binary, grams array<long>")
+    return save(sent.join(wanted.select("sid", "node"), "sid").select("node", "grams"), "sets")
 
 
 def need(na: Column, nb: Column, num: int, den: int) -> Column:
@@ -141,20 +164,29 @@ def may_link(num: int, den: int) -> Column:
     """Length, positional and suffix filter over the columns of two members a_ and b_."""
     na, nb = F.col("na"), F.col("nb")
     left = F.least(na - F.col("pa"), nb - F.col("pb"))
-    both = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"),
-                       lambda s, x: s + x)
+    both = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     least = need(na, nb, num, den)
     return ((F.least(na, nb) * den >= F.greatest(na, nb) * num) & (left >= least) & (both >= least))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link."""
+def verify(candidates: DataFrame, docs: DataFrame, rows: DataFrame, k: int, num: int, den: int,
+           id_col: str, text_col: str) -> str:
+    """Path of a table of the candidate pairs (a, b, na, nb) that link; each pair is verified once."""
+    spark = candidates.sparkSession
+    pair_at = save(candidates.distinct(), "pairs")
+    pairs = spark.read.parquet(pair_at)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    set_at = whole_sets(docs, nodes, rows, k, id_col, text_col)
+    sets = spark.read.parquet(set_at)
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("xa"))
     b = sets.select(F.col("node").alias("b"), F.col("grams").alias("xb"))
-    return (pairs.join(a, "a").join(b, "b")
-            .withColumn("both", F.size(F.array_intersect("xa", "xb")).cast("long"))
-            .where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num)
-            .select("a", "b").distinct())
+    links = (pairs.join(a, "a").join(b, "b")
+             .withColumn("both", F.size(F.array_intersect("xa", "xb")).cast("long"))
+             .where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num)
+             .select("a", "b").distinct())
+    link_at = save(links, "links")
+    drop(spark, pair_at, set_at)
+    return link_at
 
 
 def _side(members: DataFrame, s: str, *more: str) -> DataFrame:
@@ -187,42 +219,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "token", "node", F.shiftright("at", 31).alias("n"), (F.col("at") % F.lit(1 << 31)).alias("pos")),
         "postings")
     posts = spark.read.parquet(post_at)
-
-    wanted = sigs.select("uid", "doc", "sid").join(
-        posts.select(F.col("node").alias("uid")).distinct(), "uid").select("uid", "doc", "sid")
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select(ident.alias("doc"), text_col).join(
-        wanted.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc")).distinct(), "doc", "left_semi")
-    set_at = save(whole_sets(texts, k, text_col).join(
-        wanted.select("sid", F.col("uid").alias("node")), "sid").drop("sid"), "sets")
-    sets = spark.read.parquet(set_at)
-    parts = sets.select("node", "parts")
-
-    members_at = save(posts.join(parts, "node"), "members")
+    rows_at = save(sigs.drop("prefix", "parts"), "rows")
+    rows = spark.read.parquet(rows_at)
+    members_at = save(posts.join(sigs.select(F.col("uid").alias("node"), "parts"), "node"), "members")
     members = spark.read.parquet(members_at)
+    drop(spark, sig_at, post_at)
+
     hubs = members.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "parts")).alias("h"))
     hub_side = hubs.select("token", F.col("h.node").alias("a"), F.col("h.n").alias("na"),
                            F.col("h.pos").alias("pa"), F.col("h.parts").alias("ga"))
     first = (_side(members, "b").join(hub_side, "token").where((F.col("a") != F.col("b")) & may_link(num, den))
-             .select("a", "b", "na", "nb").distinct())
-    first_at = save(verify(first, sets, num, den), "links")
-    first_links = spark.read.parquet(first_at)
+             .select("a", "b", "na", "nb"))
+    whole = (docs, rows, k, num, den, id_col, text_col)
+    first_links = spark.read.parquet(verify(first, *whole))
     near = components(first_links)
 
     grouped = members.join(near, "node", "left").withColumn("known", F.coalesce("root", "node"))
     rest = (_side(grouped, "a", "known").join(_side(grouped, "b", "known"), "token")
             .where((F.col("a") < F.col("b")) & (F.col("known_a") != F.col("known_b")) & may_link(num, den))
-            .select("a", "b", "na", "nb").distinct())
-    rest_at = save(verify(rest, sets, num, den), "links")
-    drop(spark, set_at, members_at, post_at)
-    roots = components(first_links.union(spark.read.parquet(rest_at)))
+            .select("a", "b", "na", "nb"))
+    roots = components(first_links.union(spark.read.parquet(verify(rest, *whole))))
+    drop(spark, members_at)
 
-    named = (sigs.where(F.col("sid").isNotNull()).groupBy("sid").agg(
+    named = (rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(
         F.min("uid").alias("node"), F.min("doc").alias("least")).join(roots, "node", "left")
         .select("sid", F.coalesce("root", "node").alias("root"), "least"))
     tops = named.groupBy("root").agg(F.min("least").alias("top"))
     classes = named.join(tops, "root").select("sid", "top")
-    return sigs.select("doc", "n", "sid").join(classes, "sid", "left").select(
+    return rows.select("doc", "n", "sid").join(classes, "sid", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc")).otherwise(F.col("top")).alias("component_id"))
 
