@@ -249,8 +249,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     at = save(docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(_blocks(order), SCHEMA),
-              "blocks", by="kind")
-    blocks = spark.read.parquet(at)
+              "blocks", by="kind", codec="zstd")
+    blocks = spark.read.schema(SCHEMA).parquet(at)
     asked = blocks.where(F.col("kind").isin("words", "trie")).select(
         "kind", "block", F.explode(F.arrays_zip("key", "trained")).alias("x")).select(
         "kind", "block", "x.key", F.col("x.trained").alias("n"))

@@ -10,10 +10,11 @@ from veil.session import work_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def save(df: DataFrame, name: str, by: str | None = None) -> str:
+def save(df: DataFrame, name: str, by: str | None = None, codec: str = "snappy") -> str:
     """Write a table below ``spark.checkpoint.dir`` and give its path (``by``: a partition column)."""
     path = work_dir(df.sparkSession, name)
-    out = df.write.partitionBy(by) if by else df.write
+    out = df.write.option("compression", codec)
+    out = out.partitionBy(by) if by else out
     out.parquet(path)
     return path
 
