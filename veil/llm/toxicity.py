@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,9 +105,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds)).alias("fold")).drop("text"), "labelled")
     if not sample.limit(1).count():
         raise ValueError("no labelled rows to fit on")
-    vocabulary = CountVectorizer(inputCol="__words", outputCol="__x", vocabSize=vocab_size,
-                                 minDF=float(least_docs), binary=True).fit(sample)
-    train = keep(vocabulary.transform(sample).drop("__words").coalesce(8), "features")
+    # Ties at the end of the vocabulary go by the word, so that a repeated fit is the same.
+    common = (sample.select(F.explode(F.array_distinct("__words")).alias("w")).groupBy("w")
+              .agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+              .orderBy(F.desc("n"), "w").limit(vocab_size).collect())
+    vocabulary = CountVectorizerModel.from_vocabulary(
+        [r["w"] for r in common] or ["^"], inputCol="__words", outputCol="__x").setBinary(True)
+    train = keep(vocabulary.transform(sample).drop("__words").repartition(8, "id")
+                 .sortWithinPartitions("id"), "features")
     models, before = [], []
     for c in categories:
         y, p = f"y_{c}", f"p_{c}"
