@@ -203,7 +203,9 @@ def _(spark, sf):
 
 
 @query("c2_spans_to_regions", f"""{JOINED}, sp AS (SELECT image_id, s + 1 AS a, s + length(text) + 3 AS b FROM j WHERE region_id % 4 = 0)
-  SELECT sp.image_id, region_id, a AS span_start FROM sp JOIN j ON sp.image_id = j.image_id AND a < s + length(text) AND b > s""")
+  , r AS MATERIALIZED (SELECT image_id, region_id, s, length(text) AS n FROM j),
+  p AS MATERIALIZED (SELECT image_id, region_id, a, b, s, n FROM sp JOIN r USING (image_id))
+  SELECT image_id, region_id, a AS span_start FROM p WHERE a < s + n AND b > s""")
 def _(spark, sf):
     placed = regions.region_offsets(boxes(spark, sf)).select("image_id", "region_id", "start", "end")
     spans = placed.filter("region_id % 4 = 0").select("image_id", (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"))
