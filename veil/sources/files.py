@@ -34,11 +34,11 @@ def cut_texts(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) ->
     return df.withColumn(text, cut_text(F.col(text), max_chars))
 
 
-def read_texts(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """One row per text file: ``path``, ``text`` (cut with a note when too long)."""
-    files = spark.read.text(path, wholetext=True)
-    return cut_texts(files.select(F.col("_metadata.file_path").alias("path"),
-                                  F.col("value").alias("text")), max_chars=max_chars)
+def read_texts(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """One row per text file: ``path``, ``text`` (whole, or cut with a note beyond ``max_chars``)."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files if max_chars is None else cut_texts(files, max_chars=max_chars)
 
 
 def parse_delimited(text: Column, sep: str) -> Column:
@@ -69,7 +69,7 @@ def parse_delimited(text: Column, sep: str) -> Column:
 
 
 def read_grid(spark: SparkSession, path: str, sep: str = ",",
-              max_chars: int = MAX_CHARS) -> DataFrame:
+              max_chars: int | None = None) -> DataFrame:
     """Rows of delimited files: ``file_id``, ``row_idx`` (header 0), ``cells``."""
     texts = read_texts(spark, path, max_chars)
     return texts.select(F.col("path").alias("file_id"), F.posexplode(
