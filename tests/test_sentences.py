@@ -43,6 +43,17 @@ HIDDEN = {
         "user:  see https://h.com/a?token=[SECRET: 12 chars; lowercase+digits; mixed]&x=1",
     "API_KEY=zx81qq77": "API_KEY=[SECRET: 8 chars; lowercase+digits; mixed]",
     "cGFzc3dvcmQ9aHVudGVyMjI=": "[ENCODED]",
+    "my password is " + "kite#7!x" * 20:
+        "my password is [SECRET: 160 chars; lowercase+digits+symbols; mixed]",
+    "q7" * 100 + " is my password": "[SECRET: 200 chars; lowercase+digits; mixed] is my password",
+    "my name is Anna Maria Luisa Fernandez Ortiz Vega": "my name is [PERSON_1]",
+    "account 12345678901234567890": "account [ACCOUNT]",
+    "ref 1234567890123456789012": "ref [ACCOUNT]",
+    "change it from kite77x to moon88y": "change it from {0} to {0}".format(
+        "[SECRET: 7 chars; lowercase+digits; mixed, shorter than 8 characters]"),
+    "https://bob:hunter2@db.example.com/x": f"https://bob:{WORD7}@db.example.com/x",
+    "ring 212-555-1234 or +44 20 7946 0958": "ring [PHONE] or [PHONE]",
+    "call me Ishmael": "call me [PERSON_1]",
     "keep [PHONE] and [SECRET: 9 chars; lowercase+digits; mixed]":
         "keep [PHONE] and [SECRET: 9 chars; lowercase+digits; mixed]",
 }
@@ -50,6 +61,8 @@ UNTOUCHED = [
     "The password field is empty", "Forgot Password?", "what is a strong password?",
     "change my password to something stronger", "password manager recommended",
     "see page 834 for details", "tell me about Mahatma Gandhi", "my passport is old",
+    "This is Great news", "this is Python code", "this is India's best recipe", "call me Tomorrow",
+    "Ms Word", "my friend Google it", "My doctor Says hi", "order 25-989-741-2988",
     "I was diagnosed with diabetes", "my password is my dog's name plus my birth year",
 ]
 
@@ -109,6 +122,12 @@ def test_empty_text(spark):
     assert [(r["clean"], r["items"]) for r in row] == [("", []), ("", [])]
 
 
+def test_exit_reads_the_normal_reading(spark):
+    df = spark.createDataFrame([("ravi@\u200bx.com", None), ("tell Ana", ["Ana"]), ("banana", ["Ana"])],
+                               "clean string, known array<string>")
+    assert [r["residual_count"] for r in exit_check(df, known="known").collect()] == [1, 1, 0]
+
+
 def test_memory_at_the_exit(spark):
     df = spark.createDataFrame([("it was kite77", ["kite77"]), ("77etik", ["kite77"]), ("ok", ["kite77"])],
                                "clean string, known array<string>")

@@ -28,7 +28,9 @@ PAN = r"(?<![A-Za-z0-9])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9])"
 IFSC = r"(?<![A-Za-z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Za-z0-9])"
 UPI = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._-]{2,}@[A-Za-z]{2,}(?![A-Za-z0-9-]|\.[A-Za-z0-9])"
 PHONE = (r"\+?[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-         r"|(?<![0-9+])(?:\+?91[ -]?)?[6-9][0-9]{4}[ -]?[0-9]{5}(?![0-9])")
+         r"|(?<![0-9+])(?:\+?91[ -]?)?[6-9][0-9]{4}[ -]?[0-9]{5}(?![0-9])"
+         r"|(?<![0-9.-])[2-9][0-9]{2}([-.])[2-9][0-9]{2}\1[0-9]{4}(?![0-9-])"
+         r"|(?<![0-9])\+[1-9][0-9]{0,2}(?:[ -][0-9]{2,5}){2,4}(?![0-9])")
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 COORD = r"(?<![0-9.])-?[0-9]{1,3}\.[0-9]{3,}, ?-?[0-9]{1,3}\.[0-9]{3,}(?![0-9])"
 KEY = (r"(?<![A-Za-z0-9_-])(?:sk-[A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{20,}"
@@ -54,7 +56,7 @@ PIN = (rf"(?i)(?<![a-z0-9])((?:(?:card |phone |atm |upi |my )?pin"
 POSTAL = (rf"(?i)(?<![a-z0-9])((?:pin ?code|postal code|post code|postcode|zip(?: code)?)"
           rf"{OWNER}{LINK})([0-9]{{5,6}})(?![0-9])")
 ACCOUNT_CUE = (rf"(?i)(?<![a-z0-9])((?:bank )?(?:account|a/c|acct)(?: number| no\.?| num)?"
-               rf"{OWNER}{LINK})([0-9]{{6,18}})(?![0-9])")
+               rf"{OWNER}{LINK})([0-9]{{6,}})(?![0-9])")
 USER_CUE = (r"(?i)(?<![a-z0-9])((?:user ?name|user id|login id|login)(?: is| was|[ ]?[:=])[ ]?)"
             r"([a-z0-9][a-z0-9._@-]{2,})")
 ID_CUE = (r"(?i)(?<![a-z0-9])((?:passport|licen[cs]e|voter id|employee id|student id|roll)"
@@ -62,8 +64,17 @@ ID_CUE = (r"(?i)(?<![a-z0-9])((?:passport|licen[cs]e|voter id|employee id|studen
 CRED_CUE = (r"(?i)(?<![a-z0-9])((?:recovery|backup|license|activation) (?:key|code)"
             r"(?: is|[ ]?[:=])? ?)([a-z0-9]+(?:-[a-z0-9]+)+)")
 
-NAME_RUN = r"[\p{Lu}][\p{L}'’-]+(?: [\p{Lu}][\p{L}'’-]+){0,2}"
-NAME_CUE = rf"((?:(?i:my name is|i am called|call me|this is) ))({NAME_RUN})"
+# As many words as the name has; possessive, so that a long run is read in one loop.
+NAME_RUN = r"[\p{Lu}][\p{L}'’-]+(?: [\p{Lu}][\p{L}'’-]+)*+"
+NAME_CUE = rf"((?:(?i:my name is|i am called) ))({NAME_RUN})"
+CALL_CUE = rf"(?<![A-Za-z])((?i:call me) )({NAME_RUN})"
+# Capitalised words that follow a cue in ordinary sentences and begin no name.
+NOT_NAMES = ("Today", "Tonight", "Tomorrow", "Later", "Back", "Now", "Soon", "Maybe", "When", "If",
+             "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+             "Says", "Said", "Told", "Tells", "Asks", "Asked", "Thinks", "Wants", "Went", "Came",
+             "Gave", "Made", "Has", "Had", "Is", "Was", "Will", "Can", "And", "Or", "But", "The",
+             "Google", "Please", "Word", "Excel", "Office", "Access", "Outlook", "Paint", "Teams",
+             "Windows", "Project", "Not")
 KIN_CUE = (r"(?<![A-Za-z])((?i:my (?:wife|husband|son|daughter|mother|father|brother|sister|friend"
            rf"|boss|doctor|neighbou?r|partner)),? (?:(?i:is|named|called) )?)({NAME_RUN})")
 TITLE_CUE = rf"(?<![A-Za-z])((?:Dr|Mr|Mrs|Ms|Shri|Smt)\.? )({NAME_RUN})"
@@ -110,14 +121,18 @@ VALUE = r"[^\s\"',;\[\]]*[^\s\"',;\[\].?)]"
 AFTER_LINK = (r"^((?:'s)?(?: (?:for|of|on|at) (?:my |the |our )?[A-Za-z0-9.]+){0,2}"
               rf"(?: (?:is|was|to|as)(?: now)? |[ ]?[:=] ?)[\"']?)({VALUE})")
 AFTER_NEXT = rf"^( [\"']?)({VALUE})"
-BEFORE = (rf"(?:^|.*\s)[\"']?({VALUE})[\"']? (?:is|was) (?:my|the|our)(?: [a-z0-9]+)? $")
+# Read backwards from a trigger word; a search starts at a token only, so it stays linear.
+BEFORE = rf"(?<!\S)[\"']?({VALUE})[\"']? (?:is|was) (?:my|the|our)(?: [a-z0-9]+)? $"
 FROM_TO = (r"(?i)(?<![a-z])((?:change|changed|changing|update|updated|reset|switch|switched)"
            rf" (?:it|[a-z]+ [a-z]+) from )({VALUE})(?: to )")
 TO_AFTER_FROM = (r"(?i)(?<![a-z])((?:change|changed|changing|update|updated|reset|switch|switched)"
                  rf" (?:it|[a-z]+ [a-z]+) from {VALUE} to )({VALUE})")
-BEFORE_TAIL = rf"{VALUE}[\"']? (?:is|was) (?:my|the|our)(?: [a-z0-9]+)? $"
+BEFORE_TAIL = (rf"(?<![^\s\"',;\[\]]){VALUE}[\"']? (?:is|was) (?:my|the|our)"
+               r"(?: [a-z0-9]+)? $")
+TOLD = (r"^(?:'s)?(?: (?:for|of|on|at) (?:my |the |our )?[A-Za-z0-9.]+){0,2}"
+        r"(?: (?:is|was) |[ ]?[:=])")
 
-LONG_NUMBER = r"(?<![0-9])[0-9]{11,18}(?![0-9])"
+LONG_NUMBER = r"(?<![0-9])[0-9]{11,}(?![0-9])"
 BASE64 = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 HEX = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){8,}(?![0-9A-Za-z])"
 PERCENT = r"[A-Za-z0-9._~+-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+-]*)+"
@@ -192,7 +207,7 @@ def detect_upi(t: str, low: str | None = None) -> str:
 
 
 def detect_phone(t: str, low: str | None = None) -> str:
-    gate = f"({has_any(t, '(')} OR {_rlike(t, '[0-9]{5}')})"
+    gate = f"({has_any(t, '(', '+')} OR {_rlike(t, '[0-9]{5}|[0-9]{3}[-.][0-9]{4}')})"
     return to_items(find_spans(t, PHONE, gate), cat="PHONE", kind="Phone number", level="high",
                     layer="detector", ev="format", ph="[PHONE]")
 
@@ -266,13 +281,14 @@ def _cue_values(t: str, c: str) -> str:
     """The values one trigger word points to: the slot after it, or "X is my …" before it.
 
     Up to three candidates; each needs its own strength, unless the words around it leave no doubt.
+    The search is bounded by the line, which no slot crosses; a value is taken whole.
     """
-    tail = f"substring({t}, {c}.e + 1, 120)"
-    head = f"substring({t}, greatest({c}.s - 80, 0) + 1, least({c}.s, 80))"
+    tail = f"substring_index(substring({t}, {c}.e + 1), '\\n', 1)"
+    head = f"substring_index(substring({t}, 1, {c}.s), '\\n', -1)"
     group = lambda of, pattern, n: f"regexp_extract({of}, {lit(pattern)}, {n})"
     exact = f"{c}.v IN ({', '.join(lit(w) for w in sec.CUES)})"
     mine = _rlike(head, r"(?i)(?:my|our|the)(?: [a-z0-9]+)? $")
-    told = _rlike(tail, r"^[^.?!\n]*?(?: (?:is|was) |[ ]?[:=])")
+    told = _rlike(tail, TOLD)
     linked, after, before = group(tail, AFTER_LINK, 2), group(tail, AFTER_NEXT, 2), group(head, BEFORE, 1)
     one = lambda at, v, need, sure: (
         f"named_struct('s', {at}, 'v', {v}, 'need', {need}, 'sure', {sure})")
@@ -291,9 +307,18 @@ def _cue_values(t: str, c: str) -> str:
 def _secret_spans(t: str, gate: str) -> str:
     c = var("c")
     slots = f"flatten(transform({sec.find_cues(t)}, {c} -> {_cue_values(t, c)}))"
-    moved = _concat(find_groups(t, FROM_TO, gate), find_groups(t, TO_AFTER_FROM, gate))
-    strong = _values(moved, lambda v: f"length({v}) >= 4 AND {sec.strength(v)} >= 4")
-    return _concat(slots, strong)
+    fit = lambda v: f"length({v}) >= 4 AND NOT ({sec.is_ordinary(v)})"
+    strong = lambda v: f"{fit(v)} AND {sec.strength(v)} >= 4"
+    x, y = var("x"), var("y")
+
+    def moved(first: str) -> str:
+        # The new value follows the old one (" to " between them) once the old one is a secret.
+        after = f"exists({first}, {y} -> {y}.e + 4 = {x}.s)"
+        second = (f"filter({find_groups(t, TO_AFTER_FROM, gate)}, {x} -> "
+                  f"{strong(x + '.v')} OR ({after} AND {fit(x + '.v')}))")
+        return _concat(first, second)
+
+    return _concat(slots, let(_values(find_groups(t, FROM_TO, gate), strong), moved))
 
 
 def detect_secret(t: str, low: str | None = None) -> str:
@@ -318,12 +343,13 @@ def detect_secret(t: str, low: str | None = None) -> str:
 def detect_people(t: str, low: str | None = None) -> str:
     """Names announced by the text, by a relation, or by a title."""
     low = _low(t, low)
-    name = lambda p, ev, gate: to_items(
-        find_groups(t, p, gate), cat="NAME", kind="Person", level="high", layer="people", ev=ev,
-        ph="[PERSON]")
+    stop = lit(rf"^(?:{'|'.join(NOT_NAMES)})(?![\p{{L}}'’-])")
+    name = lambda p, ev, gate, level="high": to_items(
+        _values(find_groups(t, p, gate), lambda v: f"NOT rlike({v}, {stop})"), cat="NAME",
+        kind="Person", level=level, layer="people", ev=ev, ph="[PERSON]")
     return _concat(
-        name(NAME_CUE, "announced by the text",
-             has_any(low, "my name is ", "i am called ", "call me ", "this is ")),
+        name(NAME_CUE, "announced by the text", has_any(low, "my name is ", "i am called ")),
+        name(CALL_CUE, "announced by the text", has_any(low, "call me "), "medium"),
         name(KIN_CUE, "relation", has_any(low, "my ")),
         name(TITLE_CUE, "title", has_any(t, "Dr", "Mr", "Ms", "Shri", "Smt")))
 

@@ -69,20 +69,23 @@ def exit_check(df: DataFrame, text: str = "clean", *, known: str | None = None,
     """Scan finished payloads again; ``residual`` lists the kinds that are still present.
 
     ``known`` names an array column of remembered values: their alphanumeric forms are looked for
-    in the alphanumeric form of the payload, whole or reversed.
+    in the alphanumeric form of the payload, whole or reversed; a form of fewer than four characters
+    must be a whole token. Like the gate, the check reads the normal reading of the text.
     """
-    left = sp.keep(sp.outside("__raw", sp.protected_spans(text)), sp.masks_by_default)
+    left = sp.keep(sp.outside("__raw", sp.protected_spans("__t")), sp.masks_by_default)
     k, v = sp.var("k"), sp.var("v")
-    out = (df.withColumn("__raw", F.expr(all_items(text, layers)))
+    out = (df.withColumn("__t", F.expr(normalize(text)))
+           .withColumn("__raw", F.expr(all_items("__t", layers)))
            .withColumn("residual", F.expr(f"transform({left}, {k} -> {k}.kind)")))
     if known:
-        flat = f"regexp_replace(lower({text}), '[^a-z0-9]', '')"
-        bare = f"regexp_replace(lower({v}), '[^a-z0-9]', '')"
+        flat = "regexp_replace(lower(__t), '[^a-z0-9]', '')"
+        bare = f"regexp_replace(lower({normalize(v)}), '[^a-z0-9]', '')"
+        token = f"array_contains(regexp_extract_all(lower(__t), '[a-z0-9]+', 0), {bare})"
         hit = sp.let(flat, lambda t: (
-            f"transform(filter({known}, {v} -> length({bare}) >= 4 AND (contains({t}, {bare}) "
+            f"transform(filter({known}, {v} -> if(length({bare}) < 4, {token}, contains({t}, {bare}) "
             f"OR contains({t}, reverse({bare})))), {v} -> 'Remembered value')"))
         out = out.withColumn("residual", F.expr(f"concat(residual, coalesce({hit}, array()))"))
-    return out.withColumn("residual_count", F.size("residual")).drop("__raw")
+    return out.withColumn("residual_count", F.size("residual")).drop("__raw", "__t")
 
 
 def apply_decisions(items: DataFrame, decisions: DataFrame,

@@ -109,7 +109,7 @@ def apply_grid_rules(rows: DataFrame, rules: Iterable[Rule], file: str = "file_i
     def is_hidden(cell: Column, i: Column) -> Column:
         hide = F.col("__row") | (F.array_contains("__cols", i) & (F.col("row_idx") > 0))
         for t in terms:
-            hide = hide | F.lower(cell).contains(t)
+            hide = hide | (F.lower(cell).contains(t) & (F.col("row_idx") > 0))
         return hide
 
     marks = F.transform("cells", lambda c, i: F.struct(c.alias("c"), is_hidden(c, i).alias("h")))

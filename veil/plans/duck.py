@@ -87,7 +87,7 @@ def items(source: str, key: str, text: str = "text", accounts: bool = True) -> s
              f"AND {entropy('v')} >= 3.0", "SECRET", "High-entropy string", "high", describe("v")),
     ]
     if accounts:
-        parts.append(item(of("[0-9]+"), key, "length(v) BETWEEN 11 AND 18", "ACCOUNT",
+        parts.append(item(of("[0-9]+"), key, "length(v) >= 11", "ACCOUNT",
                           "Long number", "medium", "'[ACCOUNT]'"))
     return "\nUNION ALL ".join(parts)
 
