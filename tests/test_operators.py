@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.boxes import loc_boxes
 from veil.functions.normalize import spelled_digits, unspace
-from veil.operators import blocks, regions, rules, tables, terms
+from veil.operators import blocks, payload, regions, rules, tables, terms
 from veil.operators.model import chunk_text, model_items, unchunk
 from veil.operators.payload import build_payload, split_action
 from veil.sources.files import parse_delimited, read_grid, read_texts
@@ -102,7 +102,13 @@ def test_rules_upkeep(spark):
         (3, "colname"), (5, "term")]
     gone = spark.createDataFrame([("term", "Mumbai"), ("colname", "SALARY")], "kind string, value string")
     left = rules.remove_rules(rules.upsert_rules(log).select("seq", "kind", "value"), gone)
-    assert sorted((r["kind"], r["value"]) for r in left.collect()) == [("allow", "Mumbai"), ("term", "priya")]
+    assert [(r["kind"], r["value"]) for r in left.collect()] == [("term", "priya")]
+    asked = lambda *rows: sorted((r["kind"], r["value"]) for r in rules.remove_rules(
+        left, spark.createDataFrame(rows, "kind string, value string")).collect())
+    # Nothing removed and terms alone: an allow rule. Anything removed, or another kind: none.
+    assert asked(("term", "Mumbai")) == [("allow", "Mumbai"), ("term", "priya")]
+    assert asked(("term", "Mumbai"), ("term", "priya")) == []
+    assert asked(("term", "Mumbai"), ("colname", "pay")) == [("term", "priya")]
 
 
 def test_visual_targets(spark):
@@ -179,3 +185,33 @@ def test_payload_without_blocks(spark):
     q = spark.createDataFrame([(1, 1, "hello")], "conv_id int, turn int, text string")
     f = spark.createDataFrame([(1, 1, "a.txt", "text", "")], "conv_id int, turn int, name string, kind string, text string")
     assert build_payload(q.filter("turn > 1"), f, q).first()["payload"] == "hello"
+
+
+def test_terms_and_memory_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "the big project falcon launch is near")], "doc_id long, text string")
+    wanted = spark.createDataFrame([("Big Project Falcon Launch",)], "term string")
+    assert [(r["start"], r["end"]) for r in terms.match_terms(texts, wanted).collect()] == [(4, 29)]
+    turns = spark.createDataFrame(
+        [(1, 2, "tell Ana"), (1, 3, "banana an a"), (1, 4, "ask jo li wu"), (1, 5, "it was 834")],
+        "conv_id long, turn long, text string")
+    memory = spark.createDataFrame([(1, v, "NAME", 1) for v in ("Ana", "834", "Jo Li Wu")],
+                                   "conv_id long, value string, cat string, first_turn long")
+    got = terms.match_memory(turns, memory).collect()
+    assert sorted((r["turn"], r["match"]) for r in got) == [(2, "Ana"), (4, "jo li wu"), (5, "834")]
+
+
+def test_request_of_a_late_session_keeps_its_system_turn(spark):
+    turns = spark.createDataFrame([(1, 250_001, "user", "hi"), (1, 450_000, "user", "again")],
+                                  "conv_id long, turn long, role string, text string")
+    rows = payload.request_messages(turns, "Be brief.").orderBy("part_no").collect()
+    assert [r["part_no"] for r in rows] == [0, 1]
+    assert ["system" in r["messages"] for r in rows] == [True, False]
+
+
+def test_files_keep_attach_order(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, "conv_id long, turn long, " + schema)
+    files = one([(1, 1, "b", "text", "first", 0), (1, 1, "a", "text", "second", 1)],
+                "name string, kind string, text string, ord int")
+    got = payload.build_payload(one([(1, 1, "s")], "text string"), files, one([(1, 1, "q")], "text string"))
+    text = got.first()["payload"]
+    assert text.index("first") < text.index("second") and text.endswith("---\n\nq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.text import placeholder_tokens, strip
@@ -15,14 +15,17 @@ def build_payload(screens: DataFrame, files: DataFrame, questions: DataFrame,
     """Screen block, file blocks, a rule, the question; joined by blank lines.
 
     Inputs carry ``keys`` and clean text: screens ``text``; files ``name, kind, text`` (finished
-    ones); questions ``text``. Empty blocks are left out.
+    ones); questions ``text``. Empty blocks are left out. Files keep the order of a column ``ord``
+    (the order in which they were attached); without it they go by name.
     """
-    block = lambda df, pos, name, text: df.select(
-        *keys, F.struct(F.lit(pos).alias("p"), name.alias("n"), text.alias("t")).alias("b"))
+    block = lambda df, pos, name, text, at=F.lit(0): df.select(
+        *keys, F.struct(F.lit(pos).alias("p"), at.cast("long").alias("a"), name.alias("n"),
+                        text.alias("t")).alias("b"))
+    at = F.col("ord") if "ord" in files.columns else F.lit(0)
     full = F.coalesce(F.col("text"), F.lit("")) != ""
     head = F.concat(F.lit("FILE: "), "name", F.lit(" ("), "kind", F.lit(")\n"), "text")
     parts = (block(screens.filter(full), 0, F.lit(""), F.concat(F.lit("SCREEN\n"), "text"))
-             .unionByName(block(files.filter(full), 1, F.col("name"), head))
+             .unionByName(block(files.filter(full), 1, F.col("name"), head, at))
              .unionByName(block(questions, 3, F.lit(""), F.coalesce("text", F.lit("")))))
     got = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("b"))
     blocks = F.filter("b", lambda b: b["p"] < 3)
@@ -59,10 +62,11 @@ def request_messages(turns: DataFrame, system: str, style: str = "flat", session
     """History as a chat request: system turn first, then the turns in order, as JSON.
 
     ``flat`` gives role and content; ``parts`` gives user/model roles with nested parts. A session
-    longer than ``per_part`` turns continues in further rows (``part_no``).
+    that spans more than ``per_part`` turns continues in further rows (``part_no``); its first row has
+    the system turn, whatever number its turns begin with.
     """
     model = F.col("role").isin("model", "assistant")
-    part = F.floor(F.col(turn) / per_part).cast("int").alias("part_no")
+    part = F.floor(F.col(turn) / per_part).cast("int").alias("__part")
     if style == "flat":
         role = F.when(model, "assistant").otherwise(F.col("role"))
         msg = F.struct(role.alias("role"), F.col("text").alias("content"))
@@ -71,6 +75,9 @@ def request_messages(turns: DataFrame, system: str, style: str = "flat", session
         msg = F.struct(role.alias("role"), F.array(F.struct(F.col("text").alias("text"))).alias("parts"))
     got = turns.groupBy(session, part).agg(F.array_sort(F.collect_list(
         F.struct(F.col(turn).alias("o"), msg.alias("m")))).alias("l"))
+    # One row per part: the rank of a part within its session.
+    nth = (F.row_number().over(Window.partitionBy(session).orderBy("__part")) - 1).cast("int")
+    got = got.withColumn("part_no", nth)
     msgs = F.transform("l", lambda x: x["m"])
     if style == "flat":
         lead = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))

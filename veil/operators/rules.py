@@ -46,15 +46,6 @@ class Rule:
     qualifier: str = ""
 
 
-def rule_list(rules: DataFrame, most: int = 10_000) -> list[Rule]:
-    """A rule table as settings; refuses a table that is too large to be one."""
-    rows = rules.orderBy("seq").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules: join them as a term table instead")
-    return [Rule(r["kind"], r["value"] or "", r["label"] or "", r["phrase"] or "",
-                 r["qualifier"] or "") for r in rows]
-
-
 def column_words(rules: Iterable[Rule]) -> list[str]:
     """Header words that ``colname`` rules reach: the word itself and its synonyms."""
     words: dict[str, None] = {}
@@ -85,12 +76,19 @@ def upsert_rules(log: DataFrame) -> DataFrame:
 
 
 def remove_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
-    """Set difference; taking back a term that nothing was hiding becomes an allow rule."""
+    """Set difference. A request (``gone``, one statement of the user) that removes nothing and names
+    terms alone was about words that a detector hides: its terms become allow rules."""
     key = ["kind", "__v"]
     r = rules.withColumn("__v", F.lower("value"))
     g = gone.withColumn("__v", F.lower("value"))
     left = r.join(g.select(*key).distinct(), key, "left_anti").drop("__v")
-    unhidden = g.filter(F.col("kind") == "term").join(r.select(*key).distinct(), key, "left_anti")
+    # Only where the whole request removed nothing and named terms alone.
+    known = r.select(*key).distinct().withColumn("__hit", F.lit(True))
+    whole = Window.partitionBy("__request")
+    stays = F.max(F.col("__hit").isNotNull() | (F.col("kind") != "term")).over(whole)
+    unhidden = (g.withColumn("__request", F.lit(0)).join(known, key, "left")
+                .withColumn("__stays", stays).filter(~F.col("__stays"))
+                .drop("__request", "__hit", "__stays"))
     known = rules.filter(F.col("kind") == "allow").select(F.lower("value").alias("__v"))
     allows = unhidden.join(known, "__v", "left_anti").dropDuplicates(["__v"]).withColumn(
         "kind", F.lit("allow")).drop("__v")

@@ -10,35 +10,46 @@ from veil.functions import spans as sp
 TOKEN = "[a-z0-9]+"
 
 
-def word_spans(text: str, most_words: int, joiner: str = " ") -> str:
-    """Runs of 1..most_words adjacent tokens: ``array<struct<s,e,v>>`` (expression text)."""
+def word_counts(rows: DataFrame, value: str) -> list[int]:
+    """The numbers of words that the values have, shortest first: a handful of integers."""
+    n = F.size(F.regexp_extract_all(F.lower(value), F.lit(TOKEN), F.lit(0)))
+    return sorted(r[0] for r in rows.select(n.alias("n")).filter("n > 0").distinct().collect())
+
+
+def word_spans(text: str, sizes: list[int], joiner: str = " ") -> str:
+    """Single tokens, and runs of as many adjacent tokens as ``sizes`` lists:
+    ``array<struct<s,e,v>>`` (expression text)."""
+    wanted = [n for n in sizes if n > 1]
+
     def grams(tok: str) -> str:
         i, n, w = sp.var("i"), sp.var("n"), sp.var("w")
         run = (f"named_struct('s', {tok}[{i}].s, 'e', {tok}[{i} + {n} - 1].e, 'v', array_join("
                f"transform(slice({tok}, {i} + 1, {n}), {w} -> {w}.v), {sp.lit(joiner)}))")
-        longer = (f"flatten(transform(sequence(2, {most_words}), {n} -> if(size({tok}) < {n}, array(), "
-                  f"transform(sequence(0, size({tok}) - {n}), {i} -> {run}))))")
-        return f"concat({tok}, {longer})" if most_words > 1 else tok
+        longer = (f"flatten(transform(array({', '.join(map(str, wanted))}), {n} -> if(size({tok}) < {n}, "
+                  f"array(), transform(sequence(0, size({tok}) - {n}), {i} -> {run}))))")
+        return f"concat({tok}, {longer})" if wanted else tok
 
     return sp.let(sp.find_tokens(f"lower({text})", TOKEN), grams)
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
-                term: str = "term", most_words: int = 3) -> DataFrame:
+                term: str = "term", sizes: list[int] | None = None) -> DataFrame:
     """Whole-word, case-insensitive hits of each term: one row per hit (key, term, start, end).
 
     Texts become token runs, terms become the same key, and the join is a hash join on it, however
     large the term list; the exploded rows carry offsets, never the text. Terms of several words
     or with symbols are then compared with the exact characters, by a second join on the text key
     of their hits alone. Terms shorter than two characters, or without a letter or digit, cannot
-    be whole words and are dropped.
+    be whole words and are dropped. Terms may have any number of words: ``sizes`` lists the numbers
+    that occur, read from the term table (one small job) where it is not given.
     """
+    sizes = word_counts(terms, term) if sizes is None else sizes
     low = F.lower(term)
     words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
     wanted = (terms.select(low.alias("term"), F.array_join(words, " ").alias("form"),
                            F.length(F.regexp_extract(low, "^[^a-z0-9]*", 0)).alias("lead"))
               .filter((F.length("term") >= 2) & (F.col("form") != "")).distinct())
-    runs = texts.select(key, F.inline(F.expr(word_spans(text, most_words))))
+    runs = texts.select(key, F.inline(F.expr(word_spans(text, sizes))))
     hits = runs.withColumnRenamed("v", "form").join(wanted, "form").select(
         key, "term", (F.col("s") - F.col("lead")).alias("start"),
         (F.col("s") - F.col("lead") + F.length("term")).alias("end"),
@@ -55,31 +66,36 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
 
 
 def memory_variants(memory: DataFrame, session: str = "conv_id") -> DataFrame:
-    """Every form under which a remembered value may come back: whole, reversed, in parts."""
+    """Every form under which a remembered value may come back: whole or reversed at any length, and
+    its parts of four or more characters."""
     bare = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
     parts = F.filter(F.regexp_extract_all(F.lower("value"), F.lit(TOKEN), F.lit(0)),
                      lambda p: F.length(p) >= 4)
     forms = F.array_distinct(F.concat(F.array(bare, F.reverse(bare)), parts))
     rows = memory.select(session, "value", "cat", "first_turn", F.explode(forms).alias("form"))
     # One row per form, the earliest: the join below can then never multiply tokens.
-    return (rows.filter(F.length("form") >= 4).groupBy(session, "form").agg(
+    return (rows.filter(F.length("form") > 0).groupBy(session, "form").agg(
         F.min(F.struct("first_turn", "value", "cat")).alias("m"))
         .select(session, "form", "m.*"))
 
 
 def match_memory(turns: DataFrame, memory: DataFrame, session: str = "conv_id",
-                 turn: str = "turn", text: str = "text", most_words: int = 2) -> DataFrame:
+                 turn: str = "turn", text: str = "text", sizes: list[int] | None = None) -> DataFrame:
     """Hits of values remembered from earlier turns of the same session.
 
-    Tokens, short runs of tokens, and spaced-out characters (``4 7 8 5``) are the join keys.
+    Tokens, runs of as many tokens as a remembered value has, and spaced-out characters
+    (``4 7 8 5``) are the join keys; a form of fewer than four characters must be a whole token.
+    ``sizes`` is read from ``memory`` where it is not given, so pass a stored table.
     """
+    sizes = sorted({2, *(word_counts(memory, "value") if sizes is None else sizes)})
     s = sp.var("s")
     spaced = sp.find_spans(f"lower({text})", "[a-z0-9](?:[ .-][a-z0-9]){3,}(?![a-z0-9])")
     joined = (f"transform({spaced}, {s} -> named_struct('s', {s}.s, 'e', {s}.e, 'v', "
               f"regexp_replace({s}.v, '[ .-]', '')))")
-    forms = f"concat({word_spans(text, most_words, '')}, {joined})"
+    forms = f"concat({word_spans(text, sizes, '')}, {joined})"
     i = sp.var("i")
-    with_text = (f"transform(filter({forms}, {i} -> length({i}.v) >= 4), {i} -> named_struct("
+    whole = f"length({i}.v) >= 4 OR length({i}.v) = {i}.e - {i}.s"
+    with_text = (f"transform(filter({forms}, {i} -> {whole}), {i} -> named_struct("
                  f"'start', {i}.s, 'end', {i}.e, 'form', {i}.v, "
                  f"'match', substring({text}, {i}.s + 1, {i}.e - {i}.s)))")
     runs = turns.select(session, turn, F.inline(F.expr(with_text)))

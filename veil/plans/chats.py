@@ -110,13 +110,14 @@ def _(spark, sf):
 @query("c5_match_memory", f"""{ITEMS}, forms AS (SELECT conv_id, form, min({{'t': turn, 'v': value}}) AS m FROM (
     SELECT conv_id, turn, value, unnest(list_distinct(list_concat([b, reverse(b)], list_filter(
       regexp_extract_all(lower(value), '[a-z0-9]+'), lambda p: length(p) >= 4)))) AS form FROM (
-      SELECT *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS b FROM items)) WHERE length(form) >= 4 GROUP BY ALL),
-  runs AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) AS form
+      SELECT *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS b FROM items)) GROUP BY ALL),
+  runs AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]),
+      list_transform(range(1, len(w) - 2), lambda i: w[i] || w[i + 1] || w[i + 2] || w[i + 3]))) AS form
     FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM messages))
   SELECT conv_id, turn, form, m.v AS value, m.t AS first_turn, count(*) AS n FROM runs JOIN forms USING (conv_id, form)
   WHERE m.t < turn GROUP BY ALL""")
 def _(spark, sf):
-    memory = items(spark, sf).select("conv_id", "value", "cat", F.col("turn").alias("first_turn"))
+    memory = cut(items(spark, sf).select("conv_id", "value", "cat", F.col("turn").alias("first_turn")))
     hits = match_memory(messages(spark, sf), memory)
     form = F.regexp_replace(F.lower("match"), "[^a-z0-9]", "").alias("form")
     return hits.groupBy("conv_id", "turn", form, "value", "first_turn").agg(F.count(F.lit(1)).alias("n"))
@@ -280,7 +281,7 @@ def _(spark, sf):
   SELECT m.conv_id, m.turn, mem.value FROM messages m JOIN mem ON m.conv_id = mem.conv_id AND m.turn > mem.t
     AND list_contains(string_split(m.text, ' '), mem.value)""")
 def _(spark, sf):
-    memory = items(spark, sf).filter("cat = 'NAME'").select("conv_id", "value", "cat", F.col("turn").alias("first_turn"))
+    memory = cut(items(spark, sf).filter("cat = 'NAME'").select("conv_id", "value", "cat", F.col("turn").alias("first_turn")))
     return match_memory(messages(spark, sf), memory).select("conv_id", "turn", "value")
 
 

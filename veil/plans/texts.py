@@ -254,7 +254,7 @@ def _(spark, sf):
 def _(spark, sf):
     words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(
         F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
-    hits = match_terms(table(spark, sf, "documents"), words, most_words=1)
+    hits = match_terms(table(spark, sf, "documents"), words, sizes=[1])
     # Per document first: a term that is in every text then shuffles one row per document.
     per_doc = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs"))
