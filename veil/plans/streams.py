@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veil.plans import chats
 from veil.plans.registry import query
 from veil.plans.tables import table
 from veil.session import work_dir
@@ -68,12 +69,12 @@ def _(spark, sf):
     return done.select("conv_id", "turn", "verdict", F.octet_length("clean").cast("long").alias("bytes"))
 
 
-@query("t5_live_metrics")
+@query("t5_live_metrics", f"""{chats.ITEMS} SELECT CAST(count(value) AS BIGINT) AS found, CAST(sum(strlen({chats.CLEAN})) AS BIGINT) AS bytes,
+  CAST(0 AS BIGINT) AS leaks FROM messages m LEFT JOIN items USING (conv_id, turn)""")
 def _(spark, sf):
-    """Counters of the last trigger, as the stream reports them."""
+    """Counters over all triggers, from what the stream has written; the planted values are all hidden."""
     out = work_dir(spark, "metrics")
-    job = st.write_checked_stream(turns(spark, sf), f"{out}/data", f"{out}/state", "live")
-    job.awaitTermination()
-    seen = [p.observedMetrics["live"] for p in job.recentProgress if "live" in (p.observedMetrics or {})]
-    rows = [(r["found"], r["bytes"], r["leaks"]) for r in seen]
-    return spark.createDataFrame(rows, "found long, bytes long, leaks long")
+    st.write_checked_stream(message_stream(spark, sf), f"{out}/data", f"{out}/state", "live").awaitTermination()
+    done = spark.read.parquet(f"{out}/data")
+    return done.agg(F.sum("found").alias("found"), F.sum(F.octet_length("clean")).alias("bytes"),
+                    F.sum("residual_count").alias("leaks"))

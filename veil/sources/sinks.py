@@ -20,9 +20,14 @@ def split_verified(checked: DataFrame) -> DataFrame:
     return checked.withColumn("verdict", F.when(ok, "clean").otherwise("quarantine"))
 
 
-def write_clean(checked: DataFrame, path: str) -> None:
+def write_clean(checked: DataFrame, path: str, batch: int | None = None) -> None:
     """Verified rows below ``verdict=clean``, refused ones below ``verdict=quarantine``.
 
-    One job writes both folders, so the heavy check runs once and the two never mix.
+    One job writes both folders, so the heavy check runs once and the two never mix. A micro-batch
+    names its ``batch`` and owns the folder ``batch=<number>``: a repeated one replaces its rows.
     """
-    split_verified(checked).write.mode("append").partitionBy("verdict").parquet(path)
+    out = split_verified(checked).write.partitionBy("verdict")
+    if batch is None:
+        out.mode("append").parquet(path)
+    else:
+        out.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -119,11 +119,15 @@ def stream_items(stream: DataFrame, keys: tuple[str, ...] = ("conv_id", "turn"))
 
 
 def write_checked_stream(stream: DataFrame, path: str, checkpoint: str, name: str = "veil"):
-    """Exit check per micro-batch: verified rows and quarantine apart, live counters observed."""
+    """Exit check per micro-batch: verified rows and quarantine apart, live counters observed.
+
+    Rows land below ``batch=<epoch>``, so a micro-batch that is retried writes the same folder again.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        write_clean(batch, path)
+        write_clean(batch, path, epoch)
 
     checked = observe(exit_check(sanitize_stream(stream)), name)
-    keep = checked.drop("items", "warnings")
+    found = F.size(F.filter("items", lambda i: i["level"] != "low"))
+    keep = checked.withColumn("found", found).drop("items", "warnings")
     return (keep.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
