@@ -10,7 +10,8 @@
    shingles of two or more nodes are kept.
 4. Nodes that share a shingle are candidates if they pass the length filter, the positional filter (what
    is left after the shared shingle's positions) and the suffix filter (the sums of the smaller counts
-   over 16 hash ranges of both sets bound their overlap). Candidates are verified once per pair.
+   over 16 hash ranges of both sets bound their overlap). Candidates are verified once per pair, also
+   over the two rounds below.
 
 Within a group of near copies all pairs would be candidates. Links matter only for reachability, so a
 first round verifies each node against one hub per shingle (the one that holds it earliest in its prefix:
@@ -170,10 +171,19 @@ def may_link(num: int, den: int) -> Column:
 
 
 def verify(candidates: DataFrame, docs: DataFrame, rows: DataFrame, k: int, num: int, den: int,
-           id_col: str, text_col: str) -> str:
-    """Path of a table of the candidate pairs (a, b, na, nb) that link; each pair is verified once."""
+           id_col: str, text_col: str, known: str | None = None) -> tuple[str, str]:
+    """Paths of two tables: the candidate pairs (a, b, na, nb; either order), and those (a, b) that link.
+
+    Pairs of the table at ``known``, verified before, are left out.
+    """
     spark = candidates.sparkSession
-    pair_at = save(candidates.distinct(), "pairs")
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    candidates = candidates.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"),
+                                   pick("nb", "na", "nb")).distinct()
+    if known:
+        candidates = candidates.join(spark.read.parquet(known).select("a", "b"), ["a", "b"], "left_anti")
+    pair_at = save(candidates, "pairs")
     pairs = spark.read.parquet(pair_at)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     set_at = whole_sets(docs, nodes, rows, k, id_col, text_col)
@@ -185,8 +195,8 @@ def verify(candidates: DataFrame, docs: DataFrame, rows: DataFrame, k: int, num:
              .where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num)
              .select("a", "b").distinct())
     link_at = save(links, "links")
-    drop(spark, pair_at, set_at)
-    return link_at
+    drop(spark, set_at)
+    return pair_at, link_at
 
 
 def _side(members: DataFrame, s: str, *more: str) -> DataFrame:
@@ -231,15 +241,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = (_side(members, "b").join(hub_side, "token").where((F.col("a") != F.col("b")) & may_link(num, den))
              .select("a", "b", "na", "nb"))
     whole = (docs, rows, k, num, den, id_col, text_col)
-    first_links = spark.read.parquet(verify(first, *whole))
+    tried, linked = verify(first, *whole)
+    first_links = spark.read.parquet(linked)
     near = components(first_links)
 
     grouped = members.join(near, "node", "left").withColumn("known", F.coalesce("root", "node"))
     rest = (_side(grouped, "a", "known").join(_side(grouped, "b", "known"), "token")
             .where((F.col("a") < F.col("b")) & (F.col("known_a") != F.col("known_b")) & may_link(num, den))
             .select("a", "b", "na", "nb"))
-    roots = components(first_links.union(spark.read.parquet(verify(rest, *whole))))
-    drop(spark, members_at)
+    tried_next, linked_next = verify(rest, *whole, known=tried)
+    roots = components(first_links.union(spark.read.parquet(linked_next)))
+    drop(spark, members_at, tried, tried_next)
 
     named = (rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(
         F.min("uid").alias("node"), F.min("doc").alias("least")).join(roots, "node", "left")
