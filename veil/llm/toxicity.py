@@ -6,8 +6,10 @@ are scored by a model fitted on the other folds), since a model's own training p
 better than what it will see later. The decision threshold of a category is where the F1 of its
 out-of-fold predictions is largest.
 
-Features are words (runs of letters, lower-cased) and their first four letters. The vocabulary is fitted, like the models, on labelled rows only:
-at most about ``most_rows`` of them, chosen by a hash of the id. Scoring is one projection over all rows.
+Features are words (runs of letters, lower-cased) and their first four letters. The vocabulary is
+fitted, like the models, on labelled rows only: at most about ``most_rows`` of them, chosen by a hash of
+the id. Their ids and labels go to the tasks that read the texts, so texts are not shuffled; scoring is one
+projection over all rows.
 """
 
 from __future__ import annotations
@@ -98,7 +100,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     if not n:
         raise ValueError("no labelled rows to fit on")
     if n > most_rows:
-        rated = rated.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+        rated = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < (most_rows << 40) // n)
+    # Of bounded size: about ``most_rows`` ids and labels.
+    rated = F.broadcast(rated)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = keep(texts.join(rated, "id").select(
         "*", words(F.col("text")).alias("__words"),
