@@ -32,12 +32,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group linked by five-word shingles at 0.8.
 
-    Rows that repeat both id and text count once; rows with a null id stay only where no other is linked.
+    Rows that repeat both id and text count once. Rows without an id cannot be told apart by it: all stay if
+    one of them is linked to no row with an id, else none.
     """
     stay = similar_documents(docs, k=5, num=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("stays")).distinct()
-    return (docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    stay = keep(stay.select(F.col("doc_id").alias("stays")).distinct(), "stays")
+    # Rows meet their id and their repeats in one shuffle by id; rows without an id go apart.
+    named = docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi").dropDuplicates(["doc_id", "text"])
+    if not stay.where("stays IS NULL").limit(1).count():
+        return named
+    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
