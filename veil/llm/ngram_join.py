@@ -9,9 +9,10 @@
 3. Prefixes are counted per shingle (with partial sums, so a hot one sends a row per task) and only
    shingles of two or more nodes are kept.
 4. Nodes that share a shingle are candidates if they pass the length filter, the positional filter (what
-   is left after the shared shingle's positions) and the suffix filter (the sums of the smaller counts
-   over 16 hash ranges of both sets bound their overlap). Candidates are verified once per pair, also
-   over the two rounds below.
+   is left after the shared shingle's positions) and the suffix filter: both sets are cut into 512 hash
+   ranges, and each range in which one holds an odd and the other an even number of shingles proves a
+   shingle that only one of them has. Candidates are verified once per pair, also over the two rounds
+   below.
 
 Within a group of near copies all pairs would be candidates. Links matter only for reachability, so a
 first round verifies each node against one hub per shingle (the one that holds it earliest in its prefix:
@@ -34,7 +35,8 @@ from veil.llm.graph import components
 from veil.llm.store import drop, save, table
 from veil.llm.words import shingle_sets
 
-PARTS, SEGMENTS = 16, 256
+#: Hash ranges of the suffix filter (2**RANGE_BITS).
+RANGE_BITS, SEGMENTS = 9, 256
 
 
 def count_table(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
@@ -92,8 +94,8 @@ def _segments(total: np.ndarray, step: int) -> pa.RecordBatch:
 
 def signatures(docs: DataFrame, counts: np.ndarray, bits: int, k: int, num: int, den: int,
                id_col: str, text_col: str) -> DataFrame:
-    """uid, doc, n, sid (digest of the set; null if empty), prefix (rarest first), parts (the set's
-    sizes by hash range) per row."""
+    """uid, doc, n, sid (digest of the set; null if empty), prefix (rarest first), parts (64 hash
+    ranges a number: the bit is set where the range holds an odd number of shingles) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +110,17 @@ def signatures(docs: DataFrame, counts: np.ndarray, bits: int, k: int, num: int,
                     order = np.argsort(often[_slot(s, bits)], kind="stable")
                     most = len(s) - -(-num * len(s) // den) + 1
                     prefix.append(s[order[:most]].view(np.int64))
-                    parts.append(np.bincount(_slot(s, 4), minlength=PARTS).astype(np.int32))
+                    odd = np.bincount(_slot(s, RANGE_BITS), minlength=1 << RANGE_BITS) & 1
+                    parts.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(uid, uid + len(n)), pa.int64()), b.column(0), pa.array(n, pa.int64()),
                      pa.array(sid, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
-                     pa.array(parts, pa.list_(pa.int32()))],
+                     pa.array(parts, pa.list_(pa.int64()))],
                     names=["uid", "doc", "n", "sid", "prefix", "parts"])
                 uid += len(n)
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(
-        run, "uid long, doc long, n long, sid binary, prefix array<long>, parts array<int>")
+        run, "uid long, doc long, n long, sid binary, prefix array<long>, parts array<long>")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, id_col: str, text_col: str,
@@ -165,9 +168,11 @@ def may_link(num: int, den: int) -> Column:
     """Length, positional and suffix filter over the columns of two members a_ and b_."""
     na, nb = F.col("na"), F.col("nb")
     left = F.least(na - F.col("pa"), nb - F.col("pb"))
-    both = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                        lambda s, x: s + x)
     least = need(na, nb, num, den)
-    return ((F.least(na, nb) * den >= F.greatest(na, nb) * num) & (left >= least) & (both >= least))
+    return ((F.least(na, nb) * den >= F.greatest(na, nb) * num) & (left >= least)
+            & (apart <= na + nb - 2 * least))
 
 
 def verify(candidates: DataFrame, docs: DataFrame, rows: DataFrame, k: int, num: int, den: int,
