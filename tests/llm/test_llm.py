@@ -270,6 +270,31 @@ def test_extraction_by_difference(spark):
     assert all(f"Text {i} " in got[i].text and got[i].n_chars == len(got[i].text) for i in (0, 3, 12))
 
 
+def extracted(spark, rows, parts=1):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows)
+    return {r.page_id: r.text for r in got}
+
+
+def story(seed, n=12):
+    return " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=n))
+
+
+def test_open_text_beside_an_article(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div>Menu</div><div>{story(i)}</div><article><p>quoted by all</p>"
+             f"<p>{story(50 + i)}</p></article></body>") for i in range(4)]
+    got = extracted(spark, rows)
+    assert got == {i: f"{story(i)}\n\nquoted by all\n\n{story(50 + i)}" for i in range(4)}
+    alone = extracted(spark, rows[:1])
+    assert alone == {0: f"quoted by all\n\n{story(50)}"}  # nothing to compare with: the markup decides
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     data = rng.standard_normal((1500, 16)).astype(np.float32)

@@ -141,10 +141,9 @@ def main_text(page: Page, neighbours: list[Page]) -> str:
             size = sum(map(len, page.blocks))
             if 2 * sum(len(page.blocks[i]) for i in shared) <= size:
                 gone |= {i for i in shared if not page.own[i]}
-    # Where an article or main element is marked, open text around it is furniture too.
-    own = any(page.own)
-    return "\n\n".join(b for i, b in enumerate(page.blocks)
-                       if i not in gone and (page.own[i] or not own))
+    # Without a page to compare with, open text around an article or main element is furniture.
+    out = not neighbours and any(page.own)
+    return "\n\n".join(b for i, b in enumerate(page.blocks) if page.own[i] or (i not in gone and not out))
 
 
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
