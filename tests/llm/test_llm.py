@@ -286,6 +286,9 @@ def story(seed, n=12):
     return " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=n))
 
 
+MENU = "".join(f"<div>Menu entry number {i} of the site</div>" for i in range(9))
+
+
 def test_open_text_beside_an_article(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Menu</div><div>{story(i)}</div><article><p>quoted by all</p>"
              f"<p>{story(50 + i)}</p></article></body>") for i in range(4)]
@@ -295,6 +298,20 @@ def test_open_text_beside_an_article(spark):
     assert alone == {0: f"quoted by all\n\n{story(50)}"}  # nothing to compare with: the markup decides
 
 
+def test_long_menu_and_copies(spark):
+    page = "<body>" + MENU + "{}<div>Foot</div></body>"
+    texts = [story(1), *[story(2)] * 5, story(3), *[story(4)] * 3]
+    rows = [(i, f"http://h.example/{i}", page.format(f"<p>{t}</p>")) for i, t in enumerate(texts)]
+    assert extracted(spark, rows) == dict(enumerate(texts))
+    # Near copies: one of nine paragraphs edited. Without another page nothing tells menu and text apart.
+    same = "".join(f"<p>{story(i, 30)}</p>" for i in range(8))
+    near = [same + f"<p>{story(9, 40)} edit{i}</p>" for i in range(4)]
+    rows = [(i, f"http://n.example/{i}", page.format(t)) for i, t in enumerate([*near, f"<p>{story(77)}</p>"])]
+    got = extracted(spark, rows)
+    assert all("Menu" not in t and "Foot" not in t for t in got.values())
+    assert all(story(j, 30) in got[i] for i in range(4) for j in range(8)) and got[4] == story(77)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     data = rng.standard_normal((1500, 16)).astype(np.float32)

@@ -1,28 +1,35 @@
 """Main text of web pages: page markup, and the difference to pages at the nearest URLs.
 
-Pages are sorted by host and URL path over the whole table (a range exchange, so that a large host is
-spread over many tasks) and read in that order; each page is compared with the ones before and after it
-on its host. Both pages are lines of text in order; the lines of a longest common subsequence are what the
-site's template put there, and they are deleted.
-
-Two limits keep the difference from eating text. Lines inside ``article`` or ``main`` are the author's
-own (two articles may quote the same license), so there only the markup decides. And a neighbour with
-which a page shares more than half of its open text is a copy, not a page of the same template: nothing
-is deleted for it.
+Lines inside ``article`` or ``main`` are the author's own: two articles may quote the same license or
+passage, also at the same place, so there only the markup decides. Pages with open text (outside of such
+marks, and not excluded by the markup) are sorted by host and URL path over the whole table (a range
+exchange, so that a large host is spread over many tasks) and compared with the nearest pages before and
+after them on their host: the lines of a longest common subsequence are what the site's template put
+there, and the open ones are deleted. Pages without open text have nothing to lose or to tell; they skip the
+exchange.
+
+A copy is no page of the same template. Two pages are copies if they share more than half of their text
+and what they do not share is alike too (or one of them has nothing else). Consecutive copies form a run,
+and the pages of a run are compared with the last page before it and the first one after it. Runs at the
+borders of a range partition are settled afterwards, from the first and last pages of all partitions, so
+the text of a page does not depend on the partitions.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm.store import table
+from veil.llm.store import keep, table
 
 #: Elements that begin a new block of text.
 BLOCKS = frozenset(
@@ -54,6 +61,13 @@ class Page:
     blocks: list[str] = field(default_factory=list)
     own: list[bool] = field(default_factory=list)
 
+    def dump(self) -> str:
+        return json.dumps([self.blocks, self.own])
+
+
+def load(page: str | None) -> Page | None:
+    return Page(*json.loads(page)) if page else None
+
 
 def parse(html: str) -> Page:
     """Blocks of text that the markup does not exclude."""
@@ -132,53 +146,174 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def alike(a: Page, b: Page) -> bool:
+    """Are two pages copies of each other? By the text that they do not share, if they share the most."""
+    x, y = Counter(a.blocks), Counter(b.blocks)
+    both = sum(len(t) * n for t, n in (x & y).items())
+    if 2 * both <= max(sum(map(len, a.blocks)), sum(map(len, b.blocks))):
+        return False
+    rest, other = (Counter(p for t, n in left.items() for p in _pairs(t) * n) for left in (x - y, y - x))
+    if not rest or not other:
+        return True
+    return 2 * (rest & other).total() > max(rest.total(), other.total())
+
+
+def _pairs(block: str) -> list[tuple[str, ...]]:
+    words = block.split()
+    return list(zip(words, words[1:], strict=False)) or [tuple(words)]
+
+
 def main_text(page: Page, neighbours: list[Page]) -> str:
-    """The page's text without the open lines it shares with pages of the same template."""
+    """The page's text without the open lines it shares with pages of the same template.
+
+    Lines that make up more than half of the page have to be shared with both neighbours, if there are two.
+    """
+    near = [n for n in neighbours if not alike(page, n)]
+    size = sum(map(len, page.blocks))
+    shared = [common(page.blocks, n.blocks) for n in near]
     gone: set[int] = set()
-    if not all(page.own):
-        for other in neighbours:
-            shared = common(page.blocks, other.blocks)
-            size = sum(map(len, page.blocks))
-            if 2 * sum(len(page.blocks[i]) for i in shared) <= size:
-                gone |= {i for i in shared if not page.own[i]}
+    for lines in shared:
+        most = 2 * sum(len(page.blocks[i]) for i in lines) > size
+        gone |= set.intersection(*shared) if most else lines
     # Without a page to compare with, open text around an article or main element is furniture.
-    out = not neighbours and any(page.own)
+    out = not near and any(page.own)
     return "\n\n".join(b for i, b in enumerate(page.blocks) if page.own[i] or (i not in gone and not out))
 
 
-def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of host and path; each page waits for the one after it."""
-    before: tuple | None = None  # the page before the waiting one
-    waiting: tuple | None = None
-    rows: list[tuple] = []
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
+                                      schema=schema)
+    rows.clear()
+    return made
 
-    def done(after: tuple | None) -> tuple:
-        near = [p[3] for p in (before, after) if p and p[0] == waiting[0]]
-        text = main_text(waiting[3], near)
-        return waiting[1], waiting[2], text, len(text)
 
-    def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True),
-                                            (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
-            names=["page_id", "url", "text", "n_chars"])
-        rows.clear()
-        return made
+def _emit(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    waiting: list[tuple] = []
+    for row in rows:
+        waiting.append(row)
+        if len(waiting) >= 1000:
+            yield _batch(waiting, schema)
+    if waiting:
+        yield _batch(waiting, schema)
+
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for i in range(b.num_rows):
-            host, page_id, url, html = (b.column(c)[i].as_py() for c in range(4))
-            now = (host, page_id, url, parse(html or ""))
-            if waiting:
-                rows.append(done(now))
-                before = waiting
-            waiting = now
-            if len(rows) >= 1000:
-                yield batch()
-    if waiting:
-        rows.append(done(None))
-    if rows:
-        yield batch()
+            yield tuple(c[i].as_py() for c in b.columns)
+
+
+TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+OPEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
+                  ("page", pa.string())])
+#: Texts, pages whose run is cut by a border (side), and one row per partition with its outer pages.
+SCANNED = pa.schema([*TEXT, ("page", pa.string()), ("part", pa.int32()), ("side", pa.string()),
+                     ("first_host", pa.string()), ("last_host", pa.string())])
+TEXT_SQL = "page_id long, url string, text string, n_chars long"
+OPEN_SQL = "host string, path string, page_id long, url string, page string"
+SCANNED_SQL = f"{TEXT_SQL}, page string, part int, side string, first_host string, last_host string"
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages without open text."""
+    def rows() -> Iterator[tuple]:
+        for _, _, page_id, url, html in _rows(batches):
+            page = parse(html or "")
+            if all(page.own):
+                text = main_text(page, [])
+                yield page_id, url, text, len(text)
+
+    return _emit(rows(), TEXT)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with open text."""
+    def rows() -> Iterator[tuple]:
+        for host, path, page_id, url, html in _rows(batches):
+            page = parse(html or "")
+            if not all(page.own):
+                yield host, path, page_id, url, page.dump()
+
+    return _emit(rows(), OPEN)
+
+
+def _finished(page_id: int, url: str, page: Page, near: list[Page | None]) -> tuple:
+    text = main_text(page, [n for n in near if n])
+    return page_id, url, text, len(text)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a partition in order of host and path; a run waits for the first page after it."""
+    part = TaskContext.get().partitionId()
+
+    def rows() -> Iterator[tuple]:
+        run: list[tuple] = []
+        host = first = first_host = before = after_first = None
+        runs = 0
+
+        def close(after: Page | None, side: str) -> Iterator[tuple]:
+            for page_id, url, page in run:
+                if side:
+                    yield page_id, url, None, None, page.dump(), part, side, None, None
+                else:
+                    yield *_finished(page_id, url, page, [before, after]), None, part, "", None, None
+
+        for now, _, page_id, url, text in _rows(batches):
+            page = load(text)
+            if not run:
+                first, first_host, host = page, now, now
+            elif now != host or not alike(run[-1][2], page):
+                after = page if now == host else None
+                yield from close(after, "" if runs else "first")
+                after_first = after_first if runs else after
+                before, host, runs = run[-1][2] if now == host else None, now, runs + 1
+                run.clear()
+            elif run[-1][2] == page:
+                page = run[-1][2]  # a long run of copies is held once
+            run.append((page_id, url, page))
+        if run:
+            yield from close(None, "last" if runs else "only")
+            outer = [p.dump() if p else None for p in (first, after_first, before, run[-1][2])]
+            yield (None, None, None, None, json.dumps(outer), part, "part" if runs else "whole", first_host, host)
+
+    return _emit(rows(), SCANNED)
+
+
+def _borders(parts: list[Row]) -> list[tuple]:
+    """part, side, and the pages before and after the run: borders of all partitions made whole."""
+    parts = sorted(parts, key=lambda p: p.part)
+    outer = {p.part: json.loads(p.page) for p in parts}
+
+    def walk(order: list[Row], own: str, far: str, edge: int, inner: int) -> dict[int, str | None]:
+        """The nearest page beyond each partition that is not in the run at its border."""
+        found: dict[int, str | None] = {}
+        host = last = beyond = None
+        for p in order:
+            pages = outer[p.part]
+            near = None
+            if last and p[own] == host:
+                near = beyond if alike(load(last), load(pages[edge])) else last
+            found[p.part] = near
+            host, last = p[far], pages[3 - edge]
+            beyond = near if p.side == "whole" else pages[inner]
+        return found
+
+    before = walk(parts, "first_host", "last_host", 0, 2)
+    after = walk(parts[::-1], "last_host", "first_host", 3, 1)
+    out = []
+    for p in parts:
+        _, after_first, before_last, _ = outer[p.part]
+        if p.side == "whole":
+            out.append((p.part, "only", before[p.part], after[p.part]))
+        else:
+            out += [(p.part, "first", before[p.part], after_first), (p.part, "last", before_last, after[p.part])]
+    return out
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _emit((_finished(page_id, url, load(page), [load(before), load(after)])
+                  for page_id, url, page, before, after in _rows(batches)), TEXT)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -188,14 +323,24 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null or empty html gives an empty text. A null URL has no host and no neighbours of other hosts;
     repeated rows are pages of their own, and copies to each other. Other columns are not read.
     """
+    spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select(host.alias("host"), F.col(id_col).cast("long").alias("page_id"),
-                        F.col(url_col).alias("url"), F.col(html_col).alias("html"), path.alias("path"))
-    spread = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return spread.select("host", "page_id", "url", "html").mapInArrow(
-        _differ, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(host.alias("host"), path.alias("path"), F.col(id_col).cast("long").alias("page_id"),
+                        F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    texts = rows.mapInArrow(_marked, TEXT_SQL)
+    order = ("host", "path", "page_id", "url", "page")
+    spread = keep(rows.mapInArrow(_open, OPEN_SQL), "open").repartitionByRange(*order).sortWithinPartitions(*order)
+    scanned = keep(spread.mapInArrow(_scan, SCANNED_SQL), "scanned")
+    # A few pages per partition.
+    parts = scanned.where("side IN ('part', 'whole')").select("part", "side", "first_host", "last_host", "page").collect()
+    if not parts:
+        return texts
+    borders = spark.createDataFrame(_borders(parts), "part int, side string, before string, after string")
+    cut = scanned.where("side IN ('first', 'last', 'only')").join(borders, ["part", "side"])
+    settled = cut.select("page_id", "url", "page", "before", "after").mapInArrow(_settle, TEXT_SQL)
+    return texts.unionByName(scanned.where("side = ''").select(*TEXT.names)).unionByName(settled)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
