@@ -312,6 +312,16 @@ def test_long_menu_and_copies(spark):
     assert all(story(j, 30) in got[i] for i in range(4) for j in range(8)) and got[4] == story(77)
 
 
+def test_borders_of_partitions(spark):
+    page = "<body>" + MENU + "<p>{}</p><div>Foot</div></body>"
+    texts = [story(1), story(2), *[story(3)] * 9, story(4), *[story(5)] * 4]
+    rows = [(i, f"http://h.example/{i:03}", page.format(t)) for i, t in enumerate(texts)]
+    rows += [(20 + i, f"http://i.example/{i:03}", page.format(story(20 + i))) for i in range(2)]
+    want = dict(enumerate(texts)) | {20 + i: story(20 + i) for i in range(2)}
+    for parts in (1, 2, 3, 7, 16, 30):
+        assert extracted(spark, rows, parts) == want, parts
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     data = rng.standard_normal((1500, 16)).astype(np.float32)
