@@ -272,17 +272,18 @@ def _(spark, sf):
        "FROM messages WHERE turn % 8 IN (2, 6)")
 def _(spark, sf):
     """A digit lost in reading: groups of 4, 3 and 4."""
-    cards = messages(spark, sf).filter("turn % 8 IN (2, 6)").withColumn("text", F.expr(
-        "'id ' || substr(planted, 1, 4) || ' ' || substr(planted, 5, 3) || ' ' || substr(planted, 9, 4)"))
-    return cards.select("conv_id", "turn", F.inline(F.expr(d.detect_grouped("text")))).select("conv_id", "turn", "match")
+    turns = messages(spark, sf).withColumn("text", F.expr(
+        "CASE WHEN cat = 'CARD' THEN 'id ' || substr(planted, 1, 4) || ' ' || substr(planted, 5, 3) || ' ' || substr(planted, 9, 4) ELSE text END"))
+    return turns.select("conv_id", "turn", F.inline(F.expr(d.detect_grouped("text")))).select("conv_id", "turn", "match")
 
 
 @query("h24_memory_hits", f"""{ITEMS}, mem AS (SELECT conv_id, value, min(turn) AS t FROM items WHERE cat = 'NAME' GROUP BY ALL)
   SELECT m.conv_id, m.turn, mem.value FROM messages m JOIN mem ON m.conv_id = mem.conv_id AND m.turn > mem.t
     AND list_contains(string_split(m.text, ' '), mem.value)""")
 def _(spark, sf):
-    memory = cut(items(spark, sf).filter("cat = 'NAME'").select("conv_id", "value", "cat", F.col("turn").alias("first_turn")))
-    return match_memory(messages(spark, sf), memory).select("conv_id", "turn", "value")
+    """The hits of names; the values of all categories are remembered."""
+    memory = cut(items(spark, sf).select("conv_id", "value", "cat", F.col("turn").alias("first_turn")))
+    return match_memory(messages(spark, sf), memory).filter("cat = 'NAME'").select("conv_id", "turn", "value")
 
 
 @query("h25_topic_warnings", f"{S} SELECT doc_id, 'HEALTH' AS topic, 'diagnosed with diabetes' AS text FROM sentences WHERE t = 21")
@@ -414,7 +415,8 @@ def _(spark, sf):
 
 @query("g15_decoders", f"{S} SELECT doc_id, 'password=' || CAST(doc_id AS VARCHAR) || 'x9' AS decoded FROM sentences WHERE t = 20")
 def _(spark, sf):
-    return derived(spark, sf, "sentences").filter("t = 20").select("doc_id", F.expr(from_hex("planted")).alias("decoded"))
+    decoded = derived(spark, sf, "sentences").select("doc_id", F.expr(from_hex("planted")).alias("decoded"))
+    return decoded.filter("decoded IS NOT NULL")
 
 
 @query("f5_distinct_in_order", f"""{M} SELECT conv_id, turn, array_to_string(list_reduce(string_split(text, ' '), lambda a, x:
