@@ -1,6 +1,7 @@
 """Operators against brute force, with hot keys and small blocks."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -65,6 +66,24 @@ def test_spans_to_regions_brute_force(spark):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize(("first", "per_part"), [(0, 3), (9_995, 10_000)])
+def test_spans_of_a_part_meet_its_regions(spark, first, per_part):
+    rows = [(i % 2, first + i, f"secret{i}" if i % 3 == 0 else f"word{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "image_id int, region_id int, text string")
+    texts = regions.join_regions(df, per_part=per_part)
+    spans = [(r.image_id, r.part_no, m.start(), m.end()) for r in texts.collect()
+             for m in re.finditer("secret[0-9]+", r.text)]
+    placed = regions.region_offsets(df, per_part=per_part)
+    part = {(r.image_id, r.part_no): r.text for r in texts.collect()}
+    assert len(part) > 2
+    assert all(part[r.image_id, r.part_no][r.start:r.end] == r.text for r in placed.collect())
+    found = spark.createDataFrame(spans, "image_id int, part_no int, start int, end int")
+    hit = regions.spans_to_regions(found, placed).select("image_id", "region_id").collect()
+    assert sorted(map(tuple, hit)) == sorted((i, o) for i, o, t in rows if t.startswith("secret"))
+    with pytest.raises(ValueError, match="part_no"):
+        regions.spans_to_regions(found.drop("part_no"), placed)
+
+
 def brute(text, term):
     low, t, at, out = text.lower(), term.lower(), -1, []
     while (at := low.find(t, at + 1)) != -1:

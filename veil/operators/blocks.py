@@ -48,6 +48,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def part_of(order: str, per_part: int) -> Column:
+    """The part of :func:`ordered_text` that a row is in."""
+    return F.floor(F.col(order) / per_part).cast("int")
+
+
 def ordered_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str, *,
                  per_part: int = 10_000) -> DataFrame:
     """Rows of a key joined in order, one text per ``per_part`` order values.
@@ -55,8 +60,7 @@ def ordered_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str
     Ordinary keys give one part (``part_no`` 0). A huge one is split into several, so no task has
     to hold it whole and nothing is cut off.
     """
-    part = F.floor(F.col(order) / per_part).cast("int")
-    got = df.groupBy(*keys, part.alias("part_no")).agg(
+    got = df.groupBy(*keys, part_of(order, per_part).alias("part_no")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))
                      ).alias("__p"))
     return got.select(*keys, "part_no", F.array_join(F.col("__p.t"), sep).alias(text))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.boxes import cover_anchor, usable
 from veil.functions.text import alnum_lower, strip
-from veil.operators.blocks import ordered_text, running
+from veil.operators.blocks import ordered_text, part_of, running
 from veil.session import cut
 
 
@@ -87,38 +87,44 @@ def dedupe_boxes(boxes: DataFrame, image: str = "image_id", order: str = "region
 
 
 def region_offsets(regions: DataFrame, image: str = "image_id", order: str = "region_id",
-                   width: int = 100_000) -> DataFrame:
-    """Place of each region in the joined text of its picture: add ``start`` and ``end``."""
+                   width: int = 100_000, per_part: int = 10_000) -> DataFrame:
+    """Place of each region in the texts of :func:`join_regions`: add ``part_no``, ``start`` and ``end``."""
     size = (F.length("text") + 1).cast("long")
-    out = running(regions, [image], order, size, "start", width=width)
+    parts = regions.withColumn("part_no", part_of(order, per_part))
+    out = running(parts, [image, "part_no"], order, size, "start", width=width)
     return (out.withColumn("start", F.coalesce("start", F.lit(0)))
             .withColumn("end", F.col("start") + F.length("text")))
 
 
-def join_regions(regions: DataFrame, image: str = "image_id", order: str = "region_id") -> DataFrame:
-    """One newline-ended text per picture."""
+def join_regions(regions: DataFrame, image: str = "image_id", order: str = "region_id",
+                 per_part: int = 10_000) -> DataFrame:
+    """One newline-ended text per picture and part."""
     lines = regions.select(image, order, F.concat("text", F.lit("\n")).alias("text"))
-    return ordered_text(lines, [image], order, "text", "")
+    return ordered_text(lines, [image], order, "text", "", per_part=per_part)
 
 
 def spans_to_regions(spans: DataFrame, regions: DataFrame, image: str = "image_id",
                      bucket: int = 256) -> DataFrame:
-    """Every region a span touches.
+    """Every region a span touches. Offsets are those of one part if both sides have a ``part_no``.
 
     Both sides are cut into offset buckets, so the join key is (picture, bucket) and a picture
     with many regions is spread over many tasks; a pair is emitted in its first common bucket only.
     """
+    if ("part_no" in spans.columns) != ("part_no" in regions.columns):
+        raise ValueError("only one side has a part_no: its offsets are those of a part")
+    keys = [image, "part_no"] if "part_no" in spans.columns else [image]
+
     def bucketed(df: DataFrame) -> DataFrame:
         lo, hi = F.floor(F.col("start") / bucket), F.floor(F.greatest(
             F.col("end") - 1, F.col("start")) / bucket)
         return df.withColumn("__lo", lo).withColumn("__b", F.explode(F.sequence(lo, hi)))
 
-    s = bucketed(spans).select(image, "__b", F.col("__lo").alias("__slo"), F.col("start").alias("span_start"),
+    s = bucketed(spans).select(*keys, "__b", F.col("__lo").alias("__slo"), F.col("start").alias("span_start"),
                           F.col("end").alias("span_end"),
-                          *[c for c in spans.columns if c not in (image, "start", "end")])
+                          *[c for c in spans.columns if c not in (*keys, "start", "end")])
     r = bucketed(regions)
     touch = (F.col("span_start") < F.col("end")) & (F.col("span_end") > F.col("start"))
-    return (s.join(r, [image, "__b"]).filter(touch & (
+    return (s.join(r, [*keys, "__b"]).filter(touch & (
         F.col("__b") == F.greatest("__slo", "__lo"))).drop("__b", "__slo", "__lo"))
 
 

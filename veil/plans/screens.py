@@ -207,8 +207,8 @@ def _(spark, sf):
   p AS MATERIALIZED (SELECT image_id, region_id, a, b, s, n FROM sp JOIN r USING (image_id))
   SELECT image_id, region_id, a AS span_start FROM p WHERE a < s + n AND b > s""")
 def _(spark, sf):
-    placed = regions.region_offsets(boxes(spark, sf)).select("image_id", "region_id", "start", "end")
-    spans = placed.filter("region_id % 4 = 0").select("image_id", (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"))
+    placed = regions.region_offsets(boxes(spark, sf)).select("image_id", "part_no", "region_id", "start", "end")
+    spans = placed.filter("region_id % 4 = 0").select("image_id", "part_no", (F.col("start") + 1).alias("start"), (F.col("end") + 3).alias("end"))
     return regions.spans_to_regions(spans, placed).select("image_id", "region_id", "span_start")
 
 
