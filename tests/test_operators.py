@@ -9,12 +9,31 @@ from pyspark.sql import functions as F
 
 from veil.functions.boxes import loc_boxes
 from veil.functions.normalize import spelled_digits, unspace
-from veil.operators import blocks, payload, regions, rules, tables, terms
+from veil.operators import blocks, grid, pages, payload, regions, rules, tables, terms
 from veil.operators.model import chunk_text, model_items, unchunk
 from veil.operators.payload import build_payload, split_action
+from veil.sources import files
 from veil.sources.files import parse_delimited, read_grid, read_texts
 
 
+def test_nothing_is_cut_by_default(spark):
+    cells = spark.createDataFrame([(1, "s", i, [str(i), None]) for i in range(700)],
+                                  "file_id int, sheet string, row_idx int, cells array<string>")
+    text = grid.grid_to_text(grid.cap_sheet(cells)).first().text.split("\n")
+    assert text == ["--- sheet: s (700 rows) ---", *[f"{i} | " for i in range(700)]]
+    assert grid.cap_sheet(cells, n=5).count() == 5
+    read = spark.createDataFrame([(1, i, "") for i in range(1, 21)], "file_id int, page_no int, words string").select(
+        "file_id", "page_no", F.split("words", " ").alias("items"))
+    assert files.pages_to_read(read, files.flag_scanned(read)).count() == 20
+    body = "".join(f"<h2>Head {i}</h2><a href='x'>Go {i}</a><p>{'some words ' * 20}{i}</p>" for i in range(40))
+    page = spark.createDataFrame([("http://h.example/", f"<body>{body}</body>")], "url string, html string")
+    got = pages.page_context(pages.scan_pages(page)).first()
+    assert len(got.headings) == len(got.actions) == 40 and got.text.endswith("some words 39")
+    items = spark.createDataFrame([(1, i, "[PERSON]", "NAME", f"name{i}") for i in range(400)],
+                                  "page_id int, start int, ph string, cat string, match string")
+    assert pages.paint_terms(items).count() == 400
+
+
 def test_running_equals_window(spark):
     rng = random.Random(1)
     rows = [(0 if rng.random() < 0.7 else rng.randrange(5), i, rng.randrange(100)) for i in range(500)]

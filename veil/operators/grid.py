@@ -19,17 +19,18 @@ def clean_cells(rows: DataFrame) -> DataFrame:
 
 
 def cap_sheet(rows: DataFrame, keys: tuple[str, ...] = ("file_id", "sheet"),
-              n: int = 500) -> DataFrame:
-    """The first ``n`` rows of each sheet, with its true row count as ``total``."""
+              n: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each sheet (all by default), with its true row count as ``total``."""
     rows = clean_cells(rows)
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    return first_rows(rows, list(keys), ["row_idx"], n).join(total, list(keys))
+    kept = rows if n is None else first_rows(rows, list(keys), ["row_idx"], n)
+    return kept.join(total, list(keys))
 
 
 def grid_to_text(capped: DataFrame, file: str = "file_id") -> DataFrame:
     """Sheets of a file as text: a header line, cells by `` | ``, rows by newline.
 
-    Input comes from :func:`cap_sheet`, which bounds the rows of a sheet.
+    Input comes from :func:`cap_sheet`, which counts the rows of a sheet.
     """
     line = capped.withColumn("text", F.array_join("cells", " | "))
     sheets = line.groupBy(file, "sheet", "total").agg(F.array_sort(F.collect_list(

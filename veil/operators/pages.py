@@ -54,28 +54,33 @@ def reject_internal_urls(pages: DataFrame, url: str = "url") -> tuple[DataFrame,
     return pages.filter(~is_internal(F.col(url))), pages.filter(is_internal(F.col(url)))
 
 
-def outline(nodes: Column, limit: int = 1800) -> Column:
-    """Text nodes until the running length exceeds ``limit``; the crossing node is kept."""
+def outline(nodes: Column, limit: int | None = None) -> Column:
+    """Text nodes, all or until the running length exceeds ``limit``; the crossing node is kept."""
+    nodes = F.filter(nodes, lambda t: F.length(t) >= 2)
+    if limit is None:
+        return F.array_join(nodes, " | ")
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
     step = lambda z, t: F.when(z["n"] > limit, z).otherwise(F.struct(
         (z["n"] + F.length(t)).alias("n"), F.concat(z["out"], F.array(t)).alias("out")))
-    kept = F.aggregate(F.filter(nodes, lambda t: F.length(t) >= 2), start, step, lambda z: z["out"])
+    kept = F.aggregate(nodes, start, step, lambda z: z["out"])
     return F.array_join(kept, " | ")
 
 
-def page_context(scanned: DataFrame, url: str = "url") -> DataFrame:
-    """URL without query, title, redacted headings (12), actions (25), redacted outline.
+def page_context(scanned: DataFrame, url: str = "url", *, headings: int | None = None,
+                 actions: int | None = None, limit: int | None = None) -> DataFrame:
+    """URL without query, title, redacted headings, actions, redacted outline: whole, or cut to the numbers given.
 
     Nodes are redacted as one text, a line each: no core pattern crosses a line.
     """
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
     short = F.filter("actions", lambda t: (t != "") & (F.length(t) < 60))
     return (scanned.withColumn("__n", F.array_join("nodes", "\n"))
-            .withColumn("__h", F.array_join(F.slice("headings", 1, 12), "\n"))
+            .withColumn("__h", F.array_join(first(F.col("headings"), headings), "\n"))
             .withColumn("__n", redact_text("__n")).withColumn("__h", redact_text("__h"))
             .withColumn("url", page_url(F.col(url)))
             .withColumn("headings", F.filter(F.split("__h", "\n"), lambda t: t != ""))
-            .withColumn("actions", F.slice(F.array_distinct(short), 1, 25))
-            .withColumn("text", outline(F.split("__n", "\n")))
+            .withColumn("actions", first(F.array_distinct(short), actions))
+            .withColumn("text", outline(F.split("__n", "\n"), limit))
             .drop("nodes", "__n", "__h"))
 
 
@@ -118,8 +123,8 @@ def biggest_media(media: DataFrame, view_width: float = 1280.0, view_height: flo
                        (-F.col("m.a") > view_width * view_height * 0.35).alias("dominant"))
 
 
-def paint_terms(items: DataFrame, page: str = "page_id", most: int = 300) -> DataFrame:
-    """Terms a page can cover itself: shown categories, addresses in pieces, 300 per page."""
+def paint_terms(items: DataFrame, page: str = "page_id", most: int | None = None) -> DataFrame:
+    """Terms a page can cover itself: shown categories, addresses in pieces, all or the first ``most``."""
     from veil.operators.blocks import first_rows
     from veil.schema import PAINTABLE
 
@@ -128,4 +133,4 @@ def paint_terms(items: DataFrame, page: str = "page_id", most: int = 300) -> Dat
     terms = (items.filter(F.col("cat").isin(*PAINTABLE))
              .select(page, "start", "ph", F.posexplode(pieces).alias("piece", "term"))
              .withColumn("term", F.trim("term")).filter(F.length("term") >= 2))
-    return first_rows(terms, [page], ["start", "piece", "ph"], most)
+    return terms if most is None else first_rows(terms, [page], ["start", "piece", "ph"], most)

@@ -319,7 +319,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = derived(spark, sf, "sentences").filter("t IN (12, 13, 14, 17, 19)")
     found = gate.findings(gate.sanitize(rows.select("doc_id", "text"), warnings=False), ("doc_id",))
-    return paint_terms(found, "doc_id").select("doc_id", "term")
+    return paint_terms(found, "doc_id", most=300).select("doc_id", "term")
 
 
 @query("d13_read_total", f"""{ITEMS}, elements AS ({with_derived('elements')[len('WITH elements AS ('):-1]}),

@@ -82,7 +82,7 @@ SHEETS = with_derived("sheets")
 
 def capped(spark, sf):
     cells = derived(spark, sf, "sheets").select("file_id", "sheet", "row_idx", F.array("c0", "c1", "c2").alias("cells"))
-    return grid.cap_sheet(cells)
+    return grid.cap_sheet(cells, n=500)
 
 
 @query("a3_cap_sheet", f"{SHEETS} SELECT file_id, sheet, row_idx, total, c0 || '|' || coalesce(c1, '') || '|' || c2 AS line FROM (SELECT *, "
@@ -118,7 +118,7 @@ def _(spark, sf):
        "SELECT file_id, page_no FROM p JOIN f USING (file_id) WHERE page_no <= 6")
 def _(spark, sf):
     p = pdf(spark, sf)
-    return files.pages_to_read(p, files.flag_scanned(p)).select("file_id", "page_no")
+    return files.pages_to_read(p, files.flag_scanned(p), max_pages=6).select("file_id", "page_no")
 
 
 SHOWN = "display <> 'none' AND visibility <> 'hidden' AND opacity <> 0 AND width <> 0 AND height <> 0 AND top_px + height > 0 AND top_px < 300"
@@ -419,7 +419,7 @@ def outline_sql(nodes: str) -> str:
 
 @query("e2_outline", f"{PARTS} SELECT page_id, {outline_sql('nodes')} AS text FROM parts")
 def _(spark, sf):
-    return pages.scan_pages(table(spark, sf, "pages")).select("page_id", pages.outline(F.col("nodes")).alias("text"))
+    return pages.scan_pages(table(spark, sf, "pages")).select("page_id", pages.outline(F.col("nodes"), limit=1800).alias("text"))
 
 
 REDACTED = f"""{PARTS}, src AS (SELECT page_id, array_to_string(nodes, chr(10)) AS text FROM parts),
@@ -433,7 +433,7 @@ REDACTED = f"""{PARTS}, src AS (SELECT page_id, array_to_string(nodes, chr(10))
 
 
 def context(spark, sf):
-    return pages.page_context(pages.scan_pages(table(spark, sf, "pages")))
+    return pages.page_context(pages.scan_pages(table(spark, sf, "pages")), headings=12, actions=25, limit=1800)
 
 
 @query("b5_page_context", f"{REDACTED} SELECT page_id, url, title, headings, array_to_string(actions, '|') AS actions, text FROM ctx")
@@ -454,5 +454,5 @@ def _(spark, sf):
   OR page_id % 10 = 0 AS needs_ocr FROM parts""")
 def _(spark, sf):
     scanned = pages.scan_pages(table(spark, sf, "pages"))
-    ctx = scanned.select("page_id", pages.outline(F.col("nodes")).alias("text"), (F.col("page_id") % 10 == 0).alias("dominant"))
+    ctx = scanned.select("page_id", pages.outline(F.col("nodes"), limit=1800).alias("text"), (F.col("page_id") % 10 == 0).alias("dominant"))
     return pages.needs_ocr(ctx, dominant="dominant").select("page_id", "needs_ocr")

@@ -95,10 +95,11 @@ def flag_scanned(pages: DataFrame, per_page: int = 24) -> DataFrame:
     return got.withColumn("scanned", F.col("chars") < per_page * F.col("pages"))
 
 
-def pages_to_read(pages: DataFrame, flags: DataFrame, max_pages: int = 6) -> DataFrame:
-    """Pages of scanned documents that go to image reading: the first few."""
+def pages_to_read(pages: DataFrame, flags: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages of scanned documents that go to image reading: all, or the first few."""
     scanned = flags.filter("scanned").select("file_id")
-    return pages.filter(F.col("page_no") <= max_pages).join(scanned, "file_id", "left_semi")
+    wanted = pages if max_pages is None else pages.filter(F.col("page_no") <= max_pages)
+    return wanted.join(scanned, "file_id", "left_semi")
 
 
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
