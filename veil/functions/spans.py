@@ -87,14 +87,15 @@ def level_rank(level: str) -> str:
 
 
 def order_items(items: str) -> str:
-    """By start, then level (high first), then longer first; the password of a URL comes before an
-    e-mail address read from the same place.
+    """By start, then level (high first), then longer first, then remembered values; the password of a
+    URL comes before an e-mail address read from the same place.
 
     The key goes in front of each item, so the natural struct order does the sorting.
     """
     i, k = var("i"), var("k")
     keyed = (f"transform({items}, {i} -> named_struct('a', {i}.start, 'b', "
-             f"if({i}.kind = 'Password in a URL', -1, {level_rank(i + '.level')}), 'c', -{i}.`end`, 'd', {i}.cat, 'f', {i}.kind, 'i', {i}))")
+             f"if({i}.kind = 'Password in a URL', -1, {level_rank(i + '.level')}), 'c', -{i}.`end`, "
+             f"'m', if({i}.layer = 'memory', 0, 1), 'd', {i}.cat, 'f', {i}.kind, 'i', {i}))")
     return f"transform(array_sort({keyed}), {k} -> {k}.i)"
 
 

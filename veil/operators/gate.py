@@ -12,24 +12,40 @@ from veil.operators.detect import CORE, all_items, topic_warnings
 from veil.schema import ITEMS, WARNINGS
 
 
-def analyze(df: DataFrame, text: str = "text", *, layers: tuple[str, ...] | None = None,
-            ocr: str | None = None, extra: str | None = None, warnings: bool = True) -> DataFrame:
-    """Add ``items`` (resolved, numbered) and ``warnings``; the text becomes its normal reading.
+def unresolved(df: DataFrame, text: str = "text", out: str = "found", *,
+               layers: tuple[str, ...] | None = None, ocr: str | None = None,
+               extra: str | None = None) -> DataFrame:
+    """Add every item outside existing placeholders, overlaps and all; the text becomes its normal reading.
 
-    ``extra`` names a column of further items (model spans, memory or rule hits), ``ocr`` a boolean
-    expression for text read from pictures. Offsets refer to the normal reading. Every stage is a
-    column of its own, so no heavy expression is evaluated twice.
+    ``extra`` names a column (or expression over ``__t``, the normal reading) of further items: model
+    spans, memory or rule hits. ``ocr`` is a boolean expression for text read from pictures.
     """
     found = all_items("__t", layers, ocr)
     if extra:
         found = f"concat({found}, coalesce({extra}, {sp.NO_ITEMS}))"
     clear = sp.outside("__raw", sp.protected_spans("__t"))
-    out = (df.withColumn("__t", F.expr(normalize(f"coalesce({text}, '')")))
-           .withColumn("__raw", F.expr(found))
-           .withColumn("items", F.expr(finish_items(sp.resolve_overlaps(clear))).cast(ITEMS)))
+    return (df.withColumn("__t", F.expr(normalize(f"coalesce({text}, '')")))
+            .withColumn("__raw", F.expr(found)).withColumn(out, F.expr(clear).cast(ITEMS))
+            .withColumn(text, F.col("__t")).drop("__t", "__raw"))
+
+
+def resolved(found: str) -> Column:
+    """Items without overlaps, placeholders filled in."""
+    return F.expr(finish_items(sp.resolve_overlaps(found))).cast(ITEMS)
+
+
+def analyze(df: DataFrame, text: str = "text", *, layers: tuple[str, ...] | None = None,
+            ocr: str | None = None, extra: str | None = None, warnings: bool = True) -> DataFrame:
+    """Add ``items`` (resolved, numbered) and ``warnings``; the text becomes its normal reading.
+
+    Options as in :func:`unresolved`. Offsets refer to the normal reading. Every stage is a column of its
+    own, so no heavy expression is evaluated twice.
+    """
+    out = unresolved(df, text, "__found", layers=layers, ocr=ocr, extra=extra)
+    out = out.withColumn("items", resolved("__found")).drop("__found")
     if warnings:
-        out = out.withColumn("warnings", F.expr(topic_warnings("__t")).cast(WARNINGS))
-    return out.withColumn(text, F.col("__t")).drop("__t", "__raw")
+        out = out.withColumn("warnings", F.expr(topic_warnings(text)).cast(WARNINGS))
+    return out
 
 
 def sanitize(df: DataFrame, text: str = "text", *, source: str | Column = "text",

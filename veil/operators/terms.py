@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import spans as sp
+from veil.schema import PLACEHOLDER
 
 TOKEN = "[a-z0-9]+"
 
@@ -65,27 +66,30 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
     return easy.unionByName(odd.select(key, "term", "start", "end"))
 
 
-def memory_variants(memory: DataFrame, session: str = "conv_id") -> DataFrame:
+def memory_variants(memory: DataFrame, session: str = "conv_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every form under which a remembered value may come back: whole or reversed at any length, and
-    its parts of four or more characters."""
+    its parts of four or more characters (of an e-mail address those before the @: the rest is shared)."""
     bare = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
-    parts = F.filter(F.regexp_extract_all(F.lower("value"), F.lit(TOKEN), F.lit(0)),
-                     lambda p: F.length(p) >= 4)
+    own = F.when(F.col("cat") == "EMAIL", F.substring_index("value", "@", 1)).otherwise(F.col("value"))
+    parts = F.filter(F.regexp_extract_all(F.lower(own), F.lit(TOKEN), F.lit(0)), lambda p: F.length(p) >= 4)
     forms = F.array_distinct(F.concat(F.array(bare, F.reverse(bare)), parts))
-    rows = memory.select(session, "value", "cat", "first_turn", F.explode(forms).alias("form"))
+    held = ("first_turn", "value", "cat", *carry)
+    rows = memory.select(session, *held, F.explode(forms).alias("form"))
     # One row per form, the earliest: the join below can then never multiply tokens.
     return (rows.filter(F.length("form") > 0).groupBy(session, "form").agg(
-        F.min(F.struct("first_turn", "value", "cat")).alias("m"))
+        F.min(F.struct(*held)).alias("m"))
         .select(session, "form", "m.*"))
 
 
 def match_memory(turns: DataFrame, memory: DataFrame, session: str = "conv_id",
-                 turn: str = "turn", text: str = "text", sizes: list[int] | None = None) -> DataFrame:
-    """Hits of values remembered from earlier turns of the same session.
+                 turn: str = "turn", text: str = "text", sizes: list[int] | None = None,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of values remembered from earlier turns of the same session, outside placeholders.
 
     Tokens, runs of as many tokens as a remembered value has, and spaced-out characters
     (``4 7 8 5``) are the join keys; a form of fewer than four characters must be a whole token.
-    ``sizes`` is read from ``memory`` where it is not given, so pass a stored table.
+    ``sizes`` is read from ``memory`` where it is not given, so pass a stored table. ``carry`` names
+    further columns of ``memory`` that the hits are to have.
     """
     sizes = sorted({2, *(word_counts(memory, "value") if sizes is None else sizes)})
     s = sp.var("s")
@@ -94,21 +98,46 @@ def match_memory(turns: DataFrame, memory: DataFrame, session: str = "conv_id",
               f"regexp_replace({s}.v, '[ .-]', '')))")
     forms = f"concat({word_spans(text, sizes, '')}, {joined})"
     i = sp.var("i")
-    whole = f"length({i}.v) >= 4 OR length({i}.v) = {i}.e - {i}.s"
-    with_text = (f"transform(filter({forms}, {i} -> {whole}), {i} -> named_struct("
-                 f"'start', {i}.s, 'end', {i}.e, 'form', {i}.v, "
-                 f"'match', substring({text}, {i}.s + 1, {i}.e - {i}.s)))")
+    p = sp.var("p")
+    whole = f"(length({i}.v) >= 4 OR length({i}.v) = {i}.e - {i}.s)"
+    with_text = sp.let(sp.protected_spans(text), lambda held: (
+        f"transform(filter({forms}, {i} -> {whole} AND NOT exists({held}, {p} -> {i}.s < {p}.e AND {i}.e > {p}.s)), "
+        f"{i} -> named_struct('start', {i}.s, 'end', {i}.e, 'form', {i}.v, "
+        f"'match', substring({text}, {i}.s + 1, {i}.e - {i}.s)))"))
     runs = turns.select(session, turn, F.inline(F.expr(with_text)))
-    return (runs.join(memory_variants(memory, session), [session, "form"])
+    return (runs.join(memory_variants(memory, session, carry), [session, "form"])
             .filter(F.col("first_turn") < F.col(turn))
-            .select(session, turn, "start", "end", "match", "value", "cat", "first_turn"))
+            .select(session, turn, "start", "end", "match", "value", "cat", "first_turn", *carry))
 
 
-def forms_hidden(turns: DataFrame, hits: DataFrame, session: str = "conv_id", turn: str = "turn",
-                 text: str = "text", ph: str = "[REMEMBERED]") -> DataFrame:
-    """Turns with their memory hits as an items column, ready for the gate's ``extra``."""
-    item = F.struct("start", "end", "match", "value", "cat", F.lit("Remembered value").alias("kind"),
-                    F.lit("high").alias("level"), F.lit("memory").alias("layer"),
-                    F.lit("hidden earlier").alias("ev"), F.lit(ph).alias("ph"))
-    packed = hits.groupBy(session, turn).agg(F.collect_set(item).alias("memory_items"))
-    return turns.join(packed, [session, turn], "left")
+def remembered_leaks(texts: DataFrame, memory: DataFrame, session: str = "conv_id", turn: str = "turn",
+                     text: str = "clean", width: int = 4) -> DataFrame:
+    """Remembered values that a finished text still holds: session, turn, value, cat, once each.
+
+    Letters and digits only are compared, whole or reversed, wherever they lie (also inside a longer word);
+    a form of fewer than ``width`` characters must be a whole token. Placeholders are no text. Values count
+    from the turn they were hidden in (``first_turn``).
+
+    A form is keyed by its first ``width`` characters. The distinct pieces of that length of each text,
+    which a form in it must start with, join the keys of their own session; Spark filters the pieces
+    by a Bloom filter of the keys where the tables are large. Only the pairs that meet are compared exactly.
+    """
+    bare = F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")
+    key = lambda form: F.when(F.length(form) < width, F.concat(F.lit("="), form)).otherwise(
+        F.substring(form, 1, width))
+    forms = (memory.select(session, "value", "cat", "first_turn", F.explode(F.array(bare, F.reverse(bare))).alias("form"))
+             .filter(F.length("form") > 0).withColumn("key", key(F.col("form"))))
+    # A placeholder becomes a sign that no form holds, so nothing is found across it.
+    low = F.lower(F.regexp_replace(text, PLACEHOLDER, "|"))
+    flat = F.regexp_replace(low, "[^a-z0-9|]", "")
+    pieces = F.when(F.length("flat") >= width, F.transform(
+        F.sequence(F.lit(1), F.length("flat") - width + 1), lambda i: F.substring(F.col("flat"), i, F.lit(width))))
+    tokens = F.transform(F.filter(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)),
+                                  lambda t: F.length(t) < width), lambda t: F.concat(F.lit("="), t))
+    read = texts.select(session, turn, flat.alias("flat"), tokens.alias("tokens"))
+    keys = read.select(session, turn, F.explode(F.array_distinct(F.concat(
+        F.coalesce(pieces, F.array()), "tokens"))).alias("key"))
+    met = keys.join(forms, [session, "key"]).filter(F.col("first_turn") <= F.col(turn))
+    exact = met.join(read.select(session, turn, "flat"), [session, turn]).filter(
+        F.col("key").startswith("=") | F.contains("flat", "form"))
+    return exact.select(session, turn, "value", "cat").distinct()

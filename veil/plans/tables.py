@@ -33,6 +33,21 @@ FROM (SELECT o_orderkey AS k, o_custkey AS c,
     || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0') AS ph FROM {orders}) o
 """
 
+# Chat turns in which values come back: people by surname or backwards, a card number, a term of a rule.
+TALKS = """
+SELECT c AS conv_id, k AS turn, k % 9 AS t, nm, sur, card, h, CASE k % 9
+  WHEN 0 THEN 'my name is ' || nm || ' ' || sur WHEN 1 THEN 'please tell ' || sur || ' that the report is late'
+  WHEN 2 THEN 'the label reads ' || reverse(nm || sur) WHEN 3 THEN 'my card is ' || card || ' and my friend is ' || nm
+  WHEN 4 THEN 'move project falcon to monday' WHEN 5 THEN 'token = "' || h || '" belongs to ' || sur
+  WHEN 6 THEN 'see page 834 for details' WHEN 7 THEN 'is ' || card || ' the right one?'
+  ELSE nm || ' wrote to ' || substr(h, 1, 9) || '@mail.example.com' END AS text
+FROM (SELECT o_orderkey AS k, o_custkey AS c,
+  split_part('Asha,Ravi,Meera,Arjun,Priya', ',', CAST(o_orderkey % 5 + 1 AS INT)) AS nm,
+  split_part('Kapoor,Sharma,Iyengar', ',', CAST(floor(o_orderkey / 9) % 3 + 1 AS INT)) AS sur,
+  md5(CAST(o_orderkey AS STRING)) AS h,
+  '4' || lpad(CAST(o_custkey * 7919 AS STRING), 15, '0') AS card FROM {orders}) o
+"""
+
 # Rows of a file per nation, header at row 0; ``row_idx`` rises with the customer key.
 GRID = """
 SELECT DISTINCT c_nationkey AS file_id, CAST(0 AS BIGINT) AS row_idx, 'Customer Name' AS c0,
@@ -117,7 +132,7 @@ SELECT conv_id AS file_id, turn + 1 AS page_no, CASE WHEN conv_id % 4 = 0 THEN s
   ELSE text END AS words FROM {conversations}
 """
 
-DERIVED = {"messages": (MESSAGES, ("orders",)), "grid": (GRID, ("customer",)),
+DERIVED = {"messages": (MESSAGES, ("orders",)), "talks": (TALKS, ("orders",)), "grid": (GRID, ("customer",)),
            "boxes": (BOXES, ("lineitem",)), "elements": (ELEMENTS, ("customer",)),
            "sentences": (SENTENCES, ("orders",)), "sheets": (SHEETS, ("orders",)),
            "pdf": (PDF, ("conversations",))}
