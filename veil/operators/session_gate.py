@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from veil.functions import spans as sp
 from veil.functions.text import normal_value
 from veil.operators.detect import topic_warnings
 from veil.operators.gate import apply_decisions, resolved, unresolved
-from veil.operators.placeholders import number_placeholders
+from veil.operators.blocks import row_numbers
 from veil.operators.rules import Rule
 from veil.operators.terms import match_memory, remembered_leaks
 from veil.schema import ITEM_FIELDS, ITEMS, NUMBERED, WARNINGS
@@ -30,6 +31,19 @@ from veil.session import cut
 CARRIED = ("level", "ph")
 
 
+@dataclass
+class SessionState:
+    """What sessions have gathered: small tables keyed by session, also the state of a stream.
+
+    ``memory``: session, cat, value, first_turn, level, ph. ``numbers``: session, cat, value (normal form), number.
+    ``revealed``: session, value (lower case), revealed (the first turn).
+    """
+
+    memory: DataFrame
+    numbers: DataFrame
+    revealed: DataFrame
+
+
 def term_items(rules: Iterable[Rule], text: str) -> str:
     """Items of the ``term`` rules: whole words in any case, one pattern per label (``[TERM]`` without one)."""
     by_label: dict[str, list[str]] = {}
@@ -87,11 +101,12 @@ def first_hidden(decided: DataFrame, session: str, turn: str) -> DataFrame:
 def first_revealed(decided: DataFrame, session: str, turn: str) -> DataFrame:
     """Medium values that the user revealed, with the first turn of that: allowed afterwards."""
     return (decided.filter((F.col("level") == "medium") & ~F.col("masked"))
-            .groupBy(session, F.lower("value").alias("__v")).agg(F.min(turn).alias("revealed")))
+            .groupBy(session, F.lower("value").alias("value")).agg(F.min(turn).alias("revealed")))
 
 
 def _not_revealed(rows: DataFrame, revealed: DataFrame, session: str, turn: Column) -> DataFrame:
-    keyed = rows.withColumn("__v", F.lower("value")).join(revealed, [session, "__v"], "left")
+    keyed = rows.withColumn("__v", F.lower("value")).join(
+        revealed.withColumnRenamed("value", "__v"), [session, "__v"], "left")
     return keyed.filter(F.col("revealed").isNull() | (F.col("revealed") >= turn)).drop("__v", "revealed")
 
 
@@ -102,30 +117,50 @@ def _remembered(base: DataFrame, memory: DataFrame, session: str, turn: str, tex
     return hits.select(session, turn, *[F.lit(made[f]).alias(f) if f in made else F.col(f) for f in ITEM_FIELDS])
 
 
-def _numbered(rows: DataFrame, session: str, turn: str) -> DataFrame:
-    """Hidden people, places and organisations get the number they have in the whole session."""
-    named = F.col("masked") & F.col("cat").isin(*NUMBERED)
+def _earliest(memory: DataFrame, session: str) -> DataFrame:
+    """One row per value of a session, the earliest."""
+    return (memory.groupBy(session, "cat", normal_value(F.col("value")).alias("__n"))
+            .agg(F.min(F.struct("first_turn", "value", *CARRIED)).alias("f")).select(session, "cat", "f.*"))
+
+
+def _numbers(rows: DataFrame, session: str, turn: str, known: DataFrame | None) -> DataFrame:
+    """Numbers of hidden values that have none yet, by first appearance after the known ones."""
+    value = normal_value(F.col("value"))
+    first = (rows.filter("masked").groupBy(session, "cat", value.alias("value"))
+             .agg(F.min(F.struct(F.col(turn).alias("t"), F.col("start").alias("s"))).alias("f"))
+             .select(session, "cat", "value", F.col("f.t").alias("t"), F.col("f.s").alias("s")))
+    if known is None:
+        return row_numbers(first, [session, "cat"], "t", "number", width=1_000_000, ties=("s", "value")).drop("t", "s")
+    last = known.groupBy(session, "cat").agg(F.max("number").alias("__last"))
+    new = first.join(known, [session, "cat", "value"], "left_anti")
+    new = row_numbers(new, [session, "cat"], "t", "number", width=1_000_000, ties=("s", "value")).drop("t", "s")
+    return new.join(last, [session, "cat"], "left").withColumn(
+        "number", F.col("number") + F.coalesce("__last", F.lit(0))).drop("__last")
+
+
+def _with_numbers(rows: DataFrame, numbers: DataFrame, session: str) -> DataFrame:
+    """Hidden items with the number of their value; people, places and organisations show it."""
     word = F.create_map(*[F.lit(x) for pair in NUMBERED.items() for x in pair])
-    ranked = number_placeholders(rows.filter(named), session, turn).withColumn("ph", F.concat(
-        F.lit("["), word[F.col("cat")], F.lit("_"), F.col("number").cast("string"), F.lit("]"))).drop("number")
-    return rows.filter(~named).unionByName(ranked)
+    named = F.col("masked") & F.col("cat").isin(*NUMBERED)
+    keyed = rows.withColumn("__n", normal_value(F.col("value"))).join(
+        numbers.withColumnRenamed("value", "__n"), [session, "cat", "__n"], "left").drop("__n")
+    return (keyed.withColumn("number", F.when(F.col("masked"), F.col("number")))
+            .withColumn("ph", F.when(named, F.concat(
+                F.lit("["), word[F.col("cat")], F.lit("_"), F.col("number").cast("string"), F.lit("]"))).otherwise(F.col("ph"))))
 
 
-def gate_session(turns: DataFrame, *, session: str = "conv_id", turn: str = "turn", text: str = "text",
-                 rules: Iterable[Rule] = (), decisions: DataFrame | None = None, memory: bool = True,
-                 warnings: bool = True) -> DataFrame:
-    """Turns with ``clean``, ``items`` (with ``masked``), ``warnings``; the text becomes its normal reading.
+def _merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if old is None else old.select(new.columns).unionByName(new)
 
-    * ``rules``: settings. ``term`` (hidden wherever it stands, ``label`` names its placeholder), ``allow``
-      (never flagged), ``category`` (always hidden), ``show`` (category left alone).
-    * ``decisions``: rows (session, turn, start, hide), the user's choices on single items. High items stay
-      hidden; a medium one that is revealed is allowed in all later turns, also when it was hidden before.
-    * ``memory``: a value hidden in a turn is hidden again in every later one, whole, reversed, spaced out or in
-      parts, under the placeholder it had; before overlaps are resolved, so it competes with the detectors.
-    * Numbers of people, places, addresses and organisations run through the session.
 
-    (session, turn) is unique, ``turn`` rises. A null text is empty. For sessions with resets, key by a column
-    that holds (session, epoch), see :func:`veil.operators.placeholders.session_epoch`.
+def gate_turns(turns: DataFrame, *, session: str = "conv_id", turn: str = "turn", text: str = "text",
+               rules: Iterable[Rule] = (), decisions: DataFrame | None = None, memory: bool = True,
+               warnings: bool = True, known: SessionState | None = None,
+               free: DataFrame | None = None) -> tuple[DataFrame, SessionState]:
+    """The gated turns of :func:`gate_session`, and what their sessions have gathered beyond ``known``.
+
+    ``known`` is the state before these turns, whatever their numbers: its values are hidden in all of them.
+    ``free`` has the columns of ``SessionState.revealed``: further values that are allowed in later turns.
     """
     keys, rules = [session, turn], list(rules)
     base = unresolved(turns, text, extra=term_items(rules, "__t"))
@@ -134,24 +169,55 @@ def gate_session(turns: DataFrame, *, session: str = "conv_id", turn: str = "tur
         base = base.withColumn("warnings", F.expr(topic_warnings(text)).cast(WARNINGS))
     base = cut(base)
     rows = base.select(*keys, F.inline("found"))
+    own = base.select(*keys, F.inline(resolved("found")))
+    held = cut(first_hidden(_decide(own, rules, decisions, keys), session, turn))
     if memory:
-        own = base.select(*keys, F.inline(resolved("found")))
-        held = cut(first_hidden(_decide(own, rules, decisions, keys), session, turn))
-        again = _remembered(base, held, session, turn, text)
+        before = known and known.memory.withColumn("first_turn", F.lit(-2 ** 63).cast("long"))
+        again = _remembered(base, held if known is None else cut(_earliest(_merged(before, held), session)),
+                            session, turn, text)
         if allowed := [v.lower() for v in _values(rules, "allow")]:
             again = again.filter(~F.lower("value").isin(*allowed) & ~F.lower("match").isin(*allowed))
-        rows = rows.unionByName(again)
-    rows = cut(rows)
+        rows = cut(rows.unionByName(again))
     decided = _decide(_resolve(rows, keys), rules, decisions, keys)
-    if decisions is not None:
-        revealed = first_revealed(decided, session, turn)
-        rows = _not_revealed(rows, revealed, session, F.col(turn))
+    revealed = _merged(free, first_revealed(decided, session, turn))
+    if decisions is not None or known is not None or free is not None:
+        before = known and known.revealed.withColumn("revealed", F.lit(-2 ** 63).cast("long"))
+        first = _merged(before, revealed).groupBy(session, "value").agg(F.min("revealed").alias("revealed"))
+        rows = _not_revealed(rows, first, session, F.col(turn))
         decided = _decide(_resolve(rows, keys), rules, decisions, keys)
-    final = _numbered(cut(decided), session, turn)
-    packed = final.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ITEM_FIELDS, "masked"))).alias("items"))
+    decided = cut(decided)
+    numbers = cut(_numbers(decided, session, turn, known and known.numbers))
+    final = _with_numbers(decided, _merged(known and known.numbers, numbers), session)
+    packed = final.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct(*ITEM_FIELDS, "masked", "number"))).alias("items"))
     none = F.array().cast(packed.schema["items"].dataType)
     out = base.drop("found").join(packed, keys, "left").withColumn("items", F.coalesce("items", none))
-    return out.withColumn("clean", F.expr(sp.apply_items(text, "items", lambda i: f"{i}.masked")))
+    out = out.withColumn("clean", F.expr(sp.apply_items(text, "items", lambda i: f"{i}.masked")))
+    if known is not None:
+        same = [session, "cat", "__n"]
+        old = known.memory.select(session, "cat", normal_value(F.col("value")).alias("__n"))
+        held = held.withColumn("__n", normal_value(F.col("value"))).join(old, same, "left_anti").drop("__n")
+    return out, SessionState(held, numbers, revealed)
+
+
+def gate_session(turns: DataFrame, **options) -> DataFrame:
+    """Turns with ``clean``, ``items`` (with ``masked`` and ``number``) and ``warnings``; the text becomes its
+    normal reading. Options:
+
+    * ``session``, ``turn``, ``text``: columns. (session, turn) is unique and ``turn`` rises; a null text is empty.
+      For sessions with resets, key by a column that holds (session, epoch), see
+      :func:`veil.operators.placeholders.session_epoch`.
+    * ``rules``: settings. ``term`` (hidden wherever it stands, ``label`` names its placeholder), ``allow``
+      (never flagged), ``category`` (always hidden), ``show`` (category left alone).
+    * ``decisions``: rows (session, turn, start, hide), the user's choices on single items. High items stay
+      hidden; a medium one that is revealed is allowed in all later turns, also when it was hidden before.
+    * ``memory``: a value hidden in a turn is hidden again in every later one, whole, reversed, spaced out or in
+      parts, under the placeholder it had; before overlaps are resolved, so it competes with the detectors.
+    * ``warnings``: add them.
+
+    Numbers of people, places, addresses and organisations run through the session.
+    """
+    return gate_turns(turns, **options)[0]
 
 
 def session_findings(gated: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -160,20 +226,26 @@ def session_findings(gated: DataFrame, session: str = "conv_id", turn: str = "tu
 
 
 def verify_session(gated: DataFrame, rules: Iterable[Rule] = (), session: str = "conv_id", turn: str = "turn",
-                   text: str = "clean") -> DataFrame:
+                   text: str = "clean", state: SessionState | None = None, free: DataFrame | None = None) -> DataFrame:
     """Adds ``residual`` and ``residual_count``: kinds that a finished payload still holds.
 
     The detectors read the payload again, and everything that the session has hidden up to this turn is looked
     for in it. Values that ``allow`` and ``show`` rules or the user's decisions up to this turn set free are
-    none. Pass stored turns; they are read three times.
+    none. Pass stored turns; they are read three times. ``state`` adds what the sessions hid before these turns,
+    ``free`` (as ``SessionState.revealed``) further values set free.
     """
     found, value = session_findings(gated, session, turn), F.lower("value")
-    shown = (found.filter(~F.col("masked") & (F.col("level") == "medium"))
-             .groupBy(session, value.alias("__v")).agg(F.min(turn).alias("revealed")))
+    shown = _merged(free, first_revealed(found, session, turn))
+    held = first_hidden(found, session, turn)
+    if state is not None:
+        first = F.lit(-2 ** 63).cast("long")
+        shown = _merged(state.revealed.withColumn("revealed", first), shown)
+        held = _earliest(_merged(state.memory.withColumn("first_turn", first), held), session)
+    shown = shown.groupBy(session, F.col("value").alias("__v")).agg(F.min("revealed").alias("revealed"))
     again = unresolved(gated.select(session, turn, text), text)
     again = (again.select(session, turn, F.inline(F.expr(ruled("found", rules)))).filter("level <> 'low'")
              .select(session, turn, "kind", value.alias("__v")))
-    leaks = remembered_leaks(gated, first_hidden(found, session, turn), session, turn, text)
+    leaks = remembered_leaks(gated, held, session, turn, text)
     leaks = leaks.select(session, turn, F.lit("Remembered value").alias("kind"), value.alias("__v"))
     left = (again.unionByName(leaks).join(shown, [session, "__v"], "left")
             .filter(F.col("revealed").isNull() | (F.col("revealed") > F.col(turn)))

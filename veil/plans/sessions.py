@@ -92,13 +92,21 @@ def _(spark, sf):
     return found.filter("cat IN ('CARD', 'ACCOUNT')").select("conv_id", "turn", "start", "masked")
 
 
-@query("s6_session_exit", f"""{_sql()}, leaky AS (SELECT conv_id, turn, {_clean("CASE WHEN " + duck.luhn('card') +
-       " THEN '[CARD]' ELSE '[ACCOUNT]' END", "[TERM]", "'[EMAIL]'")} || CASE WHEN turn % 7 = 0 THEN ' x' || nm || '-' || sur || 'x' ELSE '' END AS clean FROM shown),
+HIDDEN = _clean("CASE WHEN " + duck.luhn("card") + " THEN '[CARD]' ELSE '[ACCOUNT]' END", "[TERM]", "'[EMAIL]'")
+
+
+def checked_sql(added: str = "''") -> str:
+    """(conv_id, turn, clean, residual_count, verdict) of payloads to which something is added."""
+    return f"""{_sql()}, leaky AS (SELECT conv_id, turn, {HIDDEN} || {added} AS clean FROM shown),
   flat AS (SELECT *, regexp_replace(lower(regexp_replace(clean, {duck.q(PLACEHOLDER)}, '|', 'g')), '[^a-z0-9|]', '', 'g') AS f FROM leaky),
   left_over AS (SELECT f.conv_id, f.turn, count(*) AS n FROM flat f JOIN ranked k ON k.conv_id = f.conv_id AND k.ft <= f.turn
-    AND (contains(f, lower(replace(k.value, ' ', ''))) OR contains(f, reverse(lower(replace(k.value, ' ', ''))))) GROUP BY ALL)
-  SELECT conv_id, turn, CAST(coalesce(n, 0) AS INT) AS residual_count, CASE WHEN n > 0 THEN 'quarantine' ELSE 'clean' END AS verdict
-  FROM leaky LEFT JOIN left_over USING (conv_id, turn)""")
+    AND (contains(f, lower(replace(k.value, ' ', ''))) OR contains(f, reverse(lower(replace(k.value, ' ', ''))))) GROUP BY ALL),
+  checked AS (SELECT conv_id, turn, clean, CAST(coalesce(n, 0) AS INT) AS residual_count,
+    CASE WHEN n > 0 THEN 'quarantine' ELSE 'clean' END AS verdict FROM leaky LEFT JOIN left_over USING (conv_id, turn))"""
+
+
+@query("s6_session_exit", checked_sql("CASE WHEN turn % 7 = 0 THEN ' x' || nm || '-' || sur || 'x' ELSE '' END")
+       + " SELECT conv_id, turn, residual_count, verdict FROM checked")
 def _(spark, sf):
     """The exit check on the session's memory; a name is put into every seventh payload, inside a longer word."""
     turns = derived(spark, sf, "talks").select("conv_id", "turn", "text", "nm", "sur")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from veil.plans import chats
 from veil.plans.registry import query
-from veil.plans.tables import table
+from veil.plans.sessions import TERMS, checked_sql
+from veil.plans.tables import TALKS, table, with_derived
 from veil.session import work_dir
 from veil.streaming import messages as st
+from veil.streaming import sessions
 
 TURN = "conv_id long, turn long, role string, text string"
 
@@ -56,9 +58,39 @@ def _gate_sql() -> str:
 
 @query("t2_session_gate", _gate_sql())
 def _(spark, sf):
-    """Stream state and batch ranking have to agree, so the check is the batch one."""
-    numbered = st.session_gate(st.stream_items(message_stream(spark, sf)))
-    return run(numbered, spark, "gate").select("conv_id", "turn", "cat", "value", "number")
+    """The state of the stream and the batch ranking have to agree, so the check is the batch one."""
+    out = work_dir(spark, "gate")
+    sessions.write_session_stream(message_stream(spark, sf), f"{out}/data", f"{out}/state", memory=False,
+                                  verify=False).awaitTermination()
+    done = spark.read.parquet(f"{out}/data").select("conv_id", "turn", F.inline("items"))
+    return done.filter("masked").select("conv_id", "turn", "cat", "value", "number")
+
+
+@query("t2_session_text", checked_sql() + " SELECT conv_id, turn, clean, verdict FROM checked")
+def _(spark, sf):
+    """Clean text out of the stream: memory, numbers and rules as in the batch gate. A name written backwards whose
+    first half only was hidden before is refused by the exit check."""
+    orders = table(spark, sf, "orders")
+    source = spark.readStream.schema(orders.schema).load(f"{sf}/orders*.parquet", format="parquet")
+    talks = spark.sql(TALKS, orders=source.select("o_orderkey", "o_custkey")).select("conv_id", "turn", "text")
+    out = work_dir(spark, "talks")
+    sessions.write_session_stream(talks, f"{out}/data", f"{out}/state", rules=TERMS).awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("conv_id", "turn", "clean", "verdict")
+
+
+@query("t3_controls", f"""{with_derived('messages')}, e AS (SELECT *, sum(CASE WHEN turn % 8 = 5 THEN 1 ELSE 0 END) OVER
+    (PARTITION BY conv_id ORDER BY turn) AS epoch FROM messages),
+  named AS (SELECT conv_id, epoch, planted AS v, min(turn) AS ft FROM e WHERE turn % 8 = 0 GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, epoch ORDER BY ft) AS n FROM named)
+  SELECT e.conv_id, e.turn, replace(text, v, '[PERSON_' || n || ']') AS clean FROM e JOIN ranked r
+    ON r.conv_id = e.conv_id AND r.epoch = e.epoch AND r.v = e.planted WHERE turn % 8 = 0""")
+def _(spark, sf):
+    """Reset rows in the stream: numbers begin again after each."""
+    stream = message_stream(spark, sf).withColumn("control", F.expr("if(turn % 8 = 5, 'reset', '')"))
+    out = work_dir(spark, "controls")
+    sessions.write_session_stream(stream.filter("turn % 8 IN (0, 5)"), f"{out}/data", f"{out}/state",
+                                  verify=False).awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("conv_id", "turn", "clean")
 
 
 @query("t4_checked_stream", "SELECT conv_id, turn, 'clean' AS verdict, strlen(text) AS bytes FROM conversations")
