@@ -35,10 +35,10 @@ class StateTable:
         self.spark, self.path = spark, path
         self.key = KEY.format(id=id_type)
         self.schema = STATE.format(key=self.key)
-        self.compact_every, self.ttl = compact_every, ttl_batches
+        self.compact_every, self.ttl = max(2, compact_every), ttl_batches
 
-    def _folders(self, before: int) -> list[tuple[int, int, str]]:
-        """Folders that together hold every batch before a number, each batch once."""
+    def _folders(self, before: int, but: tuple[int, int] | None = None) -> list[tuple[int, int, str]]:
+        """Folders that together hold every batch before a number, each batch once (``but`` one folder)."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(conf)
@@ -46,7 +46,7 @@ class StateTable:
         for s in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/from=*/to=*/_SUCCESS")) or []):
             parent = s.getPath().getParent()
             a, b = (int(p.split("=")[1]) for p in (parent.getParent().getName(), parent.getName()))
-            if b < before:
+            if b < before and (a, b) != but:
                 found.append((a, -b, parent.toString()))
         out, reached = [], -1
         for a, b, path in sorted(found):  # the widest folder of equal starts first
@@ -55,8 +55,8 @@ class StateTable:
                 reached = -b
         return out
 
-    def read(self, before: int) -> DataFrame:
-        paths = [p for _, _, p in self._folders(before)]
+    def read(self, before: int, but: tuple[int, int] | None = None) -> DataFrame:
+        paths = [p for _, _, p in self._folders(before, but)]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
@@ -65,7 +65,8 @@ class StateTable:
         rows = facts.withColumn("batch", F.lit(batch).cast("long"))
         self._write(rows, batch, batch)
         if (batch + 1) % self.compact_every == 0:
-            self._write(self._compacted(self.read(batch + 1), batch), 0, batch)
+            # A repeated batch writes the same folder again and must not read what it replaces.
+            self._write(self._compacted(self.read(batch + 1, but=(0, batch)), batch), 0, batch)
 
     def _write(self, rows: DataFrame, first: int, last: int) -> None:
         names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
