@@ -7,13 +7,16 @@ borders are *stable*. A border between tokens s and t is stable when s + t, enco
 [s, t] again; a sequence of known tokens in which every adjacent pair is stable is the one the merge
 rule produces, so tokens outside the window can no longer change. Decoding joins bytes up the same tree.
 A text is the tree over its pattern matches, whose seams never merge; long matches (base64, repeated
-letters) are the ones for which the windows matter: their cost is linear but for the seams.
+letters) are the ones for which the windows matter. Halves are cut at multiples of the leaf, so that the runs of
+one or of two letters, whose tokens are as long as powers of two, meet at stable borders at once; where a
+window grows long after all, the merge rule works through a heap.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -29,7 +32,7 @@ from veil.llm.vocab import ranks
 class Monoid:
     """Token lists under joining, for one rank file."""
 
-    def __init__(self, rank: dict[bytes, int], leaf: int = 48, window: int = 4):
+    def __init__(self, rank: dict[bytes, int], leaf: int = 128, window: int = 4):
         self.rank, self.leaf, self.window = rank, leaf, window
         self.bytes = [b""] * (max(rank.values()) + 1)
         for token, i in rank.items():
@@ -40,6 +43,8 @@ class Monoid:
         """The merge rule itself: join the leftmost pair of lowest rank until none is left."""
         if (whole := self.rank.get(data)) is not None:
             return [whole]
+        if len(data) > 2 * self.leaf:
+            return self._merge_long(data)
         parts = [data[i:i + 1] for i in range(len(data))]
         get, none = self.rank.get, len(self.bytes)
         pair = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -53,6 +58,41 @@ class Monoid:
                 pair[i - 1] = get(parts[i - 1] + parts[i], none)
         return [self.rank[p] for p in parts]
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same through a heap of (rank, place of the left part) and a linked list of parts."""
+        n, get = len(data), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # parts by their first byte
+        wanted: dict[int, int] = {}  # rank of the pair that begins at a part
+        heap = []
+
+        def offer(i: int) -> None:
+            if i < 0:
+                return
+            if (j := after[i]) < n and (r := get(data[i:after[j]])) is not None:
+                wanted[i] = r
+                heapq.heappush(heap, (r, i))
+            else:
+                wanted.pop(i, None)
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if wanted.get(i) != r:
+                continue
+            j = after[i]
+            wanted.pop(j, None)
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(self.rank[data[i:after[i]]])
+            i = after[i]
+        return out
+
     def _stable(self, s: int, t: int) -> bool:
         return self.merge(self.bytes[s] + self.bytes[t]) == [s, t]
 
@@ -72,7 +112,7 @@ class Monoid:
     def encode(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf:
             return self.merge(data) if data else []
-        half = len(data) // 2
+        half = max(1, len(data) // (2 * self.leaf)) * self.leaf
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
     def decode(self, ids: Sequence[int]) -> bytes:
@@ -83,24 +123,22 @@ class Monoid:
 
 
 class Encoder:
-    """Texts to ids: pattern matches, each through the tree; short matches are remembered."""
+    """Texts to ids: pattern matches, each through the tree; those of at most ``short`` letters are remembered."""
 
-    def __init__(self, rank: dict[bytes, int], pattern: str, most: int = 1 << 18):
-        self.tree, self.most = Monoid(rank), most
+    def __init__(self, rank: dict[bytes, int], pattern: str, most: int = 1 << 18, short: int = 48):
+        self.tree, self.most, self.short = Monoid(rank), most, short
         self.find = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
 
-    def _add(self, matches: list[str]) -> None:
-        known, encode = self.known, self.tree.encode
+    def encode(self, text: str) -> list[int]:
+        matches, known = self.find(text), self.known
         if len(known) > self.most:  # a bound on memory; what is dropped is encoded again
             known.clear()
+        long: dict[str, list[int]] = {}
         for m in set(matches).difference(known):
-            known[m] = encode(m.encode())
-
-    def encode(self, text: str) -> list[int]:
-        matches = self.find(text)
-        self._add(matches)
-        return list(chain.from_iterable(map(self.known.__getitem__, matches)))
+            (known if len(m) <= self.short else long)[m] = self.tree.encode(m.encode())
+        get = (lambda m: long.get(m) or known[m]) if long else known.__getitem__
+        return list(chain.from_iterable(map(get, matches)))
 
 
 @functools.lru_cache(maxsize=2)
