@@ -43,11 +43,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that a new block of the same kind closes.
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 #: Words of class, id and role that mark what is not the article.
-MARKS = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|"
-    r"search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|"
-    r"alert)(?![a-z])", re.I)
+WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
+    "cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
+    "promotion related replies respond search share sharing sidebar social sponsor sponsored sponsors subscribe "
+    "toolbar widget widgets complementary contentinfo alert".split())
+#: Those that name a thing also at the front of a longer name (``ad-slot``, ``nav-links``).
+FRONT = frozenset("ad ads advert breadcrumb comment comments cookie cookies footer menu nav navbar newsletter popup "
+                  "sidebar social sponsor widget".split())
+#: Fronts of names that say how a page or a wrapper is laid out.
+LAYOUT = frozenset("has with without no is js not hide hidden show".split())
+#: Whole names that mark furniture inside an article too, and an ``article`` that is a reader's or a teaser.
+INNER = frozenset(
+    "ad ads advert advertisement comments comment-list comment-body comment related related-posts related-articles "
+    "replies respond disqus share sharing social-share share-buttons newsletter newsletter-signup sponsor sponsored "
+    "promo nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar toolbar widget popup modal "
+    "cookie-banner cookie-notice cookies consent subscribe".split())
 PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.I | re.S)
@@ -69,9 +80,39 @@ def load(page: str | None) -> Page | None:
     return Page(*json.loads(page)) if page else None
 
 
+def marked(names: str, inside: bool) -> bool:
+    """Does a class, id or role attribute name furniture? Inside an article only whole names count: there
+    ``article-header`` holds the headline and ``share-price`` is a paragraph."""
+    for name in names.strip("\"'").lower().split():
+        if inside:
+            if name in INNER:
+                return True
+        elif name in WORDS:
+            return True
+        else:
+            parts = re.split("[-_]+", name)
+            if len(parts) > 1 and parts[0] not in LAYOUT and (parts[-1] in WORDS or parts[0] in FRONT):
+                return True
+    return False
+
+
 def parse(html: str) -> Page:
-    """Blocks of text that the markup does not exclude."""
+    """Blocks of text that the markup does not exclude.
+
+    No wrapper takes a whole article with it: if a page's only articles are inside of excluded elements (a form
+    around the site, a wrapper named like a side bar), the elements around the first of them do not count.
+    """
+    page, around = _parse(html, frozenset())
+    if around and not any(page.own):
+        page, _ = _parse(html, around)
+    return page
+
+
+def _parse(html: str, clear: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and the excluded elements (by number) around its first article or main."""
     page, stack, text, at = Page(), [], [], 0
+    around: frozenset[int] | None = None
+    held: Counter[str] = Counter()  # open elements by name
 
     def flush() -> None:
         if block := " ".join(entities.unescape("".join(text)).split()):
@@ -79,7 +120,7 @@ def parse(html: str) -> Page:
             page.own.append(any(e[2] for e in stack))
         text.clear()
 
-    for m in PART.finditer(html):
+    for number, m in enumerate(PART.finditer(html)):
         if m.start() > at and not (stack and stack[-1][1]):
             text.append(html[at:m.start()])
         at = m.end()
@@ -92,26 +133,31 @@ def parse(html: str) -> Page:
         if name in BLOCKS and not skipped:
             flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while held[name]:
+                last = stack.pop()[0]
+                held[last] -= 1
+                if last == name:
                     break
             continue
         if name in VOID or m[4].endswith("/"):
             continue
         if name in CLOSED_BY_SAME and stack and stack[-1][0] == name:
-            stack.pop()
+            held[stack.pop()[0]] -= 1
             skipped = bool(stack) and stack[-1][1]
         inside = bool(stack) and stack[-1][2]
-        marked = name not in ("html", "body", "article", "main") and any(
-            MARKS.search(a) for a in ATTRIBUTE.findall(m[4]))
+        own = name in ("article", "main")
+        if own and around is None:
+            around = frozenset(e[3] for e in stack if e[4])
+        off = name not in ("html", "body", "main") and any(
+            marked(a, inside or name == "article") for a in ATTRIBUTE.findall(m[4]))
         # A header inside an article holds its headline; the page's own header is furniture.
-        out = skipped or marked or (name in SKIPPED and not (name == "header" and inside))
-        stack.append((name, out, inside or name in ("article", "main")))
+        out = number not in clear and (off or (name in SKIPPED and not (name == "header" and inside)))
+        stack.append((name, skipped or out, inside or (own and not off), number, out))
+        held[name] += 1
     if at < len(html) and not (stack and stack[-1][1]):
         text.append(html[at:])
     flush()
-    return page
+    return page, around or frozenset()
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
@@ -129,20 +175,36 @@ def common(a: list[str], b: list[str]) -> set[int]:
     y = [j for j in range(start, eb) if b[j] in ours]
     if not x or not y:
         return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = (best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]]
-                          else max(best[i + 1][j], best[i][j + 1]))
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.add(x[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    # Row i of the table of lengths is one number: its bit j is unset where y[j] makes the subsequence of x[:i]
+    # longer. Only every step-th row is kept; the rows between are computed again on the way back.
+    full, masks = (1 << len(y)) - 1, {}
+    for k, j in enumerate(y):
+        masks[b[j]] = masks.get(b[j], 0) | 1 << k
+
+    def next_row(row: int, i: int) -> int:
+        both = row & masks[a[x[i]]]
+        return ((row + both) | (row - both)) & full
+
+    step = max(1, int(len(x) ** 0.5))
+    kept, row = [full], full
+    for i in range(len(x)):
+        row = next_row(row, i)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    j = len(y)
+    for block in range((len(x) - 1) // step, -1, -1):
+        rows = [kept[block]]
+        for i in range(block * step, min((block + 1) * step, len(x))):
+            rows.append(next_row(rows[-1], i))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    out.add(x[block * step + i])
+                    j -= 1
     return out
 
 
