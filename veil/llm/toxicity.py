@@ -32,6 +32,14 @@ def words(text: Column) -> Column:
     return F.concat(found, F.transform(found, lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4))))
 
 
+#: Columns that a model adds; named apart from those a table may have.
+MADE = ("__raw", "__both", "__class")
+
+
+class NoLabels(ValueError):
+    """There is no labelled row to fit on."""
+
+
 @dataclass
 class Chain:
     """A fitted chain: vocabulary, one model and one threshold per category."""
@@ -43,9 +51,9 @@ class Chain:
         """All rows and columns of ``docs``, plus p_<category> and <category> (a decision) for each.
 
         Null and empty texts are scored as texts without words. Existing columns of those names, and
-        columns named __words, __x or __f, are replaced.
+        columns named __words, __x, __f, __raw, __both or __class, are replaced.
         """
-        mine = [n for c, _, _ in self.models for n in (c, f"p_{c}")] + ["__words", "__x", "__f"]
+        mine = [n for c, _, _ in self.models for n in (c, f"p_{c}")] + ["__words", "__x", "__f", *MADE]
         out = self.vocabulary.transform(docs.drop(*mine).withColumn("__words", words(F.col(text_col))))
         before: list[str] = []
         for category, model, threshold in self.models:
@@ -61,12 +69,12 @@ def _features(df: DataFrame, before: list[str]) -> DataFrame:
 
 def _predict(model: LogisticRegressionModel, df: DataFrame, name: str) -> DataFrame:
     out = model.transform(df)
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability",
-                                                                        "prediction")
+    return out.withColumn(name, vector_to_array("__both")[1]).drop(*MADE)
 
 
 def _fit(df: DataFrame, label: str, reg: float) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol="__f", labelCol=label, maxIter=20, tol=1e-4, regParam=reg,
+    return LogisticRegression(featuresCol="__f", labelCol=label, rawPredictionCol="__raw",
+                              probabilityCol="__both", predictionCol="__class", maxIter=20, tol=1e-4, regParam=reg,
                               standardization=False).fit(df)
 
 
@@ -98,7 +106,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         *(F.max(F.col(c).cast("double")).alias(f"y_{c}") for c in categories)).dropna()
     n = rated.count()
     if not n:
-        raise ValueError("no labelled rows to fit on")
+        raise NoLabels("no labelled rows to fit on")
     if n > most_rows:
         rated = rated.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < (most_rows << 40) // n)
     # Of bounded size: about ``most_rows`` ids and labels.
@@ -108,7 +116,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         "*", words(F.col("text")).alias("__words"),
         F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds)).alias("fold")).drop("text"), "labelled")
     if not sample.limit(1).count():
-        raise ValueError("no labelled rows to fit on")
+        raise NoLabels("no labelled rows to fit on")
     # Ties at the end of the vocabulary go by the word, so that a repeated fit is the same.
     common = (sample.select(F.explode(F.array_distinct("__words")).alias("w")).groupBy("w")
               .agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
@@ -137,9 +145,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with p_junk, junk, p_toxic and toxic, by a chain from poor quality to toxicity."""
+    """``docs`` with p_junk, junk, p_toxic and toxic, by a chain from poor quality to toxicity.
+
+    Without any labelled row (an empty table of documents or labels) nothing can be told: probabilities are 0
+    and no document is junk or toxic.
+    """
     rated = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), F.col("toxic"))
-    return fit_chain(docs, rated, ["junk", "toxic"], **options).score(docs)
+    try:
+        return fit_chain(docs, rated, ["junk", "toxic"], **options).score(docs)
+    except NoLabels:
+        out = docs
+        for c in ("junk", "toxic"):
+            out = out.withColumn(f"p_{c}", F.lit(0.0)).withColumn(c, F.lit(False))
+        return out
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
