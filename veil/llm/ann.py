@@ -111,12 +111,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     ``is_query`` is a condition on ``row_id``. Ties go to the smaller id. Vectors that are null, zero or
     hold null or non-finite components, rows with a null id, take no part; neither does the query's own
-    row. All vectors have to be of one length. Rows that repeat an id are one row (the first by value).
+    row. Of vectors of different lengths those of the commonest length take part (of equally common ones the
+    longest). Rows that repeat an id are one row (the first by value).
     Fewer candidates than k: all of them. An empty table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col).groupBy("row_id").agg(F.min("vector").alias("vector"))
-    counted = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    blocks, groups = max(1, -(-counted["n"] // block_rows)), max(1, -(-counted["q"] // query_rows))
+    counted = (rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
+               .orderBy(F.desc("n"), F.desc("d")).first())
+    d, n, q = (counted["d"], counted["n"], counted["q"]) if counted else (0, 0, 0)
+    rows = rows.where(F.size("vector") == d)
+    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-q // query_rows))
     spread = F.xxhash64("row_id")
     data = (rows.withColumn("block", F.pmod(spread, F.lit(blocks)))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
