@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.boxes import cover_anchor, usable
@@ -26,49 +28,109 @@ def usable_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.filter(usable(F.col("box"), F.col("image_w") * F.col("image_h")))
 
 
-def _strips(points: DataFrame, keys: list[str], pos: str, tol: float, name: str) -> DataFrame:
-    """Cut each group where nothing lies within ``tol``: points in different strips never meet.
+#: Groups of up to so many rows are folded in one row; larger ones go by tiles, with the same result.
+SMALL = 256
 
-    Occupied cells of width ``tol`` are counted once per cell, and a run of neighbouring cells is
-    one strip, so the window only sees cells, not points.
-    """
-    cell = F.floor(F.col(pos) / tol)
-    cells = points.select(*keys, cell.alias("__c")).distinct()
-    run = cells.withColumn(name, F.col("__c") - F.row_number().over(
-        Window.partitionBy(*keys).orderBy("__c")))
-    return points.withColumn("__c", cell).join(run, [*keys, "__c"]).drop("__c")
 
+def split_by_size(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to ``most`` rows, and those of larger groups (None where there are none)."""
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).drop("__n")
+    if not large.limit(1).count():
+        return rows, None
+    held = cut(large)
+    same = lambda how: rows.alias("r").join(held.alias("h"), [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys], how)
+    return same("left_anti").select("r.*"), same("left_semi").select("r.*")
 
-def dedupe_points(rows: DataFrame, keys: list[str], order: str, edges: list[str],
-                  tol: float) -> DataFrame:
-    """Drop a row if a row **kept** before it lies within ``tol`` on every edge.
 
-    The fold depends on order, so it runs inside a group - but exact copies collapse first, and
-    groups are cut where a gap separates them, so a task only ever folds one cluster of distinct
-    positions. Rows without a position are always kept.
-    """
-    bare = rows.filter(F.col(edges[0]).isNull())
-    placed = rows.filter(F.col(edges[0]).isNotNull())
-    first = cut(placed.groupBy(*keys, *edges).agg(F.min(order).alias("__o")))
-    split = _strips(first, keys, edges[1], tol, "__y")
-    split = _strips(split, [*keys, "__y"], edges[0], tol, "__x")
-    point = F.struct("__o", *edges)
-    groups = split.groupBy(*keys, "__y", "__x").agg(F.array_sort(F.collect_list(point)).alias("__p"))
-    kind = "array<struct<__o:bigint," + ",".join(f"{e}:double" for e in edges) + ">>"
+def _fold_small(rows: DataFrame, keys: list[str], order: str, edges: list[str], tol: float) -> DataFrame:
+    """The fold inside one row per group; the only shuffle is the one by key."""
+    point = F.struct(F.col(order).alias("__o"), F.struct(*edges).cast(
+        f"struct<{','.join(f'{e}:double' for e in edges)}>").alias("__e"), F.struct("*").alias("__r"))
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(point), lambda p, q: F.when(
+        p["__o"] < q["__o"], -1).when(p["__o"] > q["__o"], 1).otherwise(0)).alias("__p"))
+    none = F.array().cast(groups.schema["__p"].dataType)
 
     def step(kept: Column, p: Column) -> Column:
         def near(k: Column) -> Column:
-            test = F.abs(k[edges[0]] - p[edges[0]]) < tol
+            test = F.abs(k["__e"][edges[0]] - p["__e"][edges[0]]) < tol
             for e in edges[1:]:
-                test = test & (F.abs(k[e] - p[e]) < tol)
+                test = test & (F.abs(k["__e"][e] - p["__e"][e]) < tol)
             return test
 
         return F.when(F.exists(kept, near), kept).otherwise(F.concat(kept, F.array(p)))
 
-    kept = F.aggregate(F.col("__p").cast(kind), F.array().cast(kind), step)
-    wanted = groups.select(*keys, F.explode(kept["__o"]).alias(order))
-    return placed.join(wanted.withColumn(order, F.col(order).cast(dict(rows.dtypes)[order])),
-                       [*keys, order], "left_semi").unionByName(bare)
+    return groups.select(F.explode(F.aggregate("__p", none, step)).alias("__p")).select("__p.__r.*")
+
+
+def _fold_tile(edges: list[str], tol: float):
+    """One tile in the order of its points; what depends on a point that only another tile can decide waits."""
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("__o", kind="stable").reset_index(drop=True)
+        at = tile[edges].to_numpy(dtype=float)
+        cell = np.floor(at[:, :2] / tol).astype(np.int64).tolist()
+        own, kept, out = tile["__own"].to_numpy(), tile["__kept"].to_numpy(), []
+        # Per cell of width ``tol``: kept points (one at most in two dimensions) and undecided ones.
+        sure: dict[tuple[int, int], list[int]] = {}
+        open_: dict[tuple[int, int], list[int]] = {}
+
+        def near(grid: dict, i: int) -> bool:
+            x, y = cell[i]
+            return any((np.abs(at[j] - at[i]) < tol).all() for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1)
+                       for j in grid.get((a, b), ()))
+
+        for i in range(len(tile)):
+            if kept[i]:
+                sure.setdefault(tuple(cell[i]), []).append(i)
+            elif near(sure, i):
+                continue  # dropped
+            elif own[i] and not near(open_, i):
+                kept[i] = True
+                sure.setdefault(tuple(cell[i]), []).append(i)
+            else:
+                open_.setdefault(tuple(cell[i]), []).append(i)
+            if own[i]:
+                out.append(i)
+        return tile.assign(__kept=kept).iloc[out].drop(columns=["__tx", "__ty", "__own"])
+
+    return run
+
+
+def _fold_tiles(rows: DataFrame, keys: list[str], order: str, edges: list[str], tol: float, cells: int = 64) -> DataFrame:
+    """The fold for groups of any size: tiles of ``cells`` cells of width ``tol``, to a fixed point.
+
+    Exact copies collapse first. A tile also sees the points within ``tol`` of its borders. In each round it keeps
+    and drops what no undecided point of another tile can change; the earliest undecided point of all is
+    always decided, and what is dropped leaves the table. Each round is written.
+    """
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    group = list(names.values())
+    points = (rows.groupBy(*[F.col(k).cast("string").alias(n) for k, n in names.items()],
+                           *[F.col(e).cast("double").alias(e) for e in edges])
+              .agg(F.min(F.col(order).cast("long")).alias("__o")).withColumn("__kept", F.lit(False)))
+    points = cut(points)
+    tile = lambda e, d: F.floor((F.col(e) + d) / (tol * cells)).cast("long")
+    around = lambda e: F.array_distinct(F.array(tile(e, -tol), tile(e, 0), tile(e, tol)))
+    while points.filter(~F.col("__kept")).limit(1).count():
+        shared = (points.withColumn("__tx", F.explode(around(edges[0]))).withColumn("__ty", F.explode(around(edges[1])))
+                  .withColumn("__own", (F.col("__tx") == tile(edges[0], 0)) & (F.col("__ty") == tile(edges[1], 0))))
+        points = cut(shared.groupBy(*group, "__tx", "__ty").applyInPandas(_fold_tile(edges, tol), points.schema))
+    wanted = points.select(*group, "__o")
+    on = [F.col(k).cast("string").eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(wanted, [*on, F.col(order).cast("long") == F.col("__o")], "left_semi")
+
+
+def dedupe_points(rows: DataFrame, keys: list[str], order: str, edges: list[str],
+                  tol: float, small: int = SMALL) -> DataFrame:
+    """Drop a row if a row **kept** before it lies within ``tol`` on every edge.
+
+    ``order`` is a whole number, unique in a group. The fold depends on it, but only between neighbours: groups of
+    up to ``small`` rows are folded in place, larger ones by tiles over many tasks. Rows without a position are
+    always kept.
+    """
+    bare = rows.filter(F.col(edges[0]).isNull())
+    less, more = split_by_size(rows.filter(F.col(edges[0]).isNotNull()), keys, small)
+    out = _fold_small(less, keys, order, edges, tol).unionByName(bare)
+    return out if more is None else out.unionByName(_fold_tiles(more, keys, order, edges, tol))
 
 
 def dedupe_rects(findings: DataFrame, page: str = "page_id", order: str = "ord") -> DataFrame:

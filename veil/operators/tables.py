@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.operators.blocks import running
 from veil.operators.grid import apply_grid_rules
+from veil.operators.regions import split_by_size
 from veil.operators.rules import Rule
 from veil.session import cut
 
@@ -29,12 +30,30 @@ def bands(regions: DataFrame, image: str, lo: str, hi: str, name: str,
                         .cast("int").alias(name))
 
 
-def place_cells(regions: DataFrame, image: str = "image_id") -> DataFrame:
-    """Add ``row`` and ``col`` to each region. Written once, because a table is read from it
-    several times (its shape, its cells, the boxes of hidden cells)."""
-    rows = bands(regions, image, "y0", "y1", "row")
-    cols = bands(regions, image, "x0", "x1", "col")
-    return cut(regions.join(rows, [image, "y0"]).join(cols, [image, "x0"]))
+def _place_small(regions: DataFrame, image: str) -> DataFrame:
+    """Both axes by windows inside the image: one shuffle, one sort an axis."""
+    out = regions
+    for lo, hi, name in (("y0", "y1", "row"), ("x0", "x1", "col")):
+        order = Window.partitionBy(image).orderBy(lo, hi)
+        seen = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(F.col("__seen").isNull() | (F.col(lo) > F.col("__seen")), 1).otherwise(0)
+        out = out.withColumn("__seen", seen).withColumn("__new", new)
+        out = out.withColumn(name, (F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    return out.drop("__seen", "__new")
+
+
+def place_cells(regions: DataFrame, image: str = "image_id", small: int = 10_000) -> DataFrame:
+    """Add ``row`` and ``col`` to each region.
+
+    Images of up to ``small`` regions are placed by windows; what reads the result by image needs no further shuffle.
+    Larger ones, which a window would sort in one task, go by :func:`bands` in blocks, with the same result.
+    """
+    less, more = split_by_size(regions, [image], small)
+    out = _place_small(less, image)
+    if more is None:
+        return out
+    rows, cols = bands(more, image, "y0", "y1", "row"), bands(more, image, "x0", "x1", "col")
+    return out.unionByName(cut(more.join(rows, [image, "y0"]).join(cols, [image, "x0"])))
 
 
 def table_shape(placed: DataFrame, image: str = "image_id") -> DataFrame:
