@@ -156,7 +156,10 @@ def test_visual_targets(spark):
     targets = rules.visual_targets(mine)
     assert sorted((r["phrase"], r["builtin"]) for r in targets.collect()) == [
         ("QR code", True), ("logo", False), ("photograph", False)]
-    tries = sorted((r["phrase"], r["priority"], r["wording"]) for r in rules.phrasings(targets).collect())
+    asked = rules.phrasings(targets).collect()
+    last = {r["phrase"]: (r["task"], r["wording"]) for r in sorted(asked, key=lambda r: r["priority"])}
+    assert last == {p: ("detection", p) for p in ("QR code", "logo", "photograph")}
+    tries = sorted((r["phrase"], r["priority"], r["wording"]) for r in asked if r["task"] == "grounding")
     assert tries == [("QR code", 0, "barcode"), ("QR code", 1, "QR code"), ("logo", 0, "aadhaar logo"),
                      ("logo", 1, "logo"), ("photograph", 0, "photo of a person"),
                      ("photograph", 1, "human face"), ("photograph", 2, "photograph")]

@@ -5,6 +5,8 @@ Everything about a page comes from its own row, so no step shuffles.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +14,33 @@ from veil.functions.text import collapse_ws
 from veil.functions.urls import is_internal, page_url
 from veil.operators.gate import redact_text
 
-UNSEEN = r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>"
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
 HEAD = r"(?is)<head[^>]*>.*?</head>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HEADING = r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"
 ACTION = r"(?is)<(?:a [^>]*href|button)[^>]*>(.*?)</(?:a|button)>"
 TAG = "<[^>]*>"
 
-# The entities that occur in plain text; the ampersand goes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&amp;", "&"))
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def unescape(c: Column) -> Column:
-    out = c
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references to characters, each once (``&amp;lt;`` is ``&lt;``); unknown ones stay. A
+    no-break space is a space."""
+    named = F.create_map(*[F.lit(x) for n, k in name2codepoint.items() for x in (n, k)])
+
+    def char(e: Column) -> Column:
+        body = F.substring(e, 2, 33)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.regexp_extract(body, "([0-9a-fA-F]+);", 1), 16, 10).cast("int")).when(
+            body.startswith("#"), F.regexp_extract(body, "#([0-9]+)", 1).cast("int")).when(
+            body == "apos;", 39).otherwise(F.try_element_at(named, F.substring_index(body, ";", 1)))
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number == 160, " ").when(known, made).otherwise(e)
+
+    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), char)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.zip_with(
+        F.split(c, ENTITY, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(c)
 
 
 def _inner_texts(c: Column, pattern: str) -> Column:

@@ -109,10 +109,14 @@ def visual_targets(rules: DataFrame) -> DataFrame:
 
 
 def phrasings(targets: DataFrame) -> DataFrame:
-    """One row per wording to try, best first (``priority`` from 0)."""
+    """One row per question to ask, best first (``priority`` from 0): wordings for the region search, and at last
+    the plain phrase for the search over all kinds of objects (``task``)."""
     table = F.create_map(*[x for k, v in WORDINGS.items()
                            for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     base = F.coalesce(F.try_element_at(table, F.col("phrase")), F.array("phrase"))
     asked = F.when(F.col("qualifier") != "", F.concat(
         F.array(F.concat_ws(" ", "qualifier", "phrase")), base)).otherwise(base)
-    return targets.select("*", F.posexplode(asked).alias("priority", "wording"))
+    ask = lambda task, w: F.struct(F.lit(task).alias("task"), w.alias("wording"))
+    every = F.concat(F.transform(asked, lambda w: ask("grounding", w)), F.array(ask("detection", F.col("phrase"))))
+    return targets.select("*", F.posexplode(every).alias("priority", "__q")).select(
+        *targets.columns, "priority", "__q.*")

@@ -171,9 +171,9 @@ def _(spark, sf):
     return messages(spark, sf).select("conv_id", "turn", found).select("conv_id", "turn", "match", "ph")
 
 
-@query("h13_ordinary_english", f"{M} SELECT text, count(*) AS n, true AS untouched FROM messages WHERE planted IS NULL GROUP BY text")
+@query("h13_ordinary_english", f"{M} SELECT text, count(*) AS n, planted IS NULL AS untouched FROM messages GROUP BY ALL")
 def _(spark, sf):
-    plain = messages(spark, sf).filter(F.col("planted").isNull()).select("text")
+    plain = messages(spark, sf).select("text")
     clean = gate.sanitize(plain.withColumn("raw", F.col("text")), warnings=False)
     return clean.groupBy("text", (F.col("raw") == F.col("clean")).alias("untouched")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -218,9 +218,9 @@ def _(spark, sf):
         "planted", F.expr(sec.strength("planted")).cast("int").alias("score"))
 
 
-@query("g10_describe_secret", f"{M} SELECT planted, {duck.describe('planted')} AS ph FROM messages WHERE turn % 8 IN (1, 4)")
+@query("g10_describe_secret", f"{M} SELECT planted, {duck.describe('planted')} AS ph FROM messages WHERE planted IS NOT NULL")
 def _(spark, sf):
-    return messages(spark, sf).filter("turn % 8 IN (1, 4)").select(
+    return messages(spark, sf).filter("planted IS NOT NULL").select(
         "planted", F.expr(sec.describe_secret("planted")).alias("ph"))
 
 
@@ -313,11 +313,16 @@ def _(spark, sf):
     return match_terms(turns, rules, "key").select("key.conv_id", "key.turn", "start")
 
 
+# Sentences that hold nothing a page covers itself: a valid national number, a tax number, a bank code, the warnings.
+NUMBER = "CASE WHEN t = 0 THEN planted ELSE '000000000000' END"
+UNCOVERED = f"(t IN (1, 2, 21, 22, 23) OR (t = 0 AND {VERHOEFF.replace('reverse(v)', f'reverse({NUMBER})')}))"
+
+
 @query("b13_paint_terms", f"""{S}, parts AS (SELECT doc_id, trim(unnest(CASE WHEN t = 17 THEN string_split_regex(planted, '\\s*[,\\n]\\s*')
-    ELSE [planted] END)) AS term FROM sentences WHERE t IN (12, 13, 14, 17, 19))
+    ELSE [planted] END)) AS term FROM sentences WHERE NOT ({UNCOVERED}))
   SELECT doc_id, term FROM parts WHERE length(term) >= 2""")
 def _(spark, sf):
-    rows = derived(spark, sf, "sentences").filter("t IN (12, 13, 14, 17, 19)")
+    rows = derived(spark, sf, "sentences")
     found = gate.findings(gate.sanitize(rows.select("doc_id", "text"), warnings=False), ("doc_id",))
     return paint_terms(found, "doc_id", most=300).select("doc_id", "term")
 

@@ -240,9 +240,9 @@ def _(spark, sf):
 
 
 @query("d4_covered_note", f"{B} SELECT image_id, chr(10) || 'COVERED IN THE PICTURE: ' || string_agg(DISTINCT '[' || upper(text) || ']', ', ' ORDER BY '[' || upper(text) || ']') AS note "
-       "FROM boxes WHERE region_id % 4 >= 2 GROUP BY image_id")
+       "FROM boxes GROUP BY image_id")
 def _(spark, sf):
-    named = boxes(spark, sf).filter("region_id % 4 >= 2").withColumn("ph", F.concat(F.lit("["), F.upper("text"), F.lit("]")))
+    named = boxes(spark, sf).withColumn("ph", F.concat(F.lit("["), F.upper("text"), F.lit("]")))
     return regions.covered_note(named)
 
 
@@ -264,10 +264,10 @@ def _(spark, sf):
     return pages.biggest_media(media(spark, sf)).select("page_id", "area")
 
 
-@query("d8_first_success", f"""{B}, r AS (SELECT image_id, region_id % 2 AS target, region_id, CAST(x0 AS INT) % 7 AS priority FROM boxes WHERE x0 > 100)
+@query("d8_first_success", f"""{B}, r AS (SELECT image_id, region_id % 2 AS target, region_id, CAST(x0 AS INT) % 7 AS priority FROM boxes)
   SELECT image_id, target, region_id, priority FROM r QUALIFY priority = min(priority) OVER (PARTITION BY image_id, target)""")
 def _(spark, sf):
-    found = boxes(spark, sf).filter("x0 > 100").selectExpr("image_id", "region_id % 2 AS target", "region_id", "CAST(x0 AS INT) % 7 AS priority")
+    found = boxes(spark, sf).selectExpr("image_id", "region_id % 2 AS target", "region_id", "CAST(x0 AS INT) % 7 AS priority")
     return regions.first_success(found)
 
 
@@ -333,12 +333,12 @@ def _(spark, sf):
 
 
 @query("f4_union_boxes", f"""{PLACED} SELECT layer, count(*) AS n FROM (SELECT 'rule' AS layer FROM placed WHERE row > 0 AND col = 1
-  UNION ALL SELECT 'text' FROM boxes WHERE text = 'N') GROUP BY layer""")
+  UNION ALL SELECT 'text' FROM boxes) GROUP BY layer""")
 def _(spark, sf):
     placed = tables.place_cells(boxes(spark, sf))
     table_ = tables.rebuild_table(placed, tables.table_shape(placed))
     _, cover = tables.apply_rules_to_table(placed, table_, [Rule("colindex", "2")])
-    text = boxes(spark, sf).filter("text = 'N'").withColumn("layer", F.lit("text"))
+    text = boxes(spark, sf).withColumn("layer", F.lit("text"))
     both = cover.withColumn("layer", F.lit("rule")).unionByName(text, allowMissingColumns=True)
     return both.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -373,8 +373,13 @@ NODES = r"""WITH b AS (SELECT page_id, url, regexp_replace(html, '(?s)<(script|s
   b2 AS (SELECT *, regexp_replace(h, '(?s)<head[^>]*>.*?</head>', '', 'g') AS body FROM b)"""
 
 
+# The character references that the given pages hold; the ampersand goes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
+            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def plain(c: str) -> str:
-    for entity, char in pages.ENTITIES:
+    for entity, char in ENTITIES:
         c = f"replace({c}, {duck.q(entity)}, {duck.q(char)})"
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
