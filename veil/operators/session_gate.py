@@ -24,7 +24,7 @@ from veil.operators.detect import topic_warnings
 from veil.operators.gate import apply_decisions, resolved, unresolved
 from veil.operators.blocks import row_numbers
 from veil.operators.rules import Rule
-from veil.operators.terms import match_memory, remembered_leaks
+from veil.operators.terms import match_memory, remembered_leaks, trie_pattern
 from veil.schema import ITEM_FIELDS, ITEMS, NUMBERED, WARNINGS
 from veil.session import cut
 
@@ -52,8 +52,7 @@ def term_items(rules: Iterable[Rule], text: str) -> str:
             by_label.setdefault(rule.label, []).append(rule.value.strip())
     found = []
     for label, words in by_label.items():
-        escaped = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(words, key=len, reverse=True))
-        pattern = f"(?i)(?<![A-Za-z0-9])(?:{escaped})(?![A-Za-z0-9])"
+        pattern = f"(?i)(?<![A-Za-z0-9])(?:{trie_pattern(words)})(?![A-Za-z0-9])"
         word = re.sub("[^A-Z0-9]+", "_", label.upper()).strip("_")
         found.append(sp.to_items(sp.find_spans(text, pattern), cat="TERM", kind="Your rule", level="high",
                                  layer="rule", ev="named by a rule", ph=f"[{word or 'TERM'}]"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,37 +36,80 @@ def word_spans(text: str, sizes: list[int], joiner: str = " ") -> str:
     return sp.let(sp.find_tokens(f"lower({text})", TOKEN), grams)
 
 
+def trie_pattern(words: Iterable[str]) -> str:
+    """One pattern for all words: a trie of their characters, so that a common beginning is read once. Of
+    words that begin at the same place the longest is tried first."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def show(node: dict) -> str:
+        ways = [re.sub(r"([^\w\s])", r"\\\1", ch) + show(child) for ch, child in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        inner = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{inner}?" if "" in node else inner
+
+    return show(root)
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
-                term: str = "term", sizes: list[int] | None = None) -> DataFrame:
+                term: str = "term", sizes: list[int] | None = None, most_first: int = 2000) -> DataFrame:
     """Whole-word, case-insensitive hits of each term: one row per hit (key, term, start, end).
 
-    Texts become token runs, terms become the same key, and the join is a hash join on it, however
-    large the term list; the exploded rows carry offsets, never the text. Terms of several words
-    or with symbols are then compared with the exact characters, by a second join on the text key
-    of their hits alone. Terms shorter than two characters, or without a letter or digit, cannot
-    be whole words and are dropped. Terms may have any number of words: ``sizes`` lists the numbers
-    that occur, read from the term table (one small job) where it is not given.
+    The first words of the terms become one trie pattern, and a text gives rows only where one of them
+    stands; with more than ``most_first`` first words (or one of more than 100 characters) every word is a
+    row, and a semi-join with the first words takes its place. Such a row carries the characters that
+    the longest term could need, so it is compared with the exact terms by one hash join, however large the
+    list; texts are read once and joined with nothing. Hits may overlap.
+
+    Terms shorter than two characters, or without a letter or digit, cannot be whole words and are
+    dropped, null terms too. Terms may have any number of words: ``sizes`` lists the numbers that occur,
+    read from the term table (with its greatest lengths, one small job) where it is not given. Null texts
+    and empty tables give no rows.
     """
-    sizes = word_counts(terms, term) if sizes is None else sizes
     low = F.lower(term)
-    words = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-    wanted = (terms.select(low.alias("term"), F.array_join(words, " ").alias("form"),
-                           F.length(F.regexp_extract(low, "^[^a-z0-9]*", 0)).alias("lead"))
-              .filter((F.length("term") >= 2) & (F.col("form") != "")).distinct())
-    runs = texts.select(key, F.inline(F.expr(word_spans(text, sizes))))
-    hits = runs.withColumnRenamed("v", "form").join(wanted, "form").select(
-        key, "term", (F.col("s") - F.col("lead")).alias("start"),
-        (F.col("s") - F.col("lead") + F.length("term")).alias("end"),
-        (F.col("term").rlike(f"^{TOKEN}$")).alias("plain"))
-    easy = hits.filter("plain").select(key, "term", "start", "end")
-    at = lambda pos, n: F.lower(F.substring("__text", pos, n))
+    part = lambda pattern: F.regexp_extract(low, pattern, 0)
+    wanted = (terms.select(low.alias("term"), part("(?s)[a-z0-9](?:.*[a-z0-9])?").alias("body"),
+                           part("^[^a-z0-9]*").alias("lead"), part("[^a-z0-9]*$").alias("tail"),
+                           part(TOKEN).alias("first"))
+              .filter((F.length("term") >= 2) & (F.col("body") != "")).distinct())
+    most = lambda c: F.max(F.length(c))
+    words = F.size(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)))
+    facts = wanted.agg(most("body").alias("body"), most("lead").alias("lead"), most("tail").alias("tail"),
+                       most("first").alias("first"), F.collect_set(words).alias("sizes")).first()
+    sizes = sorted(facts["sizes"]) if sizes is None else sizes
+    body, lead, tail = (facts[c] or 0 for c in ("body", "lead", "tail"))
+    firsts = wanted.select(F.col("first").alias("v")).distinct()
+    few = [r["v"] for r in firsts.limit(most_first + 1).collect()] if (facts["first"] or 0) <= 100 else None
+    small = few is not None and len(few) <= most_first
+    pattern = f"(?<![a-z0-9])(?:{trie_pattern(few)})(?![a-z0-9])" if small and few else TOKEN
+
+    def places(lower: str) -> str:
+        i = sp.var("i")
+        # One character more on both sides shows whether a term with a sign at its end is a whole word.
+        before = f"substring({lower}, greatest({i}.s - {lead + 1}, 0) + 1, least({i}.s, {lead + 1}))" if lead else "''"
+        return (f"transform({sp.find_tokens(lower, pattern)}, {i} -> named_struct('s', {i}.s, 'v', {i}.v, "
+                f"'pre', {before}, 'win', substring({lower}, {i}.s + 1, {body + tail + 1})))")
+
+    found = texts.select(key, F.inline(F.expr(sp.let(f"lower({text})", places))))
+    if not small:
+        found = found.join(firsts, "v", "left_semi")
+    # Possessive, so a run ends where its last word ends; one cut by the window is longer than any term.
+    run = lambda n: F.regexp_extract("win", f"^[a-z0-9]++(?:[^a-z0-9]++[a-z0-9]++){{{n - 1}}}", 0)
+    runs = found.select(key, "s", "pre", "win", F.explode(F.array(*[run(n) for n in sizes] or [F.lit("")])).alias("body"))
+    met = runs.filter(F.length("body").between(1, body)).join(wanted.drop("first"), "body")
     free = lambda c: ~c.rlike("[a-z0-9]")
-    odd = (hits.filter(~F.col("plain") & (F.col("start") >= 0))
-           .join(texts.select(key, F.col(text).alias("__text")), key)
-           .filter(at(F.col("start") + 1, F.length("term")) == F.col("term"))
-           .filter((F.col("start") == 0) | free(at(F.col("start"), F.lit(1))))
-           .filter(free(at(F.col("end") + 1, F.lit(1)))))
-    return easy.unionByName(odd.select(key, "term", "start", "end"))
+    after = F.substring("win", F.length("body") + 1, F.lit(tail + 1))
+    left = F.length("pre") - F.length("lead")
+    start = F.col("s") - F.length("lead")
+    return met.filter(
+        F.col("pre").endswith(F.col("lead")) & ((left <= 0) | free(F.substring("pre", left, F.lit(1))))
+        & after.startswith(F.col("tail")) & free(F.substring(after, F.length("tail") + 1, F.lit(1)))
+    ).select(key, "term", start.alias("start"), (start + F.length("term")).alias("end"))
 
 
 def memory_variants(memory: DataFrame, session: str = "conv_id", carry: tuple[str, ...] = ()) -> DataFrame:
