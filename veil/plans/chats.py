@@ -11,6 +11,7 @@ from veil.functions.text import (phrase_placeholder, placeholder_class, placehol
 from veil.functions.urls import query_param, userinfo
 from veil.operators import detect as d
 from veil.operators import gate, metrics, payload, placeholders
+from veil.operators.evaluation import span_outcomes, span_scores
 from veil.operators.pages import paint_terms
 from veil.operators.terms import match_memory
 from veil.plans import duck
@@ -453,3 +454,46 @@ def _(spark, sf):
     texts = messages(spark, sf).select("turn", "text")
     found = model_items(texts, run_model(texts, name_model, "turn"), ("turn",), "text")
     return found.select("turn", F.col("i.start").alias("start"), F.col("i.match").alias("match"), F.col("i.level").alias("level"))
+
+
+# What the gate finds in the derived turns against what was planted there.
+RIGHT = f"(CASE WHEN cat = 'CARD' THEN {duck.luhn('planted')} ELSE true END)"
+
+
+def planted_spans(rows):
+    at = F.expr("locate(planted, text)")
+    return rows.filter("planted IS NOT NULL").select(
+        "conv_id", "turn", (at - 1).alias("start"), (at - 1 + F.length("planted")).alias("end"), "cat")
+
+
+@query("d9_span_scores", f"""{M}, r AS (SELECT cat, {RIGHT} AS ok FROM messages WHERE planted IS NOT NULL)
+  SELECT cat, count(*) AS positives, count(*) FILTER (ok) AS caught, CAST(0 AS BIGINT) AS wide,
+    count(*) FILTER (NOT ok) AS wrong_category, CAST(0 AS BIGINT) AS cut_short, CAST(0 AS BIGINT) AS missed,
+    CAST(0 AS BIGINT) AS false_alarm, count(*) FILTER (ok) / count(*) AS recall, count(*) FILTER (ok) / count(*) AS precision
+  FROM r GROUP BY cat""")
+def _(spark, sf):
+    """The gate on planted truth: every value is hidden whole, nothing else is; card numbers whose check digit
+    is wrong are called accounts."""
+    found = items(spark, sf).select("conv_id", "turn", "start", "end", "cat")
+    return span_scores(span_outcomes(found, planted_spans(messages(spark, sf)), ("conv_id", "turn")))
+
+
+@query("d9_span_outcomes", f"""{M}, p AS (SELECT *, CAST(strpos(text, planted) - 1 AS INT) AS s, CAST(length(planted) AS INT) AS n,
+    {RIGHT} AS ok FROM messages)
+  SELECT conv_id, turn, CASE turn % 5 WHEN 1 THEN s - 2 WHEN 2 THEN s + 1 ELSE s END AS start,
+    CASE turn % 5 WHEN 2 THEN s + n - 1 ELSE s + n END AS "end", CASE WHEN turn % 5 = 3 AND NOT ok THEN 'ACCOUNT' ELSE cat END AS cat,
+    CASE turn % 5 WHEN 1 THEN 'cut_short' WHEN 3 THEN 'false_alarm' ELSE CASE WHEN NOT ok THEN 'wrong_category'
+      WHEN turn % 5 = 2 THEN 'wide' ELSE 'caught' END END AS outcome FROM p WHERE planted IS NOT NULL
+  UNION ALL SELECT conv_id, turn, CAST(0 AS INT), CAST(3 AS INT), 'NAME', 'missed' FROM p WHERE planted IS NULL""")
+def _(spark, sf):
+    """Truth moved on purpose, so that every outcome occurs: begun two characters earlier, one shorter at both
+    ends, left out, and planted where nothing is."""
+    turns = messages(spark, sf)
+    kind = F.col("turn") % 5
+    shift = lambda c, on, by: F.when(kind == on, F.col(c) + by).otherwise(F.col(c))
+    moved = (planted_spans(turns).filter(kind != 3).withColumn("start", shift("start", 1, -2))
+             .withColumn("start", shift("start", 2, 1)).withColumn("end", shift("end", 2, -1)))
+    none = turns.filter("planted IS NULL").select(
+        "conv_id", "turn", F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("NAME").alias("cat"))
+    found = items(spark, sf).select("conv_id", "turn", "start", "end", "cat")
+    return span_outcomes(found, moved.unionByName(none), ("conv_id", "turn"))
