@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veil.llm.store import save, table
 from veil.llm.words import hash_words, split_words, text_chunks
@@ -157,10 +156,19 @@ def _blocks(order: int):
     return run
 
 
+def _small(table: DataFrame, width: int) -> DataFrame:
+    """A table of one row per key of ``width`` bytes: sent to all tasks where it has at most 65,536 rows."""
+    return F.broadcast(table) if width <= 2 else table
+
+
 def price_trie(counts: DataFrame, order: int) -> DataFrame:
     """key, cost: log10 of the probability of each (context, symbol) key of ``counts`` (key, n).
 
     ``n`` may be 0 (a key that only held-out documents have). ``key`` is as in :func:`coded_bytes`.
+
+    Contexts of few bytes are few but stand in all keys, so a shuffle by them would end in few tasks. Tables
+    keyed by at most two bytes (65,536 rows, about 2 MB) are sent to the keys. A shuffle is then by three
+    bytes or more, which at most 256 ** (order - 2) of the distinct keys share (65,536 at order 4).
     """
     spark = counts.sparkSession
     parts, paths = counts.select("key", "n"), []
@@ -182,17 +190,17 @@ def price_trie(counts: DataFrame, order: int) -> DataFrame:
             mask = (1 << 8 * (j + 1)) - 1
             longer = levels[step - 1].select(F.shiftright("key", 8).alias("longer"),
                                              F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
-            barred = longer.join(level, "key").groupBy("longer").agg(
+            barred = longer.join(_small(level, j + 1), "key").groupBy("longer").agg(
                 F.sum("n").alias("barred"), F.count("*").alias("barred_kinds"))
         keys = price.select("key", "cost", "found",
                             F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("short"),
                             F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)), 8).alias("ctx"),
                             F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 2)) - 1)), 8)
                             .alias("longer"))
-        keys = (keys.join(level.select(F.col("key").alias("short"), "n"), "short", "left")
-                .join(totals, "ctx", "left"))
+        keys = (keys.join(_small(level.select(F.col("key").alias("short"), "n"), j + 1), "short", "left")
+                .join(_small(totals, j), "ctx", "left"))
         if step:
-            keys = keys.join(barred, "longer", "left")
+            keys = keys.join(_small(barred, j + 1), "longer", "left")
         else:
             keys = keys.withColumn("barred", F.lit(0)).withColumn("barred_kinds", F.lit(0))
         total = F.coalesce("total", F.lit(0)) - F.coalesce("barred", F.lit(0))
@@ -254,16 +262,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = blocks.where(F.col("kind").isin("words", "trie")).select(
         "kind", "block", F.explode(F.arrays_zip("key", "trained")).alias("x")).select(
         "kind", "block", "x.key", F.col("x.trained").alias("n"))
-    words = asked.where("kind = 'words'").withColumn("n", F.sum("n").over(Window.partitionBy("key")))
-    words = spark.read.parquet(save(words, "words"))
-    # Each word counts once for the totals: as the first of its at most one row per block.
-    sums = (words.where("n > 0").groupBy("key").agg(F.first("n").alias("n"))
-            .agg(F.sum("n"), F.count("*")).first())
+    listed = asked.where("kind = 'words'")
+    # A hot word has a row in every block: summed before it moves, and joined back by its key.
+    counted = spark.read.parquet(save(listed.groupBy("key").agg(F.sum("n").alias("n")), "counted"))
+    sums = counted.where("n > 0").agg(F.sum("n"), F.count("*")).first()
+    words = listed.select("block", "key").join(counted, "key")
     total, kinds = int(sums[0] or 0), int(sums[1])
     tries = asked.where("kind = 'trie'")
     price_at = save(price_trie(tries.groupBy("key").agg(F.sum("n").alias("n")), order), "prices")
     prices = spark.read.parquet(price_at)
-    answers = words.select("block", F.lit(True).alias("word"), "key", "n", F.lit(0.0).alias("cost")).unionByName(
+    answers = words.select(F.col("block").alias("block"), F.lit(True).alias("word"), "key", "n", F.lit(0.0).alias("cost")).unionByName(
         tries.select("block", "key").join(prices, "key").select(
             "block", F.lit(False).alias("word"), "key", F.lit(0).cast("long").alias("n"), "cost"))
     texts = blocks.where(F.col("kind").isin("bytes", "doc")).select(
