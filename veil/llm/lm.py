@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veil.llm.store import save, table
+from veil.llm.store import drop, save, table
 from veil.llm.words import hash_words, split_words, text_chunks
 
 #: The end symbol's key among words, and its byte in the trie (white space never occurs in a word).
@@ -171,16 +171,17 @@ def price_trie(counts: DataFrame, order: int) -> DataFrame:
     bytes or more, which at most 256 ** (order - 2) of the distinct keys share (65,536 at order 4).
     """
     spark = counts.sparkSession
-    parts, paths = counts.select("key", "n"), []
-    levels: list[DataFrame] = []  # per order: ctx, symbol, n of what was trained
-    for j in range(order, -1, -1):
+    paths = [save(counts.select("key", "n"), "keys")]
+    counts = spark.read.parquet(paths[0])
+    # Per order, the longest first: what was trained. Keys of the longest are those of ``counts``.
+    levels: list[DataFrame] = [counts.where("n > 0")]
+    for j in range(order - 1, -1, -1):
         mask = (1 << 8 * (j + 1)) - 1
-        level = (parts.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
+        level = (levels[-1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key"))
                  .agg(F.sum("n").alias("n")))
         paths.append(save(level, "level"))
-        parts = spark.read.parquet(paths[-1])
-        levels.append(parts)
-    price = counts.select("key", F.lit(0.0).alias("cost"), F.lit(False).alias("found"))
+        levels.append(spark.read.parquet(paths[-1]))
+    price, before = counts.select("key", F.lit(0.0).alias("cost"), F.lit(False).alias("found")), None
     for step, level in enumerate(levels):
         j = order - step
         ctx = F.shiftright("key", 8)
@@ -209,9 +210,13 @@ def price_trie(counts: DataFrame, order: int) -> DataFrame:
         gain = F.when(F.col("found") | (kinds == 0), F.lit(0.0)).when(
             hit, F.log10((F.col("n") - 0.5) / total)).otherwise(F.log10(0.5 * kinds / total))
         price = keys.select("key", (F.col("cost") + gain).alias("cost"), (F.col("found") | hit).alias("found"))
-        paths.append(save(price, "price"))
-        price = spark.read.parquet(paths[-1])
+        now = save(price, "price")
+        price = spark.read.parquet(now)
+        # The next order reads the written prices alone, so those before them can go.
+        drop(spark, *[before] if before else [])
+        before = now
     known = levels[-1].agg(F.count("*")).first()[0]
+    drop(spark, *paths)
     out = price.select("key", F.when(F.col("found"), F.col("cost")).otherwise(
         F.col("cost") - F.log10(F.lit(float(256 - known)))).alias("cost"))
     return out
@@ -269,8 +274,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = listed.select("block", "key").join(counted, "key")
     total, kinds = int(sums[0] or 0), int(sums[1])
     tries = asked.where("kind = 'trie'")
-    price_at = save(price_trie(tries.groupBy("key").agg(F.sum("n").alias("n")), order), "prices")
-    prices = spark.read.parquet(price_at)
+    prices = price_trie(tries.groupBy("key").agg(F.sum("n").alias("n")), order)
     answers = words.select(F.col("block").alias("block"), F.lit(True).alias("word"), "key", "n", F.lit(0.0).alias("cost")).unionByName(
         tries.select("block", "key").join(prices, "key").select(
             "block", F.lit(False).alias("word"), "key", F.lit(0).cast("long").alias("n"), "cost"))
