@@ -268,10 +268,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "kind", "block", F.explode(F.arrays_zip("key", "trained")).alias("x")).select(
         "kind", "block", "x.key", F.col("x.trained").alias("n"))
     listed = asked.where("kind = 'words'")
-    # A hot word has a row in every block: summed before it moves, and joined back by its key.
-    counted = spark.read.parquet(save(listed.groupBy("key").agg(F.sum("n").alias("n")), "counted"))
+    # A hot word has a row in every block: one row per word and the blocks of 64 splits, so that no row and no
+    # task holds all of them; the sums over these few rows are joined back by the word.
+    runs = spark.read.parquet(save(listed.groupBy("key", F.shiftright("block", 38).alias("run")).agg(
+        F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "runs"))
+    counted = runs.groupBy("key").agg(F.sum("n").alias("n"))
     sums = counted.where("n > 0").agg(F.sum("n"), F.count("*")).first()
-    words = listed.select("block", "key").join(counted, "key")
+    words = runs.select("key", F.explode("blocks").alias("block")).join(counted, "key")
     total, kinds = int(sums[0] or 0), int(sums[1])
     tries = asked.where("kind = 'trie'")
     prices = price_trie(tries.groupBy("key").agg(F.sum("n").alias("n")), order)
