@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.session import shuffled
+
 FOLDS = {"sum": (F.sum, lambda a, b: a + b), "max": (F.max, F.greatest)}
 
 
@@ -29,7 +31,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
     inner = rows.withColumn("__in", agg("__v").over(before))
     totals = (rows.groupBy(*keys, "__b").agg(agg("__v").alias("__tot"))
               .select(*keys, "__b", agg("__tot").over(earlier).alias("__pre")))
-    joined = inner.join(totals, [*keys, "__b"])
+    joined = inner.join(shuffled(totals), [*keys, "__b"])
     pre, own = F.col("__pre"), F.col("__in")
     merged = F.when(pre.isNull(), own).when(own.isNull(), pre).otherwise(both(pre, own))
     return joined.withColumn(out, merged).drop("__b", "__v", "__in", "__pre")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import normal_value
 from veil.operators.blocks import row_numbers, running
-from veil.session import cut
+from veil.session import cut, shuffled
 
 
 def number_placeholders(items: DataFrame, session: str = "conv_id", turn: str = "turn",
@@ -23,14 +23,14 @@ def number_placeholders(items: DataFrame, session: str = "conv_id", turn: str =
         F.min(F.struct(F.col(turn).alias("t"), F.col(start).alias("s"))).alias("f")
     ).select(session, "cat", "__n", F.col("f.t").alias("__t"), F.col("f.s").alias("__s"))
     ranked = row_numbers(first, [session, "cat"], "__t", "number", width=width, ties=("__s", "__n"))
-    return keyed.join(ranked.select(session, "cat", "__n", "number"),
+    return keyed.join(shuffled(ranked.select(session, "cat", "__n", "number")),
                       [session, "cat", "__n"]).drop("__n")
 
 
 def attach_once(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Mark the one turn of each session that carries the screen context (the first)."""
     first = turns.groupBy(session).agg(F.min(turn).alias(turn)).withColumn("with_screen", F.lit(True))
-    return turns.join(first, [session, turn], "left").withColumn(
+    return turns.join(shuffled(first), [session, turn], "left").withColumn(
         "with_screen", F.coalesce("with_screen", F.lit(False)))
 
 

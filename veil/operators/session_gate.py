@@ -26,7 +26,7 @@ from veil.operators.blocks import row_numbers
 from veil.operators.rules import Rule
 from veil.operators.terms import match_memory, remembered_leaks, trie_pattern
 from veil.schema import ITEM_FIELDS, ITEMS, NUMBERED, WARNINGS
-from veil.session import cut
+from veil.session import cut, shuffled
 
 CARRIED = ("level", "ph")
 
@@ -105,7 +105,7 @@ def first_revealed(decided: DataFrame, session: str, turn: str) -> DataFrame:
 
 def _not_revealed(rows: DataFrame, revealed: DataFrame, session: str, turn: Column) -> DataFrame:
     keyed = rows.withColumn("__v", F.lower("value")).join(
-        revealed.withColumnRenamed("value", "__v"), [session, "__v"], "left")
+        shuffled(revealed.withColumnRenamed("value", "__v")), [session, "__v"], "left")
     return keyed.filter(F.col("revealed").isNull() | (F.col("revealed") >= turn)).drop("__v", "revealed")
 
 
@@ -131,9 +131,9 @@ def _numbers(rows: DataFrame, session: str, turn: str, known: DataFrame | None)
     if known is None:
         return row_numbers(first, [session, "cat"], "t", "number", width=1_000_000, ties=("s", "value")).drop("t", "s")
     last = known.groupBy(session, "cat").agg(F.max("number").alias("__last"))
-    new = first.join(known, [session, "cat", "value"], "left_anti")
+    new = first.join(shuffled(known), [session, "cat", "value"], "left_anti")
     new = row_numbers(new, [session, "cat"], "t", "number", width=1_000_000, ties=("s", "value")).drop("t", "s")
-    return new.join(last, [session, "cat"], "left").withColumn(
+    return new.join(shuffled(last), [session, "cat"], "left").withColumn(
         "number", F.col("number") + F.coalesce("__last", F.lit(0))).drop("__last")
 
 
@@ -142,7 +142,7 @@ def _with_numbers(rows: DataFrame, numbers: DataFrame, session: str) -> DataFram
     word = F.create_map(*[F.lit(x) for pair in NUMBERED.items() for x in pair])
     named = F.col("masked") & F.col("cat").isin(*NUMBERED)
     keyed = rows.withColumn("__n", normal_value(F.col("value"))).join(
-        numbers.withColumnRenamed("value", "__n"), [session, "cat", "__n"], "left").drop("__n")
+        shuffled(numbers.withColumnRenamed("value", "__n")), [session, "cat", "__n"], "left").drop("__n")
     return (keyed.withColumn("number", F.when(F.col("masked"), F.col("number")))
             .withColumn("ph", F.when(named, F.concat(
                 F.lit("["), word[F.col("cat")], F.lit("_"), F.col("number").cast("string"), F.lit("]"))).otherwise(F.col("ph"))))
@@ -190,12 +190,12 @@ def gate_turns(turns: DataFrame, *, session: str = "conv_id", turn: str = "turn"
     packed = final.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct(*ITEM_FIELDS, "masked", "number"))).alias("items"))
     none = F.array().cast(packed.schema["items"].dataType)
-    out = base.drop("found").join(packed, keys, "left").withColumn("items", F.coalesce("items", none))
+    out = base.drop("found").join(shuffled(packed), keys, "left").withColumn("items", F.coalesce("items", none))
     out = out.withColumn("clean", F.expr(sp.apply_items(text, "items", lambda i: f"{i}.masked")))
     if known is not None:
         same = [session, "cat", "__n"]
         old = known.memory.select(session, "cat", normal_value(F.col("value")).alias("__n"))
-        held = held.withColumn("__n", normal_value(F.col("value"))).join(old, same, "left_anti").drop("__n")
+        held = held.withColumn("__n", normal_value(F.col("value"))).join(shuffled(old), same, "left_anti").drop("__n")
     return out, SessionState(held, numbers, revealed)
 
 
@@ -246,9 +246,9 @@ def verify_session(gated: DataFrame, rules: Iterable[Rule] = (), session: str =
              .select(session, turn, "kind", value.alias("__v")))
     leaks = remembered_leaks(gated, held, session, turn, text)
     leaks = leaks.select(session, turn, F.lit("Remembered value").alias("kind"), value.alias("__v"))
-    left = (again.unionByName(leaks).join(shown, [session, "__v"], "left")
+    left = (again.unionByName(leaks).join(shuffled(shown), [session, "__v"], "left")
             .filter(F.col("revealed").isNull() | (F.col("revealed") > F.col(turn)))
             .groupBy(session, turn).agg(F.array_sort(F.collect_list("kind")).alias("residual")))
-    out = gated.join(left, [session, turn], "left")
+    out = gated.join(shuffled(left), [session, turn], "left")
     return (out.withColumn("residual", F.coalesce("residual", F.array().cast("array<string>")))
             .withColumn("residual_count", F.size("residual")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import spans as sp
 from veil.schema import PLACEHOLDER
+from veil.session import shuffled
 
 TOKEN = "[a-z0-9]+"
 
@@ -101,7 +102,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
     # Possessive, so a run ends where its last word ends; one cut by the window is longer than any term.
     run = lambda n: F.regexp_extract("win", f"^[a-z0-9]++(?:[^a-z0-9]++[a-z0-9]++){{{n - 1}}}", 0)
     runs = found.select(key, "s", "pre", "win", F.explode(F.array(*[run(n) for n in sizes] or [F.lit("")])).alias("body"))
-    met = runs.filter(F.length("body").between(1, body)).join(wanted.drop("first"), "body")
+    met = runs.filter(F.length("body").between(1, body)).join(shuffled(wanted.drop("first")), "body")
     free = lambda c: ~c.rlike("[a-z0-9]")
     after = F.substring("win", F.length("body") + 1, F.lit(tail + 1))
     left = F.length("pre") - F.length("lead")
@@ -151,7 +152,7 @@ def match_memory(turns: DataFrame, memory: DataFrame, session: str = "conv_id",
         f"{i} -> named_struct('start', {i}.s, 'end', {i}.e, 'form', {i}.v, "
         f"'match', substring({text}, {i}.s + 1, {i}.e - {i}.s)))"))
     runs = turns.select(session, turn, F.inline(F.expr(with_text)))
-    return (runs.join(memory_variants(memory, session, carry), [session, "form"])
+    return (runs.join(shuffled(memory_variants(memory, session, carry)), [session, "form"])
             .filter(F.col("first_turn") < F.col(turn))
             .select(session, turn, "start", "end", "match", "value", "cat", "first_turn", *carry))
 
@@ -183,7 +184,7 @@ def remembered_leaks(texts: DataFrame, memory: DataFrame, session: str = "conv_i
     read = texts.select(session, turn, flat.alias("flat"), tokens.alias("tokens"))
     keys = read.select(session, turn, F.explode(F.array_distinct(F.concat(
         F.coalesce(pieces, F.array()), "tokens"))).alias("key"))
-    met = keys.join(forms, [session, "key"]).filter(F.col("first_turn") <= F.col(turn))
-    exact = met.join(read.select(session, turn, "flat"), [session, turn]).filter(
+    met = keys.join(shuffled(forms), [session, "key"]).filter(F.col("first_turn") <= F.col(turn))
+    exact = met.join(shuffled(read.select(session, turn, "flat")), [session, turn]).filter(
         F.col("key").startswith("=") | F.contains("flat", "form"))
     return exact.select(session, turn, "value", "cat").distinct()

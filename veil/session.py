@@ -47,6 +47,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/veil-{name}-{uuid.uuid4().hex}"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: the join shuffles both sides.
+
+    Spark takes the compressed size of the files read for the size of a side, also after an explode, and so
+    sends a side of many times ``spark.sql.autoBroadcastJoinThreshold`` whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veil.operators.placeholders import session_epoch
 from veil.operators.rules import Rule
 from veil.operators.session_gate import SessionState, gate_turns, verify_session
-from veil.session import cut
+from veil.session import cut, shuffled
 from veil.sources.sinks import write_clean
 
 KEY = "struct<id:{id},epoch:long>"
@@ -78,7 +78,7 @@ class StateTable:
                .agg(F.max("session.epoch").alias("epoch"), F.max("batch").alias("last")))
         if self.ttl is not None:
             now = now.filter(F.col("last") > batch - self.ttl)
-        current = rows.join(now, (F.col("session.id") == F.col("id")) & (F.col("session.epoch") == F.col("epoch")))
+        current = rows.join(shuffled(now), (F.col("session.id") == F.col("id")) & (F.col("session.epoch") == F.col("epoch")))
         seen = now.select(F.struct("id", "epoch").cast(self.key).alias("session"), F.lit("seen").alias("kind"),
                           F.col("last").alias("batch"))
         return current.filter("kind <> 'seen'").drop("id", "epoch", "last").unionByName(seen, allowMissingColumns=True)
@@ -108,11 +108,11 @@ def gate_batch(rows: DataFrame, table: StateTable, batch: int, *, session: str =
     control = F.coalesce(F.col("control"), F.lit("")) if "control" in rows.columns else F.lit("")
     rows = cut(rows.withColumn("control", control))
     ids = rows.select(F.col(session).alias("__id")).distinct()
-    facts = cut(table.read(batch).join(ids, F.col("session.id") == F.col("__id"), "left_semi"))
+    facts = cut(table.read(batch).join(shuffled(ids), F.col("session.id") == F.col("__id"), "left_semi"))
     begun = facts.filter("kind = 'seen'").groupBy(F.col("session.id").alias("__id")).agg(
         F.max("session.epoch").alias("__base"))
     timed = session_epoch(rows, F.col("control") == "reset", session, turn)
-    timed = (timed.join(begun, F.col(session) == F.col("__id"), "left").withColumn("session", F.struct(
+    timed = (timed.join(shuffled(begun), F.col(session) == F.col("__id"), "left").withColumn("session", F.struct(
         F.col(session).alias("id"), (F.coalesce("__base", F.lit(0)) + F.col("epoch")).alias("epoch")).cast(table.key))
              .drop("__id", "__base", "epoch"))
     timed = cut(timed)
