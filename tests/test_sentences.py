@@ -54,6 +54,10 @@ HIDDEN = {
     "https://bob:hunter2@db.example.com/x": f"https://bob:{WORD7}@db.example.com/x",
     "ring 212-555-1234 or +44 20 7946 0958": "ring [PHONE] or [PHONE]",
     "call me Ishmael": "call me [PERSON_1]",
+    "can i change my oassword to faccafbea":
+        "can i change my oassword to [SECRET: 9 chars; lowercase; one word]",
+    "can i change my oassword to accddcbdf":
+        "can i change my oassword to [SECRET: 9 chars; lowercase; letters only]",
     "keep [PHONE] and [SECRET: 9 chars; lowercase+digits; mixed]":
         "keep [PHONE] and [SECRET: 9 chars; lowercase+digits; mixed]",
 }

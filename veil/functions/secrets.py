@@ -107,6 +107,11 @@ def looks_like_word(v: str) -> str:
         f"AND NOT rlike({w}, '[^aeiouy]{{4}}'))"))
 
 
+def is_hex(v: str) -> str:
+    """Eight or more hexadecimal digits: no word, though `faccafbea` has the vowels of one."""
+    return f"rlike({v}, '^[0-9A-Fa-f]{{8,}}$')"
+
+
 def strength(v: str) -> str:
     """0..10: character classes, length, entropy and mix; ordinary words score low."""
     flags = class_flags(v)
