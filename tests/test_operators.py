@@ -265,3 +265,19 @@ def test_account_numbers_end_at_18_digits_and_longer_ones_are_hidden_too(spark):
     found = lambda f: [len(r[0]) for r in df.select(F.inline(F.expr(f("text")))).select("match").collect()]
     assert (found(d.detect_accounts), found(d.detect_numbers)) == ([18], [19])
     assert sorted(found(d.all_items)) == [18, 19]
+
+
+def test_delimited_file_of_many_rows(spark, tmp_path):
+    """Ten times the rows took a hundred times as long."""
+    import time
+
+    took = {}
+    for n in (2_000, 2_000, 40_000):
+        (tmp_path / f"{n}.csv").write_text("".join(f'{i},"a, ""{i}""\nb",c\r\n' for i in range(n)))
+        began = time.time()
+        got = read_grid(spark, str(tmp_path / f"{n}.csv")).agg(
+            F.count("cells").alias("n"), F.sum(F.col("cells")[0].cast("long")).alias("s"),
+            F.min(F.size("cells")).alias("m")).first()
+        took[n] = time.time() - began
+        assert tuple(got) == (n, n * (n - 1) // 2, 3)
+    assert took[40_000] < 60 * max(took[2_000], 0.1)

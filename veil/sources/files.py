@@ -48,23 +48,20 @@ def parse_delimited(text: Column, sep: str) -> Column:
     returns outside quotes vanish, wholly blank rows are dropped. Every cell is a string.
     """
     d = r"\t" if sep == "\t" else "\\Q" + sep + "\\E"
-    field = rf'((?:"(?:[^"]++|"")*+(?:"|\z)|[^"{d if sep == chr(9) else sep}\n])*+)({d}|\n|\z)'
-    bodies = F.regexp_extract_all(text, F.lit(field), F.lit(1))
-    ends = F.regexp_extract_all(text, F.lit(field), F.lit(2))
+    quoted = r'"(?:[^"]++|"")*+(?:"|\z)'
+    record = rf'((?:{quoted}|[^"\n]++)*+)(?:\n|\z)'
+    field = rf'((?:{quoted}|[^"{d if sep == chr(9) else sep}\n])*+)({d}|\z)'
     # Outside quotes \r goes; the quotes themselves go last, doubled ones become one.
     plain = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(
         s, r'\r(?=(?:[^"]*"[^"]*")*[^"]*$)', ""), r'"((?:[^"]++|"")*+)(?:"|\z)', "$1"), '""', '"')
-    pairs = F.zip_with(bodies, ends, lambda b, e: F.struct(plain(b).alias("c"), e.alias("e")))
-    rows_type, row_type = "array<array<string>>", "array<string>"
-    zero = F.struct(F.array().cast(rows_type).alias("rows"), F.array().cast(row_type).alias("row"))
 
-    def step(z: Column, p: Column) -> Column:
-        row = F.concat(z["row"], F.array(p["c"]))
-        return F.when(p["e"] == sep, F.struct(z["rows"].alias("rows"), row.alias("row"))).otherwise(
-            F.struct(F.concat(z["rows"], F.array(row)).alias("rows"),
-                     F.array().cast(row_type).alias("row")))
+    # Records first, then the fields of each: the work grows with the text, not with its square.
+    def cells(r: Column) -> Column:
+        ends = F.filter(F.regexp_extract_all(r, F.lit(field), F.lit(2)), lambda e: e == sep)
+        bodies = F.regexp_extract_all(r, F.lit(field), F.lit(1))
+        return F.transform(F.slice(bodies, F.lit(1), F.size(ends) + 1), plain)
 
-    rows = F.aggregate(pairs, zero, step, lambda z: z["rows"])
+    rows = F.transform(F.regexp_extract_all(text, F.lit(record), F.lit(1)), cells)
     return F.filter(rows, lambda r: F.exists(r, lambda c: c.rlike(r"\S")))
 
 
