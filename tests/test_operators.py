@@ -281,3 +281,11 @@ def test_delimited_file_of_many_rows(spark, tmp_path):
         took[n] = time.time() - began
         assert tuple(got) == (n, n * (n - 1) // 2, 3)
     assert took[40_000] < 60 * max(took[2_000], 0.1)
+
+
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(400_000).selectExpr("id", "md5(cast(id AS string)) AS h").coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
+    spread = files.read_spread(spark, path, size // 100)
+    assert spread.rdd.getNumPartitions() >= 100 and spread.count() == 400_000

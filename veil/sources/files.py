@@ -99,12 +99,14 @@ def pages_to_read(pages: DataFrame, flags: DataFrame, max_pages: int | None = No
     return wanted.join(scanned, "file_id", "left_semi")
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with enough partitions to keep every core busy.
+def read_spread(spark: SparkSession, path: str, per_task: int = 2 << 20) -> DataFrame:
+    """Parquet dealt out so that no task gets much more than ``per_task`` bytes of the files.
 
-    A large table has more splits than cores and is left alone, so nothing is shuffled at scale.
-    Only a file of few row groups, which would run on one core, is dealt out.
+    Detection works for minutes on what one split of the reader holds, so splits are no measure for its tasks:
+    with them the longest task grows with the table. At least twice as many tasks as cores.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    wanted = max(spark.sparkContext.defaultParallelism * 2, -(-size // per_task))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
