@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veil.functions.secrets import lower_ascii
-from veil.functions.spans import lit, var
+from veil.functions.spans import let, lit, var
 
 # Characters that print nothing.
 INVISIBLE = r"[\u00AD\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]"
@@ -29,7 +29,10 @@ def fold_lookalikes(t: str) -> str:
 
 
 def normalize(t: str) -> str:
-    return fold_lookalikes(strip_invisible(t))
+    """Plain ASCII, and texts without any of these characters, are left as they are."""
+    odd = lit(f"(?=[^\\x00-\\xAC])[{INVISIBLE[1:-1]}\\u0391-\\u03BF\\u0405-\\u0458]")
+    return let(t, lambda x: (f"if(octet_length({x}) = length({x}) OR NOT rlike({x}, {odd}), {x}, "
+                             f"{fold_lookalikes(strip_invisible(x))})"))
 
 
 def spelled_digits(v: str) -> str:

@@ -15,11 +15,12 @@ CUES = ("password", "passcode", "passphrase")
 NOT_CUES = ("passport", "passports", "passed", "password's")
 
 # Within two edits of a cue one of its three pieces stays whole; a whole last piece with both
-# others damaged uses up the edits, so it must end the word. Anything else cannot match.
-CANDIDATE = (r"(?<![a-z])(?:[a-z]{0,9}(?:pas|swo|sco|sph|ras)[a-z]{0,9}|[a-z]{4,8}(?:rd|de))"
+# others damaged uses up the edits, so it must end the word. Anything else cannot match; words of
+# other lengths are passed over.
+CANDIDATE = (r"(?<![a-z])(?=[a-z]{6,12}+(?![a-z]))(?:[a-z]{0,9}(?:pas|swo|sco|sph|ras)[a-z]{0,9}|[a-z]{4,8}(?:rd|de))"
              r"(?![a-z])")
 # Two neighbours joined, at most one edit: one half is whole, the other nearly so.
-TWO_TOKENS = (r"(?<![a-z])(?:(?:p?ass?|pa?ss|[a-z]ass|p[a-z]ss|pa[a-z]s|pas[a-z]|[a-z]?pass[a-z]?)"
+TWO_TOKENS = (r"(?<![a-z])(?=[a-z]{2,6}+[ _.-][wcp])(?:(?:p?ass?|pa?ss|[a-z]ass|p[a-z]ss|pa[a-z]s|pas[a-z]|[a-z]?pass[a-z]?)"
               r"[ _.-](?:w[a-z]{2,4}|c[a-z]{2,4}|phrase)|[a-z]{3,5}[ _.-](?:word|code|phrase))(?![a-z])")
 # The exact letters with separators among them.
 SPLIT = (r"(?<![a-z])p[ _.-]?a[ _.-]?s[ _.-]?s[ _.-]?"
@@ -43,8 +44,10 @@ def lower_ascii(c: str) -> str:
 
 
 def fold_leet(c: str) -> str:
-    """`p@ssw0rd` to `password`; one to one on lower-case text."""
-    return f"translate({c}, '@0135$7', 'aolesst')"
+    """`p@ssw0rd` to `password`; one to one on lower-case text. ``translate`` would look up every character."""
+    for sign, letter in zip("@0135$7", "aolesst"):
+        c = f"replace({c}, '{sign}', '{letter}')"
+    return c
 
 
 def is_ordinary(v: str) -> str:
