@@ -31,3 +31,9 @@ def test_session_gate_does_not_broadcast(spark):
     assert "Broadcast" not in plan(g.verify_session(cut(gated)))
     items = cut(g.session_findings(gated).drop("number"))
     assert "Broadcast" not in plan(number_placeholders(items))
+
+
+def test_exit_check_of_sessions_plans_the_detectors_once(spark):
+    turns = cut(derived(spark, DATA, "talks").select("conv_id", "turn", "text"))
+    done = g.verify_session(cut(g.gate_session(turns, warnings=False)))
+    assert plan(done).count("regexp") < 100  # the joins do not carry the detectors' hundreds of patterns

@@ -244,6 +244,8 @@ def verify_session(gated: DataFrame, rules: Iterable[Rule] = (), session: str =
     again = unresolved(gated.select(session, turn, text), text)
     again = (again.select(session, turn, F.inline(F.expr(ruled("found", rules)))).filter("level <> 'low'")
              .select(session, turn, "kind", value.alias("__v")))
+    # Stored, so that the detectors' expression is planned once, not again after every shuffle of the joins below.
+    again = cut(again)
     leaks = remembered_leaks(gated, held, session, turn, text)
     leaks = leaks.select(session, turn, F.lit("Remembered value").alias("kind"), value.alias("__v"))
     left = (again.unionByName(leaks).join(shuffled(shown), [session, "__v"], "left")
