@@ -139,13 +139,16 @@ DERIVED = {"messages": (MESSAGES, ("orders",)), "talks": (TALKS, ("orders",)), "
 
 
 # Tables whose rows cost much work each: texts, and what texts are derived from (in bytes of the files for a
-# task; a row of orders takes some 18 of them and makes a sentence).
-HEAVY = {"documents": 2 << 20, "pages": 2 << 20, "conversations": 2 << 20, "orders": 256 << 10}
+# task; a row of orders takes some 18 of them and makes a sentence, one of lineitem some 10 and makes four boxes).
+HEAVY = {"documents": 2 << 20, "pages": 2 << 20, "conversations": 2 << 20, "orders": 256 << 10,
+         "lineitem": 1 << 20}
+# Dealt out by the key that they are grouped by: the boxes of a picture.
+KEYS = {"lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return read_spread(spark, path, HEAVY[name]) if name in HEAVY else spark.read.parquet(path)
+    return read_spread(spark, path, HEAVY[name], KEYS.get(name)) if name in HEAVY else spark.read.parquet(path)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

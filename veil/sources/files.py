@@ -99,14 +99,17 @@ def pages_to_read(pages: DataFrame, flags: DataFrame, max_pages: int | None = No
     return wanted.join(scanned, "file_id", "left_semi")
 
 
-def read_spread(spark: SparkSession, path: str, per_task: int = 2 << 20) -> DataFrame:
+def read_spread(spark: SparkSession, path: str, per_task: int = 2 << 20, by: str | None = None) -> DataFrame:
     """Parquet dealt out so that no task gets much more than ``per_task`` bytes of the files.
 
     Detection works for minutes on what one split of the reader holds, so splits are no measure for its tasks:
-    with them the longest task grows with the table. At least twice as many tasks as cores.
+    with them the longest task grows with the table. At least twice as many tasks as cores. ``by`` names the key of the
+    first grouping, which then needs no shuffle of its own and no task that grows with the table.
     """
     df = spark.read.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     wanted = max(spark.sparkContext.defaultParallelism * 2, -(-size // per_task))
+    if by:
+        return df.repartition(wanted, by)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
