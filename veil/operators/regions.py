@@ -127,10 +127,13 @@ def dedupe_points(rows: DataFrame, keys: list[str], order: str, edges: list[str]
     up to ``small`` rows are folded in place, larger ones by tiles over many tasks. Rows without a position are
     always kept.
     """
-    bare = rows.filter(F.col(edges[0]).isNull())
-    less, more = split_by_size(rows.filter(F.col(edges[0]).isNotNull()), keys, small)
-    out = _fold_small(less, keys, order, edges, tol).unionByName(bare)
-    return out if more is None else out.unionByName(_fold_tiles(more, keys, order, edges, tol))
+    less, more = split_by_size(rows, keys, small)
+    # In the fold a row without a position is near to none.
+    out = _fold_small(less, keys, order, edges, tol)
+    if more is None:
+        return out
+    located = F.col(edges[0]).isNotNull()
+    return out.unionByName(_fold_tiles(more.filter(located), keys, order, edges, tol)).unionByName(more.filter(~located))
 
 
 def dedupe_rects(findings: DataFrame, page: str = "page_id", order: str = "ord") -> DataFrame:
