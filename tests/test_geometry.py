@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+from tests.conftest import DATA
 from veil.operators import regions, tables
+from veil.operators.rules import Rule
+from veil.plans.tables import derived
 
 FIELDS = "image_id long, region_id int, x0 double, y0 double, x1 double, y1 double, text string"
 
@@ -66,3 +69,42 @@ def test_a_table_needs_one_shuffle(spark):
     shape = tables.table_shape(tables.place_cells(df))
     plan = shape._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(image_id") == 1 and shape.count() == 1
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(")
+
+
+def test_tables_in_one_pass_equal_the_steps(spark):
+    rnd = random.Random(4)
+    rows = [(m, i, *(lambda x, y: (x, y, x + rnd.randrange(9), y + rnd.randrange(9)))(
+        float(rnd.randrange(12) * 10), float(rnd.randrange(30) * 10)), rnd.choice(["a", "b", None, "[HIDDEN]"]))
+        for m in (None, *range(6)) for i in range(20 * (m or 1))]
+    df = spark.createDataFrame(rows, FIELDS).repartition(3)
+    rules = [Rule("colindex", "2"), Rule("row", "1"), Rule("lastrows", "2"), Rule("term", "b")]
+    key = lambda d, *names: sorted((tuple(r[n] for n in names) for r in d.collect()), key=repr)
+    for least, small in ((0.0, 10_000), (0.5, 50)):
+        placed = tables.place_cells(df)
+        grid = tables.rebuild_table(placed, tables.table_shape(placed), least=least)
+        applied, boxes = tables.apply_rules_to_table(placed, grid, rules)
+        got, cover = tables.cover_tables(df, rules, least=least, small=small)
+        assert cover.columns == boxes.columns and key(cover, *cover.columns) == key(boxes, *boxes.columns)
+        names = ("file_id", "row_idx", "cells", "hidden")
+        assert key(got, *names) == key(applied, *names)
+
+
+def test_boxes_are_dealt_out_once(spark):
+    boxes = derived(spark, DATA, "boxes")
+    assert boxes.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    _, cover = tables.cover_tables(boxes, [Rule("colindex", "2"), Rule("row", "1")])
+    assert exchanges(cover) == 1 and exchanges(tables.rebuild_tables(boxes)) == 1
+    assert exchanges(tables.table_shape(tables.place_cells(boxes))) == 1
+    assert exchanges(regions.dedupe_regions(boxes)) == 1
+
+
+def test_regions_without_a_position_stay(spark):
+    rows = [(1, i, None, None, None, None, "t") for i in range(5)] + [(1, 9 + i, 1.0, 1.0, 2.0, 2.0, "t") for i in range(5)]
+    df = spark.createDataFrame(rows, FIELDS)
+    for small in (0, 3, 100):
+        got = regions.dedupe_points(df, ["image_id"], "region_id", ["x0", "y0"], 12.0, small=small)
+        assert sorted(r["region_id"] for r in got.collect()) == [0, 1, 2, 3, 4, 9]

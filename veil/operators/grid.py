@@ -84,23 +84,28 @@ def _row_tests(rules: list[Rule]) -> Column:
     return test & (F.col("row_idx") > 0)
 
 
-def apply_grid_rules(rows: DataFrame, rules: Iterable[Rule], file: str = "file_id") -> DataFrame:
+def apply_grid_rules(rows: DataFrame, rules: Iterable[Rule], file: str = "file_id", dense: bool = False) -> DataFrame:
     """Hide cells by column, row and value rules; adds ``hidden`` (cells hidden in the row).
 
     Runs before any detector: a rule can remove what would otherwise be scanned. Row numbers are
-    only worked out when a row rule asks for them.
+    only worked out when a row rule asks for them. ``dense``: ``row_idx`` runs from 0 without gaps in every file,
+    so it is the row number, and column numbers need no look at the header.
     """
     rules = list(rules)
     out = rows
     if any(r.kind in ("row", "rowset", "firstrows", "lastrows") for r in rules):
-        out = row_numbers(out, [file], "row_idx", "rn").withColumn("rn", F.col("rn") - 1)
+        out = out.withColumn("rn", F.col("row_idx")) if dense else row_numbers(
+            out, [file], "row_idx", "rn").withColumn("rn", F.col("rn") - 1)
         if any(r.kind == "lastrows" for r in rules):
             size = rows.groupBy(file).agg((F.count(F.lit(1)) - 1).alias("data_rows"))
             out = out.join(size, file)
         out = out.withColumn("__row", _row_tests(rules)).drop("rn", "data_rows")
     else:
         out = out.withColumn("__row", F.lit(False))
-    if any(r.kind in ("colname", "colindex") for r in rules):
+    if dense and not column_words(rules):
+        fixed = [F.lit(int(r.value) - 1) for r in rules if r.kind == "colindex"]
+        out = out.withColumn("__cols", F.array(*fixed).cast("array<int>"))
+    elif any(r.kind in ("colname", "colindex") for r in rules):
         out = out.join(resolve_columns(rows, rules, file), file, "left").withColumn(
             "__cols", F.coalesce("hidden_cols", F.array().cast("array<int>"))).drop("hidden_cols")
     else:

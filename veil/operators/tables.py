@@ -11,7 +11,7 @@ from veil.operators.blocks import running
 from veil.operators.grid import apply_grid_rules
 from veil.operators.regions import split_by_size
 from veil.operators.rules import Rule
-from veil.session import cut
+from veil.session import cut, shuffled
 
 
 def bands(regions: DataFrame, image: str, lo: str, hi: str, name: str,
@@ -50,10 +50,12 @@ def place_cells(regions: DataFrame, image: str = "image_id", small: int = 10_000
     """
     less, more = split_by_size(regions, [image], small)
     out = _place_small(less, image)
-    if more is None:
-        return out
-    rows, cols = bands(more, image, "y0", "y1", "row"), bands(more, image, "x0", "x1", "col")
-    return out.unionByName(cut(more.join(rows, [image, "y0"]).join(cols, [image, "x0"])))
+    return out if more is None else out.unionByName(_place_large(more, image))
+
+
+def _place_large(regions: DataFrame, image: str) -> DataFrame:
+    rows, cols = bands(regions, image, "y0", "y1", "row"), bands(regions, image, "x0", "x1", "col")
+    return cut(regions.join(rows, [image, "y0"]).join(cols, [image, "x0"]))
 
 
 def table_shape(placed: DataFrame, image: str = "image_id") -> DataFrame:
@@ -78,6 +80,53 @@ def rebuild_table(placed: DataFrame, shape: DataFrame, image: str = "image_id",
                                           F.col("row").alias("row_idx"), row.alias("cells"))
 
 
+def _lines(placed: DataFrame, image: str, carry: tuple[str, ...]) -> DataFrame:
+    """Rows of tables: texts and regions by column, and what the shape of the table is counted from."""
+    cell = placed.groupBy(image, "row", "col").agg(
+        F.array_sort(F.collect_list(F.struct("region_id", "text", *carry))).alias("b"))
+    text = F.array_join(F.transform("b", lambda r: r["text"]), " ")
+    return cell.groupBy(image, "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", text.alias("t")))).alias("m"),
+        F.collect_list(F.struct("col", "b")).alias("regions"), F.max("col").alias("__last"),
+        F.sum(F.when(F.size("b") == 1, 1).otherwise(0)).alias("__alone"), F.sum(F.size("b")).alias("__all"))
+
+
+def rebuild_tables(regions: DataFrame, image: str = "image_id", least: float = 0.5, carry: tuple[str, ...] = (),
+                   small: int = 10_000) -> DataFrame:
+    """:func:`place_cells`, :func:`table_shape` and :func:`rebuild_table` in one pass over the regions.
+
+    Every step groups by the image and more, so there is one shuffle; the shape is a window over the rows of an image,
+    for images of more than ``small`` regions a join. Adds ``regions``: per column those of the cell, with ``carry``.
+    """
+    less, more = split_by_size(regions.filter(F.col(image).isNotNull()), [image], small)
+    whole = Window.partitionBy(image)
+    lines = _lines(_place_small(less, image), image, carry)
+    lines = lines.select("*", (F.max("__last").over(whole) + 1).alias("columns"),
+                         (F.sum("__alone").over(whole) / F.sum("__all").over(whole)).alias("__sure"))
+    if more is not None:
+        large = cut(_lines(_place_large(more, image), image, carry))
+        shape = large.groupBy(image).agg((F.max("__last") + 1).alias("columns"),
+                                         (F.sum("__alone") / F.sum("__all")).alias("__sure"))
+        lines = lines.unionByName(large.join(shuffled(shape), image))
+    row = F.transform(F.sequence(F.lit(0), F.col("columns") - 1),
+                      lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
+    return lines.filter(F.col("__sure") >= least).select(
+        F.col(image).alias("file_id"), F.col("row").alias("row_idx"), row.alias("cells"), "regions")
+
+
+def cover_tables(regions: DataFrame, rules: Iterable[Rule], image: str = "image_id", least: float = 0.5,
+                 small: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """:func:`apply_rules_to_table` on the tables of :func:`rebuild_tables`: rows carry their regions, so that the
+    boxes to cover need no join. The columns of ``regions`` have to be sortable."""
+    carry = tuple(c for c in regions.columns if c not in (image, "region_id", "text"))
+    applied = apply_grid_rules(rebuild_tables(regions, image, least, carry, small), rules, dense=True)
+    hidden = F.filter("regions", lambda r: F.get("cells", r["col"]) == "[HIDDEN]")
+    cells = applied.select(F.col("file_id").alias(image), F.col("row_idx").alias("row"), F.inline(hidden))
+    boxes = cells.select(image, "row", "col", F.inline("b")).select(
+        image, "row", "col", *[c for c in regions.columns if c != image], F.lit("[HIDDEN]").alias("ph"))
+    return applied.drop("regions"), boxes
+
+
 def apply_rules_to_table(placed: DataFrame, table: DataFrame, rules: Iterable[Rule],
                          image: str = "image_id") -> tuple[DataFrame, DataFrame]:
     """Grid rules on a rebuilt table: the rows after the rules, and the boxes to cover."""

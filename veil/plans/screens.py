@@ -320,24 +320,19 @@ def _(spark, sf):
 
 @query("e4_rebuild_table", f"{PLACED} SELECT image_id AS file_id, row AS row_idx, string_agg(text, '|' ORDER BY col) AS line FROM placed GROUP BY ALL")
 def _(spark, sf):
-    placed = tables.place_cells(boxes(spark, sf))
-    return flat(tables.rebuild_table(placed, tables.table_shape(placed)))
+    return flat(tables.rebuild_tables(boxes(spark, sf)))
 
 
 @query("r7_table_rules", f"{PLACED} SELECT image_id, region_id, '[HIDDEN]' AS ph FROM placed WHERE row > 0 AND (col = 1 OR row = 1)")
 def _(spark, sf):
-    placed = tables.place_cells(boxes(spark, sf))
-    table_ = tables.rebuild_table(placed, tables.table_shape(placed))
-    _, cover = tables.apply_rules_to_table(placed, table_, [Rule("colindex", "2"), Rule("row", "1")])
+    _, cover = tables.cover_tables(boxes(spark, sf), [Rule("colindex", "2"), Rule("row", "1")])
     return cover.select("image_id", "region_id", "ph")
 
 
 @query("f4_union_boxes", f"""{PLACED} SELECT layer, count(*) AS n FROM (SELECT 'rule' AS layer FROM placed WHERE row > 0 AND col = 1
   UNION ALL SELECT 'text' FROM boxes) GROUP BY layer""")
 def _(spark, sf):
-    placed = tables.place_cells(boxes(spark, sf))
-    table_ = tables.rebuild_table(placed, tables.table_shape(placed))
-    _, cover = tables.apply_rules_to_table(placed, table_, [Rule("colindex", "2")])
+    _, cover = tables.cover_tables(boxes(spark, sf), [Rule("colindex", "2")])
     text = boxes(spark, sf).withColumn("layer", F.lit("text"))
     both = cover.withColumn("layer", F.lit("rule")).unionByName(text, allowMissingColumns=True)
     return both.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
