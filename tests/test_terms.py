@@ -49,3 +49,21 @@ def test_no_terms_no_texts(spark):
 def test_trie_pattern_takes_the_longest():
     pattern = re.compile(f"(?:{terms.trie_pattern(['car', 'cart', 'c.t', 'dog'])})")
     assert pattern.findall("cart car c.t cat dog") == ["cart", "car", "c.t", "dog"]
+
+
+def test_places_do_not_count_from_the_start_of_the_text(spark):
+    texts = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    for term in ("york", "new york", "new york!"):
+        wanted = spark.createDataFrame([(term,)], "term string")
+        for most_first in (2000, 0):
+            plan = terms.match_terms(texts, wanted, most_first=most_first)._jdf.queryExecution().analyzed().toString()
+            assert "substring(lower" not in plan and "substring(lambda" not in plan
+
+
+def test_code_points_beside_terms(spark):
+    rows = [(1, "😀new\n york😀 new york x😀york"), (2, "😀" * 50 + " york? new york?")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    for wanted in (["york", "new"], ["new york", "york?", "york"]):
+        df = spark.createDataFrame([(t,) for t in wanted], "term string")
+        for most_first in (2000, 0):
+            assert {tuple(r) for r in terms.match_terms(texts, df, most_first=most_first).collect()} == brute(rows, wanted)

@@ -90,11 +90,15 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: s
     pattern = f"(?<![a-z0-9])(?:{trie_pattern(few)})(?![a-z0-9])" if small and few else TOKEN
 
     def places(lower: str) -> str:
-        i = sp.var("i")
+        i, w = sp.var("i"), sp.var("w")
         # One character more on both sides shows whether a term with a sign at its end is a whole word.
         before = f"substring({lower}, greatest({i}.s - {lead + 1}, 0) + 1, least({i}.s, {lead + 1}))" if lead else "''"
-        return (f"transform({sp.find_tokens(lower, pattern)}, {i} -> named_struct('s', {i}.s, 'v', {i}.v, "
-                f"'pre', {before}, 'win', substring({lower}, {i}.s + 1, {body + tail + 1})))")
+        place = f"named_struct('s', {i}.s, 'v', {i}.v, 'pre', {before}, 'win', "
+        if sizes == [1] and not tail:  # the word is all that is compared
+            return f"transform({sp.find_tokens(lower, pattern)}, {i} -> {place}{i}.v))"
+        # What follows a word is read by a look-ahead: a substring would count from the start of the text for each word.
+        ahead = f"regexp_extract_all({lower}, {sp.lit(f'(?s){pattern}(?=(.{{0,{body + tail + 1}}}))')}, 1)"
+        return f"zip_with({sp.find_tokens(lower, pattern)}, {ahead}, ({i}, {w}) -> {place}concat({i}.v, {w})))"
 
     found = texts.select(key, F.inline(F.expr(sp.let(f"lower({text})", places))))
     if not small:
