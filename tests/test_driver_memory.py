@@ -6,6 +6,7 @@ from tests.conftest import DATA
 from veil.operators import session_gate as g
 from veil.operators.placeholders import number_placeholders
 from veil.operators.terms import match_memory, remembered_leaks
+from veil.plans.catalog import QUERIES
 from veil.plans.tables import derived
 from veil.session import cut
 
@@ -37,3 +38,8 @@ def test_exit_check_of_sessions_plans_the_detectors_once(spark):
     turns = cut(derived(spark, DATA, "talks").select("conv_id", "turn", "text"))
     done = g.verify_session(cut(g.gate_session(turns, warnings=False)))
     assert plan(done).count("regexp") < 100  # the joins do not carry the detectors' hundreds of patterns
+
+
+def test_remembered_names_do_not_broadcast(spark):
+    for name in ("c5_match_memory",):
+        assert "Broadcast" not in plan(QUERIES[name](spark, DATA))
