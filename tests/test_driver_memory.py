@@ -41,5 +41,5 @@ def test_exit_check_of_sessions_plans_the_detectors_once(spark):
 
 
 def test_remembered_names_do_not_broadcast(spark):
-    for name in ("c5_match_memory",):
+    for name in ("c5_match_memory", "h24_memory_hits"):
         assert "Broadcast" not in plan(QUERIES[name](spark, DATA))
