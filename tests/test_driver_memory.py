@@ -40,6 +40,15 @@ def test_exit_check_of_sessions_plans_the_detectors_once(spark):
     assert plan(done).count("regexp") < 100  # the joins do not carry the detectors' hundreds of patterns
 
 
+def test_decided_items_do_not_broadcast(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(g, "cut", lambda df: stored.append(plan(df)) or cut(df))
+    for name in ("c9_decided_items",):
+        stored.append(plan(QUERIES[name](spark, DATA)))
+    assert any("SortMergeJoin" in p for p in stored)
+    assert [p for p in stored if "Broadcast" in p] == []
+
+
 def test_remembered_names_do_not_broadcast(spark):
     for name in ("c5_match_memory", "h24_memory_hits"):
         assert "Broadcast" not in plan(QUERIES[name](spark, DATA))
