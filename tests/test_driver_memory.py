@@ -43,7 +43,7 @@ def test_exit_check_of_sessions_plans_the_detectors_once(spark):
 def test_decided_items_do_not_broadcast(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(g, "cut", lambda df: stored.append(plan(df)) or cut(df))
-    for name in ("c9_decided_items",):
+    for name in ("c9_decided_items", "h27_rules_text"):
         stored.append(plan(QUERIES[name](spark, DATA)))
     assert any("SortMergeJoin" in p for p in stored)
     assert [p for p in stored if "Broadcast" in p] == []
