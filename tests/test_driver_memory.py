@@ -9,6 +9,7 @@ from veil.operators.terms import match_memory, remembered_leaks
 from veil.plans.catalog import QUERIES
 from veil.plans.tables import derived
 from veil.session import cut
+from veil.streaming import sessions
 
 
 def plan(df):
@@ -40,6 +41,19 @@ def test_exit_check_of_sessions_plans_the_detectors_once(spark):
     assert plan(done).count("regexp") < 100  # the joins do not carry the detectors' hundreds of patterns
 
 
+def test_stream_batches_do_not_broadcast(spark, tmp_path, monkeypatch):
+    turns = cut(derived(spark, DATA, "messages").filter("turn % 8 IN (0, 5)").select(
+        "conv_id", "turn", "text", F.expr("if(turn % 8 = 5, 'reset', '')").alias("control")))
+    stored = []
+    for module in (g, sessions):  # what is stored on the way no longer shows in the last plan
+        monkeypatch.setattr(module, "cut", lambda df: stored.append(plan(df)) or cut(df))
+    state = sessions.StateTable(spark, str(tmp_path), "bigint")
+    for batch in (0, 1):  # the second one reads what the first has added
+        done = sessions.gate_batch(turns.filter(f"turn % 2 = {batch}"), state, batch)
+        assert "SortMergeJoin" in plan(done) and "Broadcast" not in plan(done)
+    assert [p for p in stored if "Broadcast" in p] == []
+
+
 def test_decided_items_do_not_broadcast(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(g, "cut", lambda df: stored.append(plan(df)) or cut(df))
