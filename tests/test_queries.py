@@ -42,6 +42,32 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs
 
 
+# Orders whose nine characters are letters only: faccafbea, cabeacccf, acbbeadca, fbcedffee, cefeccfeb.
+LETTERS = (16404, 315356, 500740, 748292, 865684)
+OF_THE_GATE = ("h12_secret",)
+
+
+@pytest.fixture(scope="module")
+def letters(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("letters"))
+    rows = [(k + i, k % 7) for k in LETTERS for i in range(-4, 4)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    spark.read.parquet(f"{DATA}/customer.parquet").filter("c_custkey < 7").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", OF_THE_GATE)
+def test_secrets_of_letters_only(spark, letters, name):
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{letters}/{t}.parquet/*.parquet'")
+    got = entry.queries()[name](spark, letters)
+    want = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    theirs = sorted((tuple(r[names.index(c)] for c in got.columns) for r in want.fetchall()), key=repr)
+    assert theirs and sorted((tuple(r) for r in got.collect()), key=repr) == theirs
+
+
 def test_every_row_has_a_check():
     free = set(catalog.QUERIES) - set(catalog.ORACLES)
     assert free == set()
