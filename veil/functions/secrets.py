@@ -64,29 +64,46 @@ def is_cue(word: str, cap: int = 2) -> str:
     return f"(({near}) AND {word} NOT IN ({', '.join(lit(w) for w in NOT_CUES)}))"
 
 
-def find_cues(text: str) -> str:
-    """Spans of approximate trigger words: one token, or up to three neighbours joined."""
+def folded(text: str) -> str:
+    """The reading in which trigger words are looked for. One-to-one folding keeps offsets; both translations only
+    where there is something to fold."""
+    lowered = f"if(contains({text}, 'İ'), {lower_ascii(text)}, lower({text}))"
+    return let(lowered, lambda x: f"if(rlike({x}, '[@0135$7]'), {fold_leet(x)}, {x})")
+
+
+def _cue_searches(low: str) -> list[tuple[str, Callable[[str], str], str]]:
+    """Pattern, test of a match and cheaper gate of the three forms of a trigger word, for a folded text."""
     def joined(w: str) -> str:
         return let(f"regexp_replace({w}, '[ _.-]', '')", lambda x: is_cue(x, 1))
 
-    def search(folded: str) -> str:
+    halves = " OR ".join(f"contains({low}, '{half}')" for half in (
+        "pas", "ass", "pss", " word", " code", " phra", "-word", "-code", "_word", "_code"))
+    separated = f"rlike({low}, 'p[ _.-]?a[ _.-]?s[ _.-]?s[ _.-]?[wc]')"
+    parted = lambda w: f"({joined(w)} AND rlike({w}, '[ _.-]'))"
+    return [(CANDIDATE, is_cue, "true"), (TWO_TOKENS, parted, halves), (SPLIT, parted, separated)]
+
+
+def _cue_test(low: str, pattern: str, test: Callable[[str], str], gate: str) -> str:
+    # The words alone are cheap; offsets are worked out only where one passes the test.
+    w = var("w")
+    return f"(({gate}) AND exists(regexp_extract_all({low}, {lit(pattern)}, 0), {w} -> {test(w)}))"
+
+
+def has_cue(low: str) -> str:
+    """Would :func:`find_cues` find anything in the text of this folded reading?"""
+    return f"({' OR '.join(_cue_test(low, *search) for search in _cue_searches(low))})"
+
+
+def find_cues(text: str) -> str:
+    """Spans of approximate trigger words: one token, or up to three neighbours joined."""
+    def search(low: str) -> str:
         def of(pattern: str, test: Callable[[str], str], gate: str) -> str:
-            # The words alone are cheap; offsets are worked out only where one passes the test.
-            w = var("w")
-            words = f"regexp_extract_all({folded}, {lit(pattern)}, 0)"
-            spans = keep(find_spans(folded, pattern), lambda s: test(f"{s}.v"))
-            return f"if(({gate}) AND exists({words}, {w} -> {test(w)}), {spans}, {NO_SPANS})"
-
-        halves = " OR ".join(f"contains({folded}, '{half}')" for half in (
-            "pas", "ass", "pss", " word", " code", " phra", "-word", "-code", "_word", "_code"))
-        separated = f"rlike({folded}, 'p[ _.-]?a[ _.-]?s[ _.-]?s[ _.-]?[wc]')"
-        parted = lambda w: f"({joined(w)} AND rlike({w}, '[ _.-]'))"
-        return (f"concat({of(CANDIDATE, is_cue, 'true')}, {of(TWO_TOKENS, parted, halves)}, "
-                f"{of(SPLIT, parted, separated)})")
-
-    # One-to-one folding keeps offsets; both translations only where there is something to fold.
-    lowered = f"if(contains({text}, 'İ'), {lower_ascii(text)}, lower({text}))"
-    return let(lowered, lambda x: let(f"if(rlike({x}, '[@0135$7]'), {fold_leet(x)}, {x})", search))
+            spans = keep(find_spans(low, pattern), lambda s: test(f"{s}.v"))
+            return f"if({_cue_test(low, pattern, test, gate)}, {spans}, {NO_SPANS})"
+
+        return f"concat({', '.join(of(*s) for s in _cue_searches(low))})"
+
+    return let(folded(text), search)
 
 
 def entropy(v: str) -> str:

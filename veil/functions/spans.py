@@ -35,28 +35,66 @@ def let(value: str, body: Callable[[str], str]) -> str:
     return f"element_at(transform(array({value}), {x} -> {body(x)}), 1)"
 
 
+class Gated(str):
+    """``if(gate, body, empty)``. What is made of the array later moves inside, so that the gate stays outermost,
+    where Spark compiles it: the higher-order functions of the body are interpreted."""
+
+    gate: str
+    body: str
+    empty: str
+
+
+def gated(gate: str, body: str, empty: str) -> Gated:
+    out = Gated(f"if({gate}, {body}, {empty})")
+    out.gate, out.body, out.empty = gate, body, empty
+    return out
+
+
+def inside(array: str, change: Callable[[str], str], empty: str | None = None) -> str:
+    """``change`` of the array, behind its gate if it has one; an empty array has to stay empty."""
+    if isinstance(array, Gated):
+        return gated(array.gate, change(array.body), empty or array.empty)
+    return change(array)
+
+
 def keep(array: str, test: Callable[[str], str]) -> str:
     x = var("k")
-    return f"filter({array}, {x} -> {test(x)})"
+    return inside(array, lambda a: f"filter({a}, {x} -> {test(x)})")
+
+
+def gaps(text: str, pattern: str) -> str:
+    """What stands between the matches. ``split`` by a pattern would compile it for every row; by one sign that no
+    text holds it does not."""
+    p, sign = lit(pattern), lit("\uffff")
+    return (f"if(contains({text}, {sign}), split({text}, {p}, -1), "
+            f"split(regexp_replace({text}, {p}, {sign}), {sign}, -1))")
 
 
 def find_spans(text: str, pattern: str, gate: str = "true") -> str:
     """Every match of ``pattern`` as ``array<struct<s,e,v>>``; one pass of running lengths.
 
-    The gaps come from ``split`` and the matches from ``regexp_extract_all`` of the same pattern,
-    so the offsets are exact. Texts without a match cost one early-out scan, or none where the
-    cheaper ``gate`` (a necessary condition) already rules them out.
+    The gaps and the matches come from the same pattern, so the offsets are exact; a single match whose
+    characters stand nowhere else in the text needs no gaps. Texts without a match cost one early-out scan, or none
+    where the cheaper ``gate`` (a necessary condition) already rules them out.
     """
-    p, z, x, g, m = lit(pattern), var("z"), var("x"), var("g"), var("m")
+    p, z, x, g, m, o = lit(pattern), var("z"), var("x"), var("g"), var("m"), var("o")
     hit = (f"named_struct('s', {z}.pos + {x}.g, 'e', {z}.pos + {x}.g + length({x}.m), 'v', {x}.m)")
-    return (
-        f"if(({gate}) AND rlike({text}, {p}), aggregate("
-        f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), "
-        f"({g}, {m}) -> named_struct('g', length({g}), 'm', {m})), "
-        f"named_struct('pos', 0, 'out', {NO_SPANS}), "
-        f"({z}, {x}) -> if({x}.m IS NULL, {z}, named_struct("
-        f"'pos', {z}.pos + {x}.g + length({x}.m), 'out', concat({z}.out, array({hit})))), "
-        f"{z} -> {z}.out), {NO_SPANS})")
+    at = lambda v: f"instr({text}, {v})"
+
+    def placed(found: str) -> str:
+        only = f"{found}[0]"
+        return (
+            f"if(size({found}) = 1 AND {at(only)} > 0 AND locate({only}, {text}, {at(only)} + 1) = 0, "
+            f"transform({found}, {o} -> named_struct('s', {at(o)} - 1, 'e', {at(o)} - 1 + length({o}), 'v', {o})), "
+            f"aggregate(zip_with({gaps(text, pattern)}, {found}, "
+            f"({g}, {m}) -> named_struct('g', length({g}), 'm', {m})), "
+            f"named_struct('pos', 0, 'out', {NO_SPANS}), "
+            f"({z}, {x}) -> if({x}.m IS NULL, {z}, named_struct("
+            f"'pos', {z}.pos + {x}.g + length({x}.m), 'out', concat({z}.out, array({hit})))), "
+            f"{z} -> {z}.out))")
+
+    tests = f"rlike({text}, {p})" if gate == "true" else f"({gate}) AND rlike({text}, {p})"
+    return gated(tests, let(f"regexp_extract_all({text}, {p}, 0)", placed), NO_SPANS)
 
 
 def find_groups(text: str, pattern: str, gate: str = "true") -> str:
@@ -67,9 +105,9 @@ def find_groups(text: str, pattern: str, gate: str = "true") -> str:
     """
     p, m = lit(pattern), var("m")
     lead = f"{m}.s + length(regexp_extract({m}.v, {p}, 1))"
-    value = f"regexp_extract({m}.v, {p}, 2)"
-    return (f"transform({find_spans(text, pattern, gate)}, {m} -> named_struct('s', {lead}, "
-            f"'e', {lead} + length({value}), 'v', {value}))")
+    parts = let(f"named_struct('s', {lead}, 'v', regexp_extract({m}.v, {p}, 2))",
+                lambda x: f"named_struct('s', {x}.s, 'e', {x}.s + length({x}.v), 'v', {x}.v)")
+    return inside(find_spans(text, pattern, gate), lambda a: f"transform({a}, {m} -> {parts})")
 
 
 def to_items(spans: str, *, cat: str, kind: str, level: str, layer: str, ev: str,
@@ -77,9 +115,10 @@ def to_items(spans: str, *, cat: str, kind: str, level: str, layer: str, ev: str
     """Spans as items of one category. ``[SECRET]`` and numbered placeholders are filled in by
     :func:`finish_items` once the overlaps are resolved."""
     s = var("s")
-    return (f"transform({spans}, {s} -> named_struct('start', {s}.s, 'end', {s}.e, "
-            f"'match', {s}.v, 'value', {s}.v, 'cat', {lit(cat)}, 'kind', {lit(kind)}, "
-            f"'level', {lit(level)}, 'layer', {lit(layer)}, 'ev', {lit(ev)}, 'ph', {lit(ph)}))")
+    return inside(spans, lambda a: (
+        f"transform({a}, {s} -> named_struct('start', {s}.s, 'end', {s}.e, "
+        f"'match', {s}.v, 'value', {s}.v, 'cat', {lit(cat)}, 'kind', {lit(kind)}, "
+        f"'level', {lit(level)}, 'layer', {lit(layer)}, 'ev', {lit(ev)}, 'ph', {lit(ph)}))"), NO_ITEMS)
 
 
 def level_rank(level: str) -> str:
@@ -152,7 +191,7 @@ def find_tokens(text: str, pattern: str, block: int = 16) -> str:
     Appending to an array copies it, so the running lengths are worked out block by block.
     """
     p, g, m, b, k, n, z, x = (lit(pattern), *(var(v) for v in "gmbknzx"))
-    pairs = (f"filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), "
+    pairs = (f"filter(zip_with({gaps(text, pattern)}, regexp_extract_all({text}, {p}, 0), "
              f"({g}, {m}) -> named_struct('g', length({g}), 'm', {m})), {g} -> {g}.m IS NOT NULL)")
 
     def blocks(a: str) -> str:

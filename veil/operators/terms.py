@@ -21,20 +21,36 @@ def word_counts(rows: DataFrame, value: str) -> list[int]:
     return sorted(r[0] for r in rows.select(n.alias("n")).filter("n > 0").distinct().collect())
 
 
+def tokens(text: str, short: int = 4000) -> str:
+    """Tokens of a lower-case text: ``array<struct<s,e,v>>``. A short one is split at every other sign, and the end of
+    a piece is the length of what is before the next one; that grows with the square of a text, so long ones are
+    read by :func:`veil.functions.spans.find_tokens`."""
+    def pieces(plain: str) -> str:
+        v, i, w = sp.var("v"), sp.var("i"), sp.var("w")
+        end = f"length(substring_index({plain}, ' ', {i} + 1))"
+        return (f"filter(transform(split({plain}, ' ', -1), ({v}, {i}) -> named_struct('s', {end} - length({v}), "
+                f"'e', {end}, 'v', {v})), {w} -> {w}.v <> '')")
+
+    fast = sp.let(f"regexp_replace({text}, '[^a-z0-9]', ' ')", pieces)
+    return f"if(length({text}) <= {short}, {fast}, {sp.find_tokens(text, TOKEN)})"
+
+
 def word_spans(text: str, sizes: list[int], joiner: str = " ") -> str:
     """Single tokens, and runs of as many adjacent tokens as ``sizes`` lists:
     ``array<struct<s,e,v>>`` (expression text)."""
-    wanted = [n for n in sizes if n > 1]
-
     def grams(tok: str) -> str:
-        i, n, w = sp.var("i"), sp.var("n"), sp.var("w")
-        run = (f"named_struct('s', {tok}[{i}].s, 'e', {tok}[{i} + {n} - 1].e, 'v', array_join("
-               f"transform(slice({tok}, {i} + 1, {n}), {w} -> {w}.v), {sp.lit(joiner)}))")
-        longer = (f"flatten(transform(array({', '.join(map(str, wanted))}), {n} -> if(size({tok}) < {n}, "
-                  f"array(), transform(sequence(0, size({tok}) - {n}), {i} -> {run}))))")
-        return f"concat({tok}, {longer})" if wanted else tok
+        i, w = sp.var("i"), sp.var("w")
+
+        def runs(n: int) -> str:
+            words = (f"concat_ws({sp.lit(joiner)}, {', '.join(f'{tok}[{i} + {k}].v' for k in range(n))})" if n <= 4 else
+                     f"array_join(transform(slice({tok}, {i} + 1, {n}), {w} -> {w}.v), {sp.lit(joiner)})")
+            run = f"named_struct('s', {tok}[{i}].s, 'e', {tok}[{i} + {n - 1}].e, 'v', {words})"
+            return f"if(size({tok}) < {n}, {sp.NO_SPANS}, transform(sequence(0, size({tok}) - {n}), {i} -> {run}))"
+
+        longer = [runs(n) for n in sizes if n > 1]
+        return f"concat({', '.join([tok, *longer])})" if longer else tok
 
-    return sp.let(sp.find_tokens(f"lower({text})", TOKEN), grams)
+    return sp.let(tokens(f"lower({text})"), grams)
 
 
 def trie_pattern(words: Iterable[str]) -> str:
@@ -181,8 +197,8 @@ def remembered_leaks(texts: DataFrame, memory: DataFrame, session: str = "conv_i
     # A placeholder becomes a sign that no form holds, so nothing is found across it.
     low = F.lower(F.regexp_replace(text, PLACEHOLDER, "|"))
     flat = F.regexp_replace(low, "[^a-z0-9|]", "")
-    pieces = F.when(F.length("flat") >= width, F.transform(
-        F.sequence(F.lit(1), F.length("flat") - width + 1), lambda i: F.substring(F.col("flat"), i, F.lit(width))))
+    # Pieces at every place, read by one look-ahead.
+    pieces = F.regexp_extract_all("flat", F.lit(f"(?=([a-z0-9]{{{width}}}))"), F.lit(1))
     tokens = F.transform(F.filter(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)),
                                   lambda t: F.length(t) < width), lambda t: F.concat(F.lit("="), t))
     read = texts.select(session, turn, flat.alias("flat"), tokens.alias("tokens"))
