@@ -67,6 +67,17 @@ def test_session_gate_hides_and_hides_again(spark):
     assert got[2, 1] == "Kapoor is a common name" and got[2, 2] == ""
 
 
+def test_exit_check_reads_each_payload_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(g, "cut", lambda df: stored.append(plan(df)) or cut(df))
+    turns = cut(spark.createDataFrame([(1, 1, "my name is Asha")], "conv_id long, turn long, text string"))
+    gated = g.gate_session(turns, warnings=False)
+    stored.clear()
+    g.verify_session(gated)
+    # A generator over a bare column makes Spark put all detectors into a filter too.
+    assert len(stored) == 1 and "Filter (size" not in stored[0] and stored[0].count(d.LONGER_NUMBER) <= 4
+
+
 def test_leaks_inside_words_and_backwards(spark):
     texts = spark.createDataFrame([(1, 1, "xAsha-Kapoorx"), (1, 2, "roopak"), (1, 3, "[A] as[B]ha"), (1, 4, "li"), (1, 5, "lime"),
                                    (1, 6, None)], "conv_id long, turn long, clean string")

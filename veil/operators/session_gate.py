@@ -242,7 +242,7 @@ def verify_session(gated: DataFrame, rules: Iterable[Rule] = (), session: str =
         held = _earliest(_merged(state.memory.withColumn("first_turn", first), held), session)
     shown = shown.groupBy(session, F.col("value").alias("__v")).agg(F.min("revealed").alias("revealed"))
     again = unresolved(gated.select(session, turn, text), text)
-    again = (again.select(session, turn, F.inline(F.expr(ruled("found", rules)))).filter("level <> 'low'")
+    again = (again.select(session, turn, F.inline(F.expr(sp.each(ruled("found", rules))))).filter("level <> 'low'")
              .select(session, turn, "kind", value.alias("__v")))
     # Stored, so that the detectors' expression is planned once, not again after every shuffle of the joins below.
     again = cut(again)
